@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,3 +45,12 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="logloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/logloom/{label}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, at_least: int | None = None) -> DataFrame:
+    """Repartition a CPU-bound job only when its input has fewer partitions than the cluster has cores.
+
+    A small file is one task whatever the work per row; a large input is already spread and passes through untouched.
+    """
+    wanted = at_least or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
