@@ -261,28 +261,23 @@ _NETLOC = r"^(?:.*@)?\[?((?<=\[)[^\]]*|[^:]*)"
 
 def url_parts(col: Column) -> Column:
     """URL text -> STRUCT(url_string, scheme, hostname, port, path, query_string); host-only and path-only texts count."""
-    raw = present_trimmed(col)
-    clean = F.regexp_replace(raw, r"[\r\n\t]", "")
-    path_only = clean.startswith("/")
-    parts = capture(F.when(path_only, F.concat(F.lit("x://_"), clean)).otherwise(clean), _URL, 4)
+    def parse(raw: Column) -> Column:
+        return let(F.regexp_replace(raw, r"[\r\n\t]", ""), lambda clean: let(
+            F.when(clean.startswith("/"), F.concat(F.lit("x://_"), clean)).otherwise(clean),
+            lambda url: let(capture(url, _URL, 4), lambda p: build(raw, clean, p))))
 
-    def build(p: Column) -> Column:
+    def build(raw: Column, clean: Column, p: Column) -> Column:
         part = lambda i: F.get(p, F.lit(i))
         port = F.regexp_extract(part(1), r":(\d{1,5})\z", 1).try_cast("int")
         host = F.lower(F.regexp_extract(part(1), _NETLOC, 1))
         scheme = F.when(F.contains(raw, F.lit("://")),
-                        F.when(path_only | (part(0) == ""), "http").otherwise(F.lower(part(0))))
+                        F.when(clean.startswith("/") | (part(0) == ""), "http").otherwise(F.lower(part(0))))
         return F.struct(
             raw.alias("url_string"), scheme.alias("scheme"),
             F.when((host != "") & (host != "_"), host).alias("hostname"),
             F.when(port <= 65535, port).alias("port"),
             F.when(part(2) != "", part(2)).alias("path"), F.when(part(3) != "", part(3)).alias("query_string"))
-    return F.when(raw.isNotNull(), let(parts, build))
-
-
-def present_trimmed(col: Column) -> Column:
-    s = strip(text(col))
-    return F.when(s != "", s)
+    return let(strip(text(col)), lambda s: F.when(s != "", parse(s)))
 
 
 def url_host(col: Column) -> Column:

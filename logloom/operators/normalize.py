@@ -121,16 +121,15 @@ def _build(df: DataFrame, base: dict[str, Column], problems: list[Column], cases
     if name is not None:
         values["metadata.parser_case"] = F.coalesce(name, values.get("metadata.parser_case", F.lit(None).cast("string")))
     # leaves first, struct second: each leaf is computed once although the struct tests it for NULL
-    cols = {leaf: F.col(f"__leaf_{i}") for i, leaf in enumerate(values)}
-    flat = out.select(*kept, F.coalesce(F.col(ERROR), *problems, *more).alias(ERROR),
-                      *[v.alias(f"__leaf_{i}") for i, v in enumerate(values.values())])
+    cols = {leaf: f"__leaf_{i}" for i, leaf in enumerate(values)}
+    flat = out.select(*kept, F.coalesce(F.col(ERROR), *problems, *more).alias(ERROR), *[v.alias(cols[leaf]) for leaf, v in values.items()])
     if derive:
-        absent = lambda leaf: cols.get(leaf, F.lit(None).cast(LEAVES[leaf]))
+        absent = lambda leaf: F.col(cols[leaf]) if leaf in cols else F.lit(None).cast(LEAVES[leaf])
         flat = flat.withColumn("__sid", severity_id_of(absent("severity"), absent("severity_id")))
-        cols["severity"] = severity_name_of(absent("severity"), F.col("__sid"))
-        cols["severity_id"] = F.col("__sid")
-        cols["type_uid"] = F.coalesce(absent("type_uid"), absent("class_uid") * 100 + absent("activity_id"))
-    missing = [F.when(cols[p].isNull() if p in cols else F.lit(True), F.lit(f"required field missing: {p}")) for p in required]
+        flat = flat.withColumns({"__sev": severity_name_of(absent("severity"), F.col("__sid")),
+                                 "__type": F.coalesce(absent("type_uid"), absent("class_uid") * 100 + absent("activity_id"))})
+        cols.update({"severity": "__sev", "severity_id": "__sid", "type_uid": "__type"})
+    missing = [F.when(F.col(cols[p]).isNull() if p in cols else F.lit(True), F.lit(f"required field missing: {p}")) for p in required]
     return flat.select(*kept, F.coalesce(F.col(ERROR), *missing).alias(ERROR), assemble(cols).alias(to))
 
 
@@ -264,6 +263,17 @@ def detect_format(df: DataFrame, formats: Sequence[LogFormat], raw: str = "raw",
     return df.withColumn(to, F.filter(F.array(*tests), lambda x: x.isNotNull()))
 
 
+def pinned(df: DataFrame, *names: str) -> DataFrame:
+    """The same frame with the named columns computed at this point of the plan.
+
+    A one-row generator is a step no filter on these columns moves across, so a later condition on the parse result is
+    tested on the result instead of being rewritten into every expression that led to it. Nothing is shuffled or stored,
+    and filters on the other columns still pass.
+    """
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*names))))
+
+
 def _parse_layer(df: DataFrame, fmt: LogFormat, gate: Column, carry: Sequence[str]) -> DataFrame:
     """Try one format on the rows where `gate` holds: adds `__event` and `__error` (both NULL on other rows)."""
     src = df.select(*carry, F.when(gate, F.regexp_replace(F.col("raw"), r"[\r\n]+\z", "")).alias("__raw"))
@@ -295,8 +305,9 @@ def parse_auto(df: DataFrame, formats: Sequence[LogFormat]) -> DataFrame:
         layer = _parse_layer(out, fmt, open_ & F.coalesce(fmt.detect(F.col("raw")), F.lit(False)), carry)
         won = F.col("__event").isNotNull()
         merged = F.coalesce(F.col("event"), F.col("__event")) if event_col else F.col("__event")
-        out = layer.select(*[f"`{c}`" for c in keep], F.coalesce(F.col("__error"), F.col("__fail")).alias("__fail"),
-                           F.coalesce(F.col("__hit"), F.when(won, F.lit(fmt.slug))).alias("__hit"), merged.alias("event"))
+        out = pinned(layer.select(*[f"`{c}`" for c in keep], F.coalesce(F.col("__error"), F.col("__fail")).alias("__fail"),
+                                  F.coalesce(F.col("__hit"), F.when(won, F.lit(fmt.slug))).alias("__hit"), merged.alias("event")),
+                     "__fail", "__hit", "event")
         event_col = "event"
     parsed = F.col("__hit").isNotNull()
     done = out.select(*[f"`{c}`" for c in keep], F.col("event"), F.col("__hit").alias("parser"),
@@ -310,9 +321,9 @@ def parse_with(df: DataFrame, fmt: LogFormat) -> DataFrame:
     if not fmt.active:
         off = df.withColumn(ERROR, F.lit("the parser is disabled"))
         return finish_status(off.withColumn("parser", F.lit(None).cast("string")))
-    layer = _parse_layer(df, fmt, F.col("raw").isNotNull(), [f"`{c}`" for c in keep])
+    layer = pinned(_parse_layer(df, fmt, F.col("raw").isNotNull(), [f"`{c}`" for c in keep]), "__event", "__error")
     failed = F.when(F.col("__event").isNull(), F.coalesce(F.col("__error"), precheck_error(F.col("raw")), F.lit("empty line")))
-    done = layer.withColumn("raw", F.col("raw")).select(
+    done = layer.select(
         *[f"`{c}`" for c in keep], F.col("__event").alias("event"),
         F.when(F.col("__event").isNotNull(), F.lit(fmt.slug)).alias("parser"), failed.alias(ERROR))
     return finish_status(done)

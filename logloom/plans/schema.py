@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -98,20 +97,28 @@ def typed(path: str, col: Column) -> Column:
     return col.cast(kind)
 
 
-def assemble(values: Mapping[str, Column], tree: Mapping = CANONICAL, prefix: str = "") -> Column:
-    """Nested struct from leaf columns; a struct without any value is NULL at every level."""
+def assemble(names: Mapping[str, str]) -> Column:
+    """Nested event struct from columns holding its leaves (path -> column name).
+
+    A struct without any value is NULL at every level. The expression is handed over as one SQL text: built call by call
+    it would take hundreds of round trips to the JVM.
+    """
+    return F.expr(_struct_sql(names, CANONICAL, ""))
+
+
+def _struct_sql(names: Mapping[str, str], tree: Mapping, prefix: str) -> str:
     fields, known = [], []
     for name, kind in tree.items():
         path = f"{prefix}.{name}" if prefix else name
         if isinstance(kind, Mapping):
-            below = [p for p, _ in leaves(kind, path) if p in values]
-            value = assemble(values, kind, path) if below else F.lit(None).cast(ddl(kind))
+            below = [names[p] for p, _ in leaves(kind, path) if p in names]
+            value = _struct_sql(names, kind, path) if below else f"cast(null as {ddl(kind)})"
         else:
-            below = [path] if path in values else []
-            value = values[path] if below else F.lit(None).cast(kind)
+            below = [names[path]] if path in names else []
+            value = f"`{names[path]}`" if below else f"cast(null as {kind})"
         known += below
-        fields.append(value.alias(name))
+        fields.append(f"'{name}', {value}")
+    struct = f"named_struct({', '.join(fields)})"
     if not prefix:
-        return F.struct(*fields)
-    return F.when(reduce(lambda a, b: a | b, [values[p].isNotNull() for p in known]), F.struct(*fields))
-
+        return struct
+    return f"case when {' or '.join(f'`{k}` is not null' for k in known)} then {struct} end"
