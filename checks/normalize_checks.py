@@ -137,7 +137,7 @@ def nrm9(spark, sf):
     good = lines(spark, sf, "pipe").select("event_id", "raw")
     bad = junk(spark, sf).select(F.col("doc_id").alias("event_id"), "raw")
     df = n.parse_with(good.unionByName(bad), PIPE)
-    error = F.when(F.col("error").rlike("^split: "), "").otherwise(F.col("error"))
+    error = F.when(F.col("error").rlike("^(split|regex): "), "").otherwise(F.col("error"))
     return df.select("event_id", "status", error.alias("error"), F.col("event.http_response.code").alias("code"))
 
 

@@ -25,9 +25,9 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
         return False
 
 
-def attach(df: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+def attach(df: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:
     """Equi-join of a large frame with a dimension holding at most one row per key (or a few)."""
-    if fits_broadcast(dim):
+    if fits_broadcast(dim, limit):
         return df.join(F.broadcast(dim), list(on), how)
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*_spreading(df)), F.lit(SALTS)).cast("int"))
     copies = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
