@@ -78,10 +78,24 @@ FIXTURES = {
         cast(e.event_id % 7 as int) as attempts, e.ts as next_attempt_at, cast(null as timestamp) as sent_at, '' as last_error
         from {events} e join {supplier} d on d.s_nationkey % 5 = (e.user_id % 25) % 5 where (e.event_id + d.s_suppkey) % 3 = 0""",
     "attempts": """select user_id % 20 as destination_id, event_id as seq, event_type <> 'error' and event_id % 5 <> 0 as ok,
-        event_id % 11 = 0 as permanent, ts as at, cast(1 + event_id % 3 as bigint) as rows from {events}""",
+        event_id % 11 = 0 as permanent, ts as `at`, cast(1 + event_id % 3 as bigint) as rows from {events}""",
     "items": """select concat('k', event_id % 4000) as key, cast(floor(event_id / 50) as bigint) * 1000 as ts_ms, cast(event_id as bigint) as seq from {events}""",
     "usage": """select user_id as key_id, ts as day, concat(case event_type when 'purchase' then 'POST' when 'signup' then 'PATCH' else 'GET' end, ' /e') as route,
         case event_type when 'error' then 500 when 'signup' then 201 else 200 end as status, cast(1 + event_id % 3 as bigint) as count from {events}""",
+    "flat": """select event_id, ts, epoch_s, cls, act, sev, case when event_id % 2 = 0 then 'Success' else 'Failure' end as st,
+        case event_id % 5 when 0 then 'Allowed' when 1 then 'Blocked' when 2 then 'Quarantined' end as disp, concat('m|', event_id, '=', event_type) as msg,
+        concat('c', event_id % 9) as code, case when event_id % 3 <> 0 then concat('198.51.100.', user_id % 250 + 1) end as sip,
+        case when event_id % 3 = 1 then cast(event_id % 60000 as int) end as sport, case when event_id % 4 <> 0 then concat('dst', user_id % 9) end as dhost,
+        case when event_id % 6 = 0 then '203.0.113.9' end as dip, case when event_id % 5 <> 0 then concat('dev', user_id % 11) end as dev,
+        case when event_id % 7 = 0 then concat('id', user_id) end as devid, case when event_id % 2 = 1 then concat('u', user_id) end as usr,
+        case when event_id % 4 = 1 then concat('a', user_id) end as actor, case when event_id % 5 = 2 then concat('p', user_id, '.exe') end as proc,
+        case when event_id % 3 = 1 then concat('/tmp/', user_id) end as path, case when event_id % 8 <> 0 then concat('https://x.example.org/', event_id) end as url,
+        case when event_id % 9 = 0 then concat('mal', user_id) end as mal, concat('T', user_id % 5) as tenant, concat('S', user_id % 25) as source,
+        case when event_id % 10 = 0 then 'unparsed' else 'parsed' end as status, concat('raw ', event_id) as raw, 'bad' as error,
+        case when event_id % 20 = 0 then cast(null as varchar(20)) else concat('10.0.0.', event_id % 9) end as peer_ip, k from (select *,
+        case event_id % 12 when 0 then 4002 when 1 then 4001 when 2 then 4003 when 3 then 3002 when 4 then 3001 when 5 then 3006 when 6 then 1007 when 7 then 1001
+        when 8 then 2004 when 9 then 1008 when 10 then 2002 else 0 end as cls, cast(event_id % 7 as int) as act, cast(user_id % 7 as int) as sev, event_id % 100 as k,
+        1704067200 + event_id * 61 as epoch_s from {events})""",
     "logins": """select concat('app', user_id % 5) as host, ts from {events} where event_type = 'error'
         union all select 'app0', ts from {events} where event_type = 'click' and user_id < 40""",
 }
@@ -95,14 +109,14 @@ def duck(sql: str) -> str:
         if name == "now":
             return NOW
         return name if name in TABLES else f"({duck(FIXTURES[name])})" if name in FIXTURES else m.group(0)
-    return _PLACE.sub(fill, sql).replace("array(", "list_value(")
+    return _PLACE.sub(fill, sql).replace("array(", "list_value(").replace("`", '"')
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture as a DataFrame."""
     text = FIXTURES[name]
     used = sorted(set(_PLACE.findall(text)))
-    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
+    return spark.sql(text, **{t: table(spark, sf_dir, t) if t in TABLES else fixture(spark, sf_dir, t) for t in used})
 
 
 def now():

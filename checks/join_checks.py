@@ -150,9 +150,9 @@ def set3(spark, sf):
 
 
 # ---------------------------------------------------------------- aggregates
-_COUNTERS = """select epoch_us(date_trunc('minute', received_at)) as minute_us, 's' as kind, source_id as ref_id, count(*) as a, count(*) filter (where status = 'parsed') as b,
+_COUNTERS = '''select epoch_us(date_trunc('minute', received_at)) as minute_us, 's' as kind, source_id as ref_id, count(*) as a, count(*) filter (where status = 'parsed') as b,
     count(*) filter (where status = 'unparsed') as c from {arrivals} group by 1, 2, 3
-    union all select epoch_us(date_trunc('minute', at)), 'd', destination_id, count(*) filter (where ok), count(*) filter (where not ok), 0 from {attempts} group by 1, 2, 3"""
+    union all select epoch_us(date_trunc('minute', "at")), 'd', destination_id, count(*) filter (where ok), count(*) filter (where not ok), 0 from {attempts} group by 1, 2, 3'''
 
 
 def _counters(spark, sf):

@@ -115,12 +115,12 @@ def win9(spark, sf):
 
 
 # ---------------------------------------------------------------- delivery state and retention
-@check("str3_silent_sources", f"""with t as (select source_id, max(received_at) as last from {{arrivals}} group by 1) select s.source_id, epoch_us({NOW} + interval 14 days) as alerted_us from {{sources}} s join t
-    on t.source_id = s.source_id where s.active and s.silence_minutes > 0 and t.last < {NOW} + interval 14 days - to_minutes(s.silence_minutes) and s.source_id % 5 <> 1""")
+@check("str3_silent_sources", f"""with t as (select source_id, max(received_at) as last from {{arrivals}} group by 1) select s.source_id, epoch_us({NOW} + interval 17 days) as alerted_us from {{sources}} s join t
+    on t.source_id = s.source_id where s.active and s.silence_minutes > 0 and t.last < {NOW} + interval 17 days - to_minutes(s.silence_minutes) and s.source_id % 5 <> 1""")
 def str3(spark, sf):
     from logloom.operators.metrics import source_totals
     arrivals, sources = fixture(spark, sf, "arrivals"), fixture(spark, sf, "sources")
-    at = F.expr(f"{NOW} + interval 14 days")
+    at = F.expr(f"{NOW} + interval 17 days")
     heard = sources.join(source_totals(arrivals).select("source_id", "last_event_at"), "source_id").withColumn("alerted_at", F.when(F.col("source_id") % 5 == 1, now()))
     return led.silent_sources(heard, at).select("source_id", micros("alerted_at").alias("alerted_us"))
 
@@ -156,7 +156,7 @@ def str5(spark, sf):
 
 @check("str6_destination_health", """with o as (select destination_id, max(seq) as ok_seq from {attempts} where ok group by 1),
     x as (select a.*, row_number() over (partition by a.destination_id order by seq) as k from {attempts} a left join o on o.destination_id = a.destination_id where not ok and (ok_seq is null or seq > ok_seq)),
-    f as (select destination_id, count(*) as fails, max(k) filter (where not permanent) as soft_k, arg_max(at, k) filter (where not permanent) as soft_at, min(at) filter (where k = 5) as at5 from x group by 1),
+    f as (select destination_id, count(*) as fails, max(k) filter (where not permanent) as soft_k, arg_max("at", k) filter (where not permanent) as soft_at, min("at") filter (where k = 5) as at5 from x group by 1),
     s as (select destination_id, cast(sum(rows) filter (where ok) as bigint) as sent, cast(sum(rows) filter (where not ok and permanent) as bigint) as lost from {attempts} group by 1)
     select d.destination_id, case when coalesce(fails, 0) > 0 then 'err' when ok_seq is not null then 'ok' else d.status end as status,
     case when ok_seq is null then d.consecutive_failures else 0 end + coalesce(fails, 0) as consecutive_failures,
