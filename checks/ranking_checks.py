@@ -11,6 +11,7 @@ from logloom.operators import detection as d
 from logloom.operators import ledger as led
 from logloom.operators import masking as mk
 from logloom.operators import ranking as r
+from logloom.session import spread
 
 
 @check("win1_latest", """select source_id, event_id from {arrivals} qualify row_number() over (partition by source_id order by event_id desc) <= 20""")
@@ -214,7 +215,7 @@ def det2(spark, sf):
 @check("msk1_mask")
 def msk1(spark, sf):
     """Whole documents; compared with a plain implementation on a fixture in the tests (SQL lacks look-around)."""
-    return mk.mask(table(spark, sf, "documents"), "text", "doc_id").select("doc_id", "masked")
+    return mk.mask(spread(table(spark, sf, "documents")), "text", "doc_id").select("doc_id", "masked")
 
 
 @check("msk1_tokens", """with v as (select distinct kind, value from (

@@ -345,3 +345,13 @@ def det2(spark, sf):
     logins = _events_stream(spark, sf).select(F.concat(F.lit("app"), F.col("user_id") % 5).alias("host"), F.col("received_at").alias("ts"))
     out = st.run_updates(st.stream_brute_force(logins, window_s=1200, least=4), "det2", ["host", "since"])
     return out.select("host", micros("since").alias("since_us"), "failures")
+
+
+@check("str3_stream_silent_sources", """with e as (select user_id % 25 as source_id, ts, lag(ts) over (partition by user_id % 25 order by ts) as prev from events),
+    s as (select *, sum(case when prev is null or ts >= prev + interval 120 minutes then 1 else 0 end) over (partition by source_id order by ts) as sid from e)
+    select source_id, epoch_us(max(ts)) as silent_us, count(*) as events from s group by source_id, sid
+    having max(ts) + interval 120 minutes <= (select max(ts) from events) - interval 10 minutes""")
+def str3(spark, sf):
+    heard = _events_stream(spark, sf).select("source_id", F.col("received_at").alias("ts"))
+    out = st.run_available(st.stream_silent_sources(heard, 120), "str3")
+    return out.select("source_id", micros("silent_since").alias("silent_us"), "events")

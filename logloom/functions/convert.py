@@ -166,9 +166,8 @@ def to_ips(col: Column, pattern: str = r"[,\s]+") -> Column:
 
 def ipv4_number(col: Column) -> Column:
     """Dotted IPv4 text as a number; NULL for anything else."""
-    parts = F.transform(F.split(col, r"\."), lambda x: x.try_cast("bigint"))
-    part = lambda i: F.get(parts, F.lit(i))
-    return F.when(is_ipv4(col), part(0) * 16777216 + part(1) * 65536 + part(2) * 256 + part(3))
+    part = lambda i: F.split_part(col, F.lit("."), F.lit(i)).try_cast("bigint")
+    return F.when(is_ipv4(col), part(1) * 16777216 + part(2) * 65536 + part(3) * 256 + part(4))
 
 
 # ---------------------------------------------------------------- lists

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from logloom.functions.convert import ipv4_number
 
 BROADCAST_BYTES = 32 * 1024 * 1024
-SALTS = 32
+SALTS = 16
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
@@ -69,12 +69,13 @@ def usable_ranges(ranges: DataFrame, tenants: DataFrame, now: Column) -> DataFra
 def address_matches(origins: DataFrame, ranges: DataFrame, ip: str = "peer_ip") -> DataFrame:
     """Every (origin, range) pair where the range holds the address.
 
-    An equi-join on (prefix length, network number): each origin is expanded to its 33 possible networks, so no origin
-    is compared with every range.
+    An equi-join on (prefix length, network number): each origin is expanded to its networks of the lengths in use (33 at
+    the most), so no origin is compared with every range.
     """
     nets = cidr_ranges(ranges)
     wide = origins.withColumn("__ip", ipv4_number(F.regexp_replace(F.col(ip), "^::ffff:", "")))
-    wide = wide.filter(F.col("__ip").isNotNull()).withColumn("prefix", F.explode(F.sequence(F.lit(0), F.lit(32))))
+    lengths = nets.agg(F.collect_set("prefix")).scalar()  # at most 33 values by construction
+    wide = wide.filter(F.col("__ip").isNotNull()).withColumn("__lengths", lengths).withColumn("prefix", F.explode("__lengths")).drop("__lengths")
     return attach(wide.withColumn("network", masked(F.col("__ip"), F.col("prefix"))), nets, ["prefix", "network"], "inner").drop("__ip")
 
 

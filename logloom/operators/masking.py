@@ -19,6 +19,8 @@ PATTERNS = {
     "v6": r"(?U)(?<![\w:])(?:[0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{0,4}(?![\w:])",
     "v4": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])",
 }
+# what a text must hold for a kind to be possible at all; cheap to look for, and absent from most texts
+_HINT = {"mail": "@", "uuid": "-[0-9a-fA-F]{4}-", "sid": "S-1-5-21-", "v6": ":[0-9a-fA-F]{0,4}:", "v4": r"[0-9]\.[0-9]"}
 # fixed values: IPv4 networks that are not public
 PRIVATE_NETS = ("0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24",
                 "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",
@@ -43,7 +45,8 @@ def _private(number: Column) -> Column:
 
 
 def _finds(text: Column, kind: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({PATTERNS[kind]})"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(f"({PATTERNS[kind]})"), F.lit(1))
+    return F.when(text.rlike(_HINT[kind]), found).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def find_sensitive(df: DataFrame, col: str) -> DataFrame:
@@ -98,12 +101,13 @@ def _staged(df: DataFrame, col: str, terms: Sequence[str]) -> DataFrame:
 
 def sensitive_values(df: DataFrame, col: str, id_col: str) -> DataFrame:
     """(id, kind, value) for every distinct valid find of a text, each kind looked for after the earlier ones are replaced."""
-    rest, finds = F.col(col), []
-    for kind in PATTERNS:
-        finds.append(F.array_distinct(_finds(rest, kind)).alias(kind))
-        if kind in _STAND_IN:
-            rest = F.regexp_replace(rest, PATTERNS[kind], _STAND_IN[kind])
-    each = df.select(id_col, *finds).select(id_col, F.explode(F.flatten(F.array(*[_tagged(k) for k in PATTERNS]))).alias("f"))
+    kinds = list(PATTERNS)
+    out = df.select(id_col, F.col(col).alias("__r"))
+    for kind in kinds:
+        kept = [F.col(k) for k in kinds[:kinds.index(kind)]]
+        rest = F.when(F.col("__r").rlike(_HINT[kind]), F.regexp_replace("__r", PATTERNS[kind], _STAND_IN[kind])).otherwise(F.col("__r")) if kind in _STAND_IN else F.col("__r")
+        out = out.select(id_col, *kept, F.array_distinct(_finds(F.col("__r"), kind)).alias(kind), rest.alias("__r"))
+    each = out.select(id_col, F.explode(F.flatten(F.array(*[_tagged(k) for k in kinds]))).alias("f"))
     return each.select(id_col, "f.kind", "f.value")
 
 
@@ -144,4 +148,4 @@ def _put(text: Column, kind: str) -> Column:
     """Text with every find of the kind replaced by its token; finds without a token stay."""
     pieces = F.split(text, PATTERNS[kind], -1)
     tokens = F.transform(_finds(text, kind), lambda v: F.coalesce(F.try_element_at(F.col("__tokens"), v), v))
-    return F.array_join(F.zip_with(pieces, F.concat(tokens, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    return F.when(text.rlike(_HINT[kind]), F.array_join(F.zip_with(pieces, F.concat(tokens, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")).otherwise(text)

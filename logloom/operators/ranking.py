@@ -180,17 +180,17 @@ def pack_batches(rounds: DataFrame, max_n: int | Column, max_bytes: int | Column
     grouped = rounds.groupBy("destination_id", "round").agg(
         F.array_sort(F.collect_list(F.struct(F.col("event_id"), (F.col(size) + ROW_OVERHEAD).cast("bigint").alias("size")))).alias("rows"),
         F.first(n).cast("int").alias("__n"), F.first(b).cast("bigint").alias("__b"))
-    start = F.struct(F.lit(-1).alias("batch"), F.lit(0).alias("count"), F.lit(0).cast("bigint").alias("bytes"),
-                     F.array().cast("array<struct<event_id:bigint,batch:int>>").alias("out"))
+    start = F.struct(F.lit(0).alias("count"), F.lit(0).cast("bigint").alias("bytes"), F.array().cast("array<bigint>").alias("starts"))
 
     def step(acc: Column, row: Column) -> Column:
-        new = (acc["batch"] < 0) | (acc["count"] >= F.col("__n")) | (acc["bytes"] + row["size"] > F.col("__b"))
-        batch = F.when(new, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(batch.alias("batch"), F.when(new, 1).otherwise(acc["count"] + 1).alias("count"),
-                        F.when(new, row["size"]).otherwise(acc["bytes"] + row["size"]).alias("bytes"),
-                        F.concat(acc["out"], F.array(F.struct(row["event_id"].alias("event_id"), batch.alias("batch")))).alias("out"))
-    packed = grouped.select("destination_id", "round", F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("p"))
-    return packed.select("destination_id", "round", "p.event_id", "p.batch")
+        new = (F.size(acc["starts"]) == 0) | (acc["count"] >= F.col("__n")) | (acc["bytes"] + row["size"] > F.col("__b"))
+        return F.struct(F.when(new, 1).otherwise(acc["count"] + 1).alias("count"), F.when(new, row["size"]).otherwise(acc["bytes"] + row["size"]).alias("bytes"),
+                        F.when(new, F.concat(acc["starts"], F.array(row["event_id"]))).otherwise(acc["starts"]).alias("starts"))
+    opened = grouped.withColumn("starts", F.aggregate("rows", start, step, lambda acc: acc["starts"]))
+    each = opened.select("destination_id", "round", "starts", F.explode("rows.event_id").alias("event_id"))
+    # the batch of a row is the number of batches opened up to it
+    batch = F.size(F.filter("starts", lambda s: s <= F.col("event_id"))) - 1
+    return each.select("destination_id", "round", "event_id", batch.alias("batch"))
 
 
 # ---------------------------------------------------------------- rate limit
