@@ -124,39 +124,44 @@ def _dotted_tail_to_hex(col: Column) -> Column:
     return F.when(col.rlike(rf":{IPV4}\z"), let(col, rewrite)).otherwise(col)
 
 
+def _v6_shaped(s: Column) -> Column:
+    groups = F.size(F.filter(F.split(s, ":"), lambda g: g != ""))
+    return s.rlike(_V6_SHAPE) & F.when(F.contains(s, F.lit("::")), groups <= 7).otherwise(groups == 8)
+
+
 def is_ipv6(col: Column) -> Column:
     """True for a whole IPv6 address (at most one '::', one to four hexadecimal digits per group, eight groups)."""
-    def check(s: Column) -> Column:
-        groups = F.size(F.filter(F.split(s, ":"), lambda g: g != ""))
-        return s.rlike(_V6_SHAPE) & F.when(F.contains(s, F.lit("::")), groups <= 7).otherwise(groups == 8)
-    return F.contains(col, F.lit(":")) & let(_dotted_tail_to_hex(col), check)
+    return F.contains(col, F.lit(":")) & let(_dotted_tail_to_hex(col), _v6_shaped)
 
 
-def _compress_v6(col: Column) -> Column:
+def _compress_v6(s: Column) -> Column:
+    """Usual form of eight-group hexadecimal text: lower case, no leading zeros, the longest run of zeros as '::'."""
     side = lambda t: F.filter(F.split(t, ":"), lambda g: g != "")
     strip_zeros = lambda g: F.regexp_replace(g, "^0+(?=.)", "")
 
-    def fill(s: Column) -> Column:
-        left, right = side(F.substring_index(s, "::", 1)), side(F.substring_index(s, "::", -1))
+    def fill(t: Column) -> Column:
+        left, right = side(F.substring_index(t, "::", 1)), side(F.substring_index(t, "::", -1))
         missing = F.greatest(F.lit(0), F.lit(8) - F.size(left) - F.size(right))
-        return F.when(F.contains(s, F.lit("::")), F.concat(left, F.array_repeat(F.lit("0"), missing), right)).otherwise(side(s))
+        return F.when(F.contains(t, F.lit("::")), F.concat(left, F.array_repeat(F.lit("0"), missing), right)).otherwise(side(t))
+
+    # the longest run of at least two zero groups, the first of equal length: ':0:0:…:' inside ':a:b:…:'
+    runs = F.array(*[F.lit(":" + "0:" * k) for k in range(8, 1, -1)])
 
     def shorten(j: Column) -> Column:
-        runs = [":" + "0:" * k for k in range(8, 1, -1)]
-        cut = [F.when(F.contains(j, F.lit(r)), F.concat(F.substring_index(j, r, 1), F.lit("::"),
-                                                        j.substr(F.instr(j, r) + len(r), F.length(j)))) for r in runs]
-        return F.coalesce(*cut, j)
+        run = F.get(F.filter(runs, lambda r: F.contains(j, r)), F.lit(0))
+        return F.when(run.isNull(), j).otherwise(F.concat(j.substr(F.lit(1), F.position(run, j) - 1), F.lit("::"),
+                                                          j.substr(F.position(run, j) + F.length(run), F.length(j))))
 
-    joined = let(F.lower(_dotted_tail_to_hex(col)), lambda s: F.concat(
-        F.lit(":"), F.array_join(F.transform(fill(s), strip_zeros), ":"), F.lit(":")))
-    return F.regexp_replace(F.regexp_replace(let(joined, shorten), r"^:(?!:)", ""), r"(?<!:):\z", "")
+    joined = let(F.lower(s), lambda t: F.concat(F.lit(":"), F.array_join(F.transform(fill(t), strip_zeros), ":"), F.lit(":")))
+    return F.regexp_replace(let(joined, shorten), r"^:(?!:)|(?<!:):\z", "")
 
 
 def to_ip(col: Column) -> Column:
     """Valid address in its usual form, without brackets, mask or IPv4 port; NULL when it is no address."""
     s = F.substring_index(F.btrim(strip(text(col)), F.lit("[]")), "/", 1)
     s = F.regexp_replace(s, r"^([^:]*\.[^:]*):[^:]*\z", "$1")
-    return F.when(is_ipv4(s), s).when(F.contains(s, F.lit(":")), let(s, lambda x: F.when(is_ipv6(x), _compress_v6(x))))
+    v6 = lambda x: F.when(_v6_shaped(x), _compress_v6(x))
+    return F.when(is_ipv4(s), s).when(F.contains(s, F.lit(":")), let(_dotted_tail_to_hex(s), v6))
 
 
 def to_ips(col: Column, pattern: str = r"[,\s]+") -> Column:

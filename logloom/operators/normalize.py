@@ -277,8 +277,7 @@ def pinned(df: DataFrame, *names: str) -> DataFrame:
 def _parse_layer(df: DataFrame, fmt: LogFormat, gate: Column, carry: Sequence[str]) -> DataFrame:
     """Try one format on the rows where `gate` holds: adds `__event` and `__error` (both NULL on other rows)."""
     src = df.select(*carry, F.when(gate, F.regexp_replace(F.col("raw"), r"[\r\n]+\z", "")).alias("__raw"))
-    src = src.withColumn(ERROR, precheck_error(F.col("__raw")))
-    out = fmt.extract(src, F.col("__raw"))
+    out = fmt.extract(src.withColumn(ERROR, F.lit(None).cast("string")), F.col("__raw"))
     mapping = dict(fmt.mapping())
     if fmt.unmapped:
         out = collect_unmapped(out, fmt.unmapped, fmt.unmapped_drop, "__unmapped")
@@ -297,15 +296,15 @@ def parse_auto(df: DataFrame, formats: Sequence[LogFormat]) -> DataFrame:
     column, so the input is read once whatever the number of formats. The last failure is the error.
     """
     keep = list(df.columns)
-    out = df.withColumns({"__fail": precheck_error(F.col("raw")), "__hit": F.lit(None).cast("string")})
+    out = df.withColumn("__fail", precheck_error(F.col("raw"))).withColumns({"__bad": F.col("__fail").isNotNull(), "__hit": F.lit(None).cast("string")})
     event_col = None
     for fmt in in_order(formats):
-        carry = [*[f"`{c}`" for c in keep], "__fail", "__hit", *(["event"] if event_col else [])]
-        open_ = F.col("__hit").isNull() & precheck_error(F.col("raw")).isNull()
+        carry = [*[f"`{c}`" for c in keep], "__bad", "__fail", "__hit", *(["event"] if event_col else [])]
+        open_ = F.col("__hit").isNull() & ~F.col("__bad")
         layer = _parse_layer(out, fmt, open_ & F.coalesce(fmt.detect(F.col("raw")), F.lit(False)), carry)
         won = F.col("__event").isNotNull()
         merged = F.coalesce(F.col("event"), F.col("__event")) if event_col else F.col("__event")
-        out = pinned(layer.select(*[f"`{c}`" for c in keep], F.coalesce(F.col("__error"), F.col("__fail")).alias("__fail"),
+        out = pinned(layer.select(*[f"`{c}`" for c in keep], "__bad", F.coalesce(F.col("__error"), F.col("__fail")).alias("__fail"),
                                   F.coalesce(F.col("__hit"), F.when(won, F.lit(fmt.slug))).alias("__hit"), merged.alias("event")),
                      "__fail", "__hit", "event")
         event_col = "event"
@@ -321,7 +320,7 @@ def parse_with(df: DataFrame, fmt: LogFormat) -> DataFrame:
     if not fmt.active:
         off = df.withColumn(ERROR, F.lit("the parser is disabled"))
         return finish_status(off.withColumn("parser", F.lit(None).cast("string")))
-    layer = pinned(_parse_layer(df, fmt, F.col("raw").isNotNull(), [f"`{c}`" for c in keep]), "__event", "__error")
+    layer = pinned(_parse_layer(df, fmt, precheck_error(F.col("raw")).isNull(), [f"`{c}`" for c in keep]), "__event", "__error")
     failed = F.when(F.col("__event").isNull(), F.coalesce(F.col("__error"), precheck_error(F.col("raw")), F.lit("empty line")))
     done = layer.select(
         *[f"`{c}`" for c in keep], F.col("__event").alias("event"),
