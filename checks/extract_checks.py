@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.base import check, table
 from checks.lines import lines
 from logloom.operators import extract as x
+from logloom.session import spread
 
 RAW = "raw"
 
@@ -64,7 +65,7 @@ def ext5(spark, sf):
 @check("ext6_kv", """select o_orderkey as key, cast(o_custkey as varchar) as cust, o_orderstatus as status, o_orderpriority as prio,
     cast(cast(round(o_totalprice * 100) as bigint) as varchar) as cents, strftime(o_orderdate, '%Y-%m-%dT00:00:00Z') as date from orders""")
 def ext6(spark, sf):
-    df = x.extract_kv(lines(spark, sf, "kv"), RAW, "kv")
+    df = x.extract_kv(spread(lines(spark, sf, "kv")), RAW, "kv")
     return df.select("key", *[F.try_element_at("kv", F.lit(k)).alias(k) for k in ("cust", "status", "prio", "cents", "date")])
 
 
@@ -77,7 +78,7 @@ def ext7(spark, sf):
 @check("ext8_cef", """select event_id, 'Acme' as device_vendor, cast(event_id as varchar) as signature_id, event_type as name,
     cast(epoch_us(ts) // 1000 as varchar) as rt, 'u' || user_id as suser, event_type as kind, 'value = ' || (props->>'$.k') as msg from events""")
 def ext8(spark, sf):
-    df = x.extract_cef(lines(spark, sf, "cef"), RAW, "c")
+    df = x.extract_cef(spread(lines(spark, sf, "cef")), RAW, "c")
     return df.select("event_id", "c.device_vendor", "c.signature_id", "c.name",
                      *[F.try_element_at("c.ext", F.lit(k)).alias(k) for k in ("rt", "suser", "kind", "msg")])
 
@@ -85,7 +86,7 @@ def ext8(spark, sf):
 @check("ext9_leef", """select l_orderkey as key, '2.1' as product_version, strftime(l_shipdate, '%Y-%m-%dT00:00:00Z') as ship,
     l_orderkey || '-' || l_linenumber as line, cast(cast(l_quantity as int) as varchar) as qty, l_returnflag as flag from lineitem""")
 def ext9(spark, sf):
-    df = x.extract_leef(lines(spark, sf, "leef"), RAW, "l")
+    df = x.extract_leef(spread(lines(spark, sf, "leef")), RAW, "l")
     return df.select("key", "l.product_version", *[F.try_element_at("l.ext", F.lit(k)).alias(k) for k in ("ship", "line", "qty", "flag")])
 
 

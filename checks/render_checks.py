@@ -294,6 +294,21 @@ def snk2(spark, sf):
     return res.groupBy("destination_id", outcome.alias("outcome")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
+@check("str7_isolate_bad_rows", """with r as (select destination_id, event_id, row_number() over (partition by destination_id order by event_id) - 1 as p, event_id % 997 = 0 as bad from {ledger} where status = 'pending'),
+    b as (select *, bool_or(bad) over (partition by destination_id, p // 500) as spoiled, count(*) over (partition by destination_id, p // 500) as size from r)
+    select destination_id, case when not spoiled then 'sent' when size = 1 then 'failed' when p % 500 >= 200 then 'pending' when bad then 'failed' else 'sent' end as outcome, count(*) as n,
+    cast(sum(event_id) as bigint) as ids from b group by 1, 2""")
+def str7(spark, sf):
+    """A writer that refuses every batch holding a bad row for good."""
+    def writer(destination, rows):
+        if any(int(line.split()[1]) % 997 == 0 for line in rows):
+            raise sinks.Rejected("refused", permanent=True)
+    due = fixture(spark, sf, "ledger").filter("status = 'pending'").select("event_id", "destination_id", F.concat(F.lit("line "), "event_id").alias("value"))
+    res = sinks.deliver(due, writer)
+    outcome = F.when(F.col("ok"), "sent").when(F.col("permanent"), "failed").otherwise("pending")
+    return res.groupBy("destination_id", outcome.alias("outcome")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 @check("snk3_save_table", """select tenant_id, strftime(received_at, '%Y-%m-%d') as day, count(*) as n from {arrivals} group by 1, 2""")
 def snk3(spark, sf):
     path = shared_folder(spark, "snk3")

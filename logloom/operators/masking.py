@@ -63,7 +63,7 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def _token(kind: Column, n: Column) -> Column:
-    """Replacement number n of a kind."""
+    """Replacement number n of a kind. The texts are fixed values; each keeps the outline of what it replaces."""
     part = lambda d: (F.floor(n / d) % 256).cast("string")
     low = F.when(n % 256 == 0, 1).otherwise(n % 256).cast("string")
     return (F.when(kind == "mail", F.concat(F.lit("usuario"), n.cast("string"), F.lit("@exemplo.com.br")))
