@@ -56,13 +56,13 @@ def nrm2_apply(spark, sf):
     return out.select("event_id", "event.metadata.parser_case", F.col("event.user.name").alias("user_name"), "event.user.domain")
 
 
-@check("nrm3_unmapped", """select o_orderkey as key, 3 as n, o_orderpriority as prio, 'h' || (o_custkey % 50) as v0, cast(null as varchar) as dropped from orders""")
+@check("nrm3_unmapped", """select o_orderkey as key, 4 as n, o_orderpriority as prio, o_orderstatus as state, 'h' || (o_custkey % 50) as v0, cast(null as varchar) as dropped from orders""")
 def nrm3(spark, sf):
     df = x.extract_json(lines(spark, sf, "json"), "raw", "j")
     df = df.withColumn("kv", F.create_map(F.lit("state"), F.lit("-"), F.lit("late"), F.lit("y")))
     df = n.collect_unmapped(df, ["j", "kv"], drop=["id", "open.date"])
     at = lambda k, path="$": F.try_variant_get(F.try_element_at("unmapped", F.lit(k)), path, "string")
-    return df.select("key", F.size("unmapped").alias("n"), at("prio").alias("prio"), at("items", "$[0].value").alias("v0"), at("id").alias("dropped"))
+    return df.select("key", F.size("unmapped").alias("n"), at("prio").alias("prio"), at("state").alias("state"), at("items", "$[0].value").alias("v0"), at("id").alias("dropped"))
 
 
 @check("nrm4_severity", """select event_id, case event_type when 'click' then 2 when 'error' then 5 when 'view' then 0 else 6 end as severity_id,

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.emptiness import EMPTY_JSON
+from logloom.functions.emptiness import empty_variant
 from logloom.functions.patterns import capture
 
 BLANKS = " \t\r\n\f\x0b"
@@ -335,4 +335,4 @@ def flatten_variant_map(col: Column, depth: int = 4) -> Column:
 def prune_variant(col: Column) -> Column:
     """Variant object without empty members at the top level."""
     members = F.try_variant_get(col, "$", "map<string,variant>")
-    return F.map_filter(members, lambda _, v: ~F.to_json(v).isin(*EMPTY_JSON))
+    return F.map_filter(members, lambda _, v: ~empty_variant(v))

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: JSON texts of a variant that count as empty
-EMPTY_JSON = ("null", '""', '"-"', "[]", "{}")
-
-
 def present(col: Column) -> Column:
     """String value, or NULL when it is '' or '-'."""
     return F.when(~col.isin("", "-"), col)
@@ -22,8 +18,14 @@ def present_map(col: Column) -> Column:
     return F.when(F.cardinality(col) > 0, col)
 
 
+def empty_variant(v: Column) -> Column:
+    """True for a variant null, '', '-', [] and {}. The JSON text is only built for a value that reads as '[]' or '{}'."""
+    text = F.try_variant_get(v, "$", "string")
+    return text.isNull() | text.isin("", "-") | F.when(text.isin("[]", "{}"), F.to_json(v).isin("[]", "{}")).otherwise(False)
+
+
 def present_variant(col: Column) -> Column:
-    return F.when(~F.to_json(col).isin(*EMPTY_JSON), col)
+    return F.when(~empty_variant(col), col)
 
 
 def prune_strings(col: Column) -> Column:
@@ -38,4 +40,4 @@ def prune_map(col: Column) -> Column:
 
 def prune_variant_map(col: Column) -> Column:
     """Variant map without empty values; NULL when none is left."""
-    return present_map(F.map_filter(col, lambda _, v: v.isNotNull() & ~F.to_json(v).isin(*EMPTY_JSON)))
+    return present_map(F.map_filter(col, lambda _, v: ~empty_variant(v)))

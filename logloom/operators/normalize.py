@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from logloom.functions import convert
 from logloom.functions.columns import lookup
-from logloom.functions.emptiness import prune_variant_map
+from logloom.functions.emptiness import empty_variant, present, present_map
 from logloom.operators.extract import ERROR, with_error
 from logloom.plans.schema import LEAVES, assemble, leaf_paths, subtree, typed
 
@@ -151,23 +151,29 @@ def apply_cases(df: DataFrame, cases: Sequence[Case], event: str = "event") -> D
 
 # ---------------------------------------------------------------- leftovers
 def block_entries(col: Column, kind: T.DataType) -> Column:
-    """Any extracted block as MAP<STRING, VARIANT>."""
+    """Any extracted block as MAP<STRING, VARIANT> without its empty values."""
     if isinstance(kind, T.VariantType):
-        return F.try_variant_get(col, "$", "map<string,variant>")
+        return F.map_filter(F.try_variant_get(col, "$", "map<string,variant>"), lambda _, v: ~empty_variant(v))
     if isinstance(kind, T.MapType):
-        return F.transform_values(col, lambda _, v: v if isinstance(kind.valueType, T.VariantType) else v.cast("variant"))
+        if isinstance(kind.valueType, T.VariantType):
+            return F.map_filter(col, lambda _, v: ~empty_variant(v))
+        return F.transform_values(F.map_filter(col, lambda _, v: v.isNotNull() & ~v.isin("", "-")), lambda _, v: v.cast("variant"))
     members = [F.struct(F.lit(f.name).alias("key"), _as_variant(col[f.name], f.dataType).alias("value")) for f in kind.fields]
-    return F.when(col.isNotNull(), F.map_from_entries(F.array(*members)))
+    return F.when(col.isNotNull(), F.map_from_entries(F.filter(F.array(*members), lambda e: e["value"].isNotNull())))
 
 
 def _as_variant(col: Column, kind: T.DataType) -> Column:
-    if isinstance(kind, (T.MapType, T.StructType)):
+    if isinstance(kind, T.StringType):
+        return present(col).cast("variant")
+    if isinstance(kind, T.MapType):
+        return F.when(F.cardinality(col) > 0, F.try_parse_json(F.to_json(col)))
+    if isinstance(kind, T.StructType):
         return F.try_parse_json(F.to_json(col))
-    return col.cast("variant")
+    return F.when(F.size(col) > 0, col).cast("variant") if isinstance(kind, T.ArrayType) else col.cast("variant")
 
 
 def collect_unmapped(df: DataFrame, blocks: Sequence[str], drop: Sequence[str] = (), to: str = "unmapped") -> DataFrame:
-    """Everything the blocks hold, later blocks winning, without empty values and the listed keys."""
+    """Everything the blocks hold without the listed keys. The later block wins, but an empty value hides nothing."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     none = F.create_map().cast("map<string,variant>")
     maps = []
@@ -180,7 +186,7 @@ def collect_unmapped(df: DataFrame, blocks: Sequence[str], drop: Sequence[str] =
     both = F.map_concat(*maps) if len(maps) > 1 else maps[0]
     if drop:
         both = F.map_filter(both, lambda k, _: ~k.isin(*drop))
-    return df.withColumn(to, prune_variant_map(both))
+    return df.withColumn(to, present_map(both))
 
 
 # ---------------------------------------------------------------- derived fields
