@@ -36,9 +36,12 @@ _FRESH = f"""select key, min(ts_ms) as ts_ms, arg_min(seq, ts_ms * 100000000 + s
     where event_id % 2 = 0)) group by 1"""
 
 
+def _boundary(spark, sf):
+    return table(spark, sf, "events").filter("event_id % 2 = 0").select(F.concat(F.lit("k"), "event_id").alias("key"))
+
+
 def _fresh(spark, sf):
-    boundary = table(spark, sf, "events").filter("event_id % 2 = 0").select(F.concat(F.lit("k"), "event_id").alias("key"))
-    return r.incremental_new(fixture(spark, sf, "items"), _SINCE, boundary)
+    return r.incremental_new(fixture(spark, sf, "items"), _SINCE, _boundary(spark, sf))
 
 
 @check("win3_incremental", f"select key, ts_ms from ({_FRESH})")
@@ -46,10 +49,11 @@ def win3(spark, sf):
     return _fresh(spark, sf).select("key", "ts_ms")
 
 
-@check("win3_next_cursor", f"""with f as ({_FRESH}) select max(ts_ms) as since_ms, (select string_agg(key, ',' order by key) from (select key from f where ts_ms = (select max(ts_ms) from f)
-    order by key desc limit 500)) as boundary from f""")
+@check("win3_next_cursor", f"""with f as ({_FRESH}), m as (select greatest(coalesce(max(ts_ms), {_SINCE}), {_SINCE}) as since_ms from f),
+    k as (select key, ts_ms from f union select 'k' || event_id, {_SINCE} from events where event_id % 2 = 0)
+    select since_ms, (select string_agg(key, ',' order by key) from (select key from k where ts_ms = (select since_ms from m) order by key desc limit 500)) as boundary from m""")
 def win3b(spark, sf):
-    return r.next_cursor(_fresh(spark, sf), _SINCE).select("since_ms", F.array_join("boundary", ",").alias("boundary"))
+    return r.next_cursor(_fresh(spark, sf), _SINCE, _boundary(spark, sf)).select("since_ms", F.array_join("boundary", ",").alias("boundary"))
 
 
 @check("win4_advance_cursor", """select user_id as stream, greatest(max(event_id) * 1000, 5000000 - 120000) as since_ms,

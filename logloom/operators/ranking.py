@@ -91,13 +91,14 @@ def incremental_new(items: DataFrame, since_ms: int, boundary: DataFrame, key: s
     return kept.groupBy(key).agg(F.min_by(F.struct(*rest), F.coalesce(F.col(ts_ms), F.lit(-1))).alias("r")).select(key, "r.*")
 
 
-def next_cursor(new: DataFrame, since_ms: int, key: str = "key", ts_ms: str = "ts_ms") -> DataFrame:
+def next_cursor(new: DataFrame, since_ms: int, boundary: DataFrame, key: str = "key", ts_ms: str = "ts_ms") -> DataFrame:
     """(since_ms, boundary) after a run: newest time and the ids seen exactly then, at most 500 (the last by name).
 
-    When nothing newer came, the ids join those of the unchanged cursor, which the caller keeps.
+    When nothing newer came, the time stays and the new ids join the old boundary.
     """
     newest = new.agg(F.greatest(F.coalesce(F.max(ts_ms), F.lit(since_ms)), F.lit(since_ms)).cast("bigint").alias("since_ms"))
-    edge = new.join(F.broadcast(newest), F.col(ts_ms) == F.col("since_ms"), "left_semi").select(key)
+    old = boundary.select(F.col("key").alias(key), F.lit(since_ms).cast("bigint").alias(ts_ms))
+    edge = new.select(key, ts_ms).unionByName(old).join(F.broadcast(newest), F.col(ts_ms) == F.col("since_ms"), "left_semi").select(key).distinct()
     names = edge.orderBy(F.col(key).desc()).limit(BOUNDARY_MAX).agg(F.sort_array(F.collect_list(key)).alias("boundary"))
     both = newest.unionByName(names, allowMissingColumns=True)  # two rows
     return both.agg(F.max("since_ms").alias("since_ms"), F.max("boundary").alias("boundary"))
