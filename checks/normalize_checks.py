@@ -178,12 +178,12 @@ def nrm11(spark, sf):
     || ' app' || (user_id % 5) || '.example.org/e/' || event_id || '?t=' || event_type || ' '
     || case event_type when 'error' then 500 when 'signup' then 201 when 'click' then 304 else 200 end as output from events""")
 def nrm12(spark, sf):
-    return n.parse_lines(lines(spark, sf, "pipe"), FORMATS, out="csv").select("event_id", "ok", "parser", "output")
+    return n.parse_lines(spread(lines(spark, sf, "pipe")), FORMATS, out="csv").select("event_id", "ok", "parser", "output")
 
 
 @check("udf_surface_output_format", """select event_id, '<' || '198.51.100.' || (user_id % 250 + 1) || '> ' || strftime(ts, '%Y-%m-%dT%H:%M:%S.000Z') as line from events""")
 def own_layout(spark, sf):
     from logloom.operators.render import OutputFormat, render_rows
     own = OutputFormat("short", "template", template="<{e.src_endpoint.ip}> {e.time}")
-    df = n.parse_with(lines(spark, sf, "pipe"), BY_SLUG["access-pipe"])
+    df = n.parse_with(spread(lines(spark, sf, "pipe")), BY_SLUG["access-pipe"])
     return render_rows(df, ["short"], F.lit("short"), custom=[own]).select("event_id", F.col("value").alias("line"))

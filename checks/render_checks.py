@@ -9,7 +9,7 @@ from checks.lines import lines
 from logloom.operators import render as o
 from logloom.operators.normalize import normalize
 from logloom.plans.formats_in import BY_SLUG
-from logloom.session import shared_folder
+from logloom.session import shared_folder, spread
 from logloom.sources import lines as src
 from logloom.sources import sinks
 from logloom.streaming import jobs as st
@@ -17,7 +17,7 @@ from logloom.streaming import jobs as st
 
 def canon(spark, sf):
     """Canonical events of every class from the `flat` fixture, with context columns."""
-    f = fixture(spark, sf, "flat").withColumn("at", F.timestamp_seconds("epoch_s"))
+    f = spread(fixture(spark, sf, "flat")).withColumn("at", F.timestamp_seconds("epoch_s"))
     c = F.col
     keep = f.select("event_id", "tenant", "source", "status", "raw", "error", "peer_ip", F.col("at").alias("received_at"), *[x for x in f.columns if x not in (
         "event_id", "tenant", "source", "status", "raw", "error", "peer_ip", "ts", "user_id")])
