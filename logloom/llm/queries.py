@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe_rounds, mixing_tree, resample, robust_rules, segment_lang
+from logloom.llm import bpe_rounds, chat_windows, mixing_tree, resample, robust_rules, secret_index, segment_lang
 from logloom.llm.tables import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,21 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    told = "</s>[INST] ok [/INST]"
+    chats = chats.unionByName(spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], chats.schema))
+    back = chat_windows.read_back(chat_windows.windows(chats))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    per = back.select("conv_id", F.struct("window", told.alias("told"), F.array_join("loss", "").alias("loss")).alias("w"), F.size("turns").alias("n"), F.length("formatted").alias("chars"), "over_budget")
+    per = per.groupBy("conv_id").agg(F.array_sort(F.collect_list("w")).alias("w"), F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"),
+                                     F.count(F.lit(1)).alias("n_windows"), F.count_if("over_budget").alias("n_over_budget"))  # one digest is one value
+    joined = lambda field: F.array_join(F.transform("w", lambda w: w[field]), "")
+    return per.select("conv_id", "n_turns", F.sha2(joined("told"), 256).alias("turns_sha256"), F.length(joined("loss")).cast("bigint").alias("loss_chars"),
+                      F.sha2(joined("loss"), 256).alias("loss_sha256"), "formatted_chars", "n_windows", "n_over_budget")
+
+
 @query
 def op3_bpe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -33,6 +48,15 @@ def op5_segment_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_lang.identify(docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out")), model).drop("text")
 
 
+@query
+def op6_secret_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_index.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = [r.kind for r in secret_index.RULES if r.base]
+    only = F.filter("secret_spans", lambda s: s["ord"] < len(base))
+    return found.select("doc_id", *map(of, base), F.sha2(secret_index.joined(only), 256).alias("base_sha256"), secret_index.joined(F.col("secret_spans")).alias("spans"))
+
+
 @query
 def op7_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
