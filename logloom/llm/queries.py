@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe_rounds, chat_windows, mixing_tree, resample, robust_rules, secret_index, segment_lang
+from logloom.llm import bpe_rounds, chat_windows, chosen_path, mixing_tree, resample, robust_rules, secret_index, segment_lang
 from logloom.llm.tables import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,11 @@ def op7_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.classes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = stored(mixing_tree.sized(table(spark, sf_dir, "documents"), "doc_id"), "op9-sizes")
