@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe_rounds, chat_windows, chosen_path, mixing_tree, resample, robust_rules, secret_index, segment_lang
+from logloom.llm import bpe_rounds, chat_windows, chosen_path, dimension_scan, mixing_tree, pii_boost, resample, robust_rules, secret_index, segment_lang
 from logloom.llm.tables import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,12 +34,26 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(joined("loss"), 256).alias("loss_sha256"), "formatted_chars", "n_windows", "n_over_budget")
 
 
+@query
+def op2_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii_boost.find(docs, pii_boost.train(docs)).drop("text")
+    base = F.filter("pii_spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(pii_boost.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii_boost.joined(base), 256).alias("base_sha256"), pii_boost.joined(F.col("pii_spans")).alias("spans"))
+
+
 @query
 def op3_bpe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_rounds.digests(docs).drop("text")
 
 
+@query
+def op4_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dimension_scan.search(table(spark, sf_dir, "embeddings"), every=50)
+
+
 @query
 def op5_segment_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
