@@ -23,7 +23,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     told = "</s>[INST] ok [/INST]"
-    chats = chats.unionByName(spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], chats.schema))
+    chats = chats.unionByName(spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(told).alias("text")))
     back = chat_windows.read_back(chat_windows.windows(chats))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     per = back.select("conv_id", F.struct("window", told.alias("told"), F.array_join("loss", "").alias("loss")).alias("w"), F.size("turns").alias("n"), F.length("formatted").alias("chars"), "over_budget")

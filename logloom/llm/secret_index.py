@@ -125,6 +125,12 @@ def _query_rows(rules: tuple[Rule, ...]) -> tuple[list[tuple], list[tuple]]:
     return rows, needs
 
 
+def _literal_rows(like: DataFrame, rows: list[tuple], *names: str) -> DataFrame:
+    """A small table of literals, made in the plan itself."""
+    structs = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row))) for row in rows))
+    return like.sparkSession.range(1).select(F.inline(structs))
+
+
 def _key() -> Column:
     return F.xxhash64("doc_id", "text")
 
@@ -139,10 +145,9 @@ def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """secret_key and the rules whose trigram queries it meets."""
-    spark = index.sparkSession
     rows, needs = _query_rows(rules)
-    asked = F.broadcast(spark.createDataFrame(rows, "trigram string, kind string, stretch int, spelling int, need int"))  # the rules' own size
-    needed = F.broadcast(spark.createDataFrame(needs, "kind string, stretches int"))
+    asked = F.broadcast(_literal_rows(index, rows, "trigram", "kind", "stretch", "spelling", "need"))  # the rules' own size
+    needed = F.broadcast(_literal_rows(index, needs, "kind", "stretches"))
     met = index.distinct().join(asked, "trigram").groupBy("secret_key", "kind", "stretch", "spelling", "need").count().filter("count = need")
     both = met.groupBy("secret_key", "kind").agg(F.count_distinct("stretch").alias("got")).join(needed, "kind").filter("got = stretches")
     return both.groupBy("secret_key").agg(F.collect_set("kind").alias("secret_rules"))  # at most all rules
