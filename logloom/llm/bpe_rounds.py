@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from logloom.llm.words import chunks
 
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 SLICE_BYTES = 2_000_000
 BLOCK_SYMBOLS = 400_000  # symbols merged together
 # Fixed values of the tokenizer: contractions, letters, single digits, other runs. White space stands between them.
@@ -71,9 +71,9 @@ class Bpe:
         self.token_len = np.array([len(t) for t in self.token_bytes], np.int64)
         self.token_at = np.cumsum(self.token_len) - self.token_len
         self.token_data = np.frombuffer(b"".join(self.token_bytes), np.uint8)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         """An empty cache: the special tokens are its first words."""
         self.known: dict[str, int] = {}
         self.flat = np.array(list(self.special.values()), np.uint32)
@@ -149,7 +149,7 @@ class Bpe:
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's begin (one more entry than texts)."""
         if len(self.known) > CACHE_WORDS:
-            self._forget()
+            self.forget()
         place = {s: k for k, s in enumerate(self.special)}
         split = [self._pieces(t) for t in texts]
         new = set().union(*(words for pieces in split for words in pieces if not isinstance(words, str)))
@@ -220,6 +220,7 @@ def _mapped(docs: DataFrame, text: str, added: str, columns, tokenizer: str) ->
             for part in chunks(batch, text, SLICE_BYTES):
                 found = columns(bpe, *bpe.encode_batch([t or "" for t in part.column(text).to_pylist()]))
                 yield pa.RecordBatch.from_arrays([*part.columns, *found], names=[*part.schema.names, *names])
+        bpe.forget()  # a worker outlives its task, and so would the cache
 
     return docs.mapInArrow(run, _schema(docs, added))
 

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from logloom.session import configure, shared_folder
 
 
+BATCH_ROWS = "2000"  # rows of an Arrow batch: with long texts the default of 10,000 is much memory per worker
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write once, go on from the files: a lost executor repeats a read, and nothing is computed twice."""
     spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     path = shared_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

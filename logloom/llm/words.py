@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4_000_000  # a few arrays of eight bytes per text byte are alive at once; longer texts are one chunk each
+CHUNK_BYTES = 2_000_000  # a few arrays of eight bytes per text byte are alive at once; longer texts are one chunk each
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
