@@ -27,7 +27,7 @@ WEIGHTS = (3, 1, 2)   # of the sources in code point order, repeating, null last
 BUDGET = 1.5          # words of the mixture per word of input
 EPOCHS = 2            # most passes over a source
 BLOCK_BITS = 12       # blocks of a source: 2^12 ranges of the hash
-SHARDS = 64
+SHARD_WORDS = 8_000_000  # words of an output shard
 SEED = 11
 _SHIFT = 63 - BLOCK_BITS
 
@@ -79,12 +79,13 @@ def _null_safe(a: DataFrame, b: DataFrame, *keys: str):
     return cond
 
 
-def plan(sizes: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+def plan(sizes: DataFrame, shards: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The draws (source, mix_block, mix_copy, mix_upto, mix_shard), and the targets. mix_upto is the last hash of a block that is drawn in part, else null.
 
-    `sizes` (see `sized`) is read several times, so it should be a stored table.
+    `sizes` (see `sized`) is read several times, so it should be a stored table. The number of shards follows the words of the mixture.
     """
     goal = stored(targets(sizes), "mix-targets")
+    shards = shards or max(1, math.ceil((goal.agg(F.sum("target")).first()[0] or 0) / SHARD_WORDS))
     blocks = stored(sizes.groupBy("source", "mix_block").agg(F.sum("mix_size").alias("words")), "mix-blocks")
     in_order = Window.partitionBy("source").orderBy("mix_block")
     ranked = blocks.withColumns({"before": F.sum("words").over(in_order) - F.col("words"), "place": F.row_number().over(in_order) - 1,
@@ -124,11 +125,12 @@ def copies(sizes: DataFrame, draws: DataFrame) -> DataFrame:
     return joined.withColumn("mix_times", times.cast("bigint")).drop("whole", "upto")
 
 
-def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """The mixture: the columns of `docs`, each row as often as it is drawn, in shards, each in an order of its own."""
     draws, _ = plan(stored(sized(docs, "doc_id"), "mix-sizes"), shards)
+    shards = (draws.agg(F.max("mix_shard")).first()[0] or 0) + 1
     key = hash_key("doc_id", seed=SEED)
     rows = docs.withColumns({"mix_key": key, "mix_block": F.shiftright(key, _SHIFT).cast("int")})
     drawn = rows.join(draws, _null_safe(rows, draws, "source", "mix_block")).drop(draws["source"]).drop(draws["mix_block"]).filter("mix_upto is null or mix_key <= mix_upto")
     local = hash_key("mix_key", "mix_copy", "mix_shard", seed=SEED + 1)
-    return drawn.repartition("mix_shard").sortWithinPartitions("mix_shard", local).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return drawn.repartition(shards, "mix_shard").sortWithinPartitions("mix_shard", local).select(*(F.col(f"`{c}`") for c in docs.columns))
