@@ -213,6 +213,7 @@ def _schema(df: DataFrame, added: str) -> str:
 def _mapped(docs: DataFrame, text: str, added: str, columns, tokenizer: str) -> DataFrame:
     """`columns` makes the added columns of a slice from the tokenizer, the ids and where each text's ids begin."""
     names = [a.split(" ")[0] for a in added.split(", ")]
+    docs = docs.drop(*names)  # input columns of these names are replaced
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path(tokenizer))

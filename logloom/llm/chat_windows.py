@@ -1,7 +1,8 @@
 """Chat formatting in budgeted windows. DataFrame functions only.
 
 A conversation becomes windows of whole turns. Prefix sums of turn tokens choose the spans: turns that begin in the same stretch of `stride` tokens share a window, and a turn longer
-than a stride has one of its own, so new turns of a window fit twice the stride (or are a single longer turn). Every window begins with the system turn, then repeats the turns before it that lie within `history` tokens, then
+than a stride has one of its own, so new turns of a window fit twice the stride (or are a single longer turn). Turns are never cut: a longer turn, or a system turn above its
+third of the budget, makes its windows longer, and `over_budget` says so. Every window begins with the system turn, then repeats the turns before it that lie within `history` tokens, then
 has its new turns. Only assistant turns that are new are under the loss mask; each is so exactly once.
 
 A turn is written `<|im_start|>role`, a line end, the text, `<|im_end|>`, a line end. Control strings inside texts and roles (of this and other common templates) get a backslash after

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.tables import hash_key, stored
+from logloom.llm.tables import hash_key, set_aside, stored
 from logloom.llm.words import Words, chunks, mix
 
 SHINGLE = 5
@@ -324,6 +324,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The columns of `docs`: one document of each class (the least id), and every text without words."""
     members, sets = join(docs)
     keep = sets.select(F.col("class_row").alias("keep_key")).distinct().unionByName(members.filter("set_id is null").select(F.col("row_key").alias("keep_key")).distinct())
-    rows = docs.withColumn("keep_row_key", row_key())
-    rows = rows.join(keep, rows["keep_row_key"] == keep["keep_key"]).drop("keep_key").dropDuplicates(["keep_row_key"])
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+    safe, restored = set_aside(docs, "keep_")
+    rows = safe.withColumn("keep_row_key", row_key())
+    return restored(rows.join(keep, rows["keep_row_key"] == keep["keep_key"]).dropDuplicates(["keep_row_key"]))

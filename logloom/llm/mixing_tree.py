@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.tables import hash_key, stored
+from logloom.llm.tables import hash_key, set_aside, stored
 
 WEIGHTS = (3, 1, 2)   # of the sources in code point order, repeating, null last
 BUDGET = 1.5          # words of the mixture per word of input
@@ -130,7 +130,8 @@ def mix(docs: DataFrame, shards: int | None = None) -> DataFrame:
     draws, _ = plan(stored(sized(docs, "doc_id"), "mix-sizes"), shards)
     shards = (draws.agg(F.max("mix_shard")).first()[0] or 0) + 1
     key = hash_key("doc_id", seed=SEED)
-    rows = docs.withColumns({"mix_key": key, "mix_block": F.shiftright(key, _SHIFT).cast("int")})
+    safe, restored = set_aside(docs, "mix_")
+    rows = safe.withColumns({"mix_key": key, "mix_block": F.shiftright(key, _SHIFT).cast("int")})
     drawn = rows.join(draws, _null_safe(rows, draws, "source", "mix_block")).drop(draws["source"]).drop(draws["mix_block"]).filter("mix_upto is null or mix_key <= mix_upto")
     local = hash_key("mix_key", "mix_copy", "mix_shard", seed=SEED + 1)
-    return drawn.repartition(shards, "mix_shard").sortWithinPartitions("mix_shard", local).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return drawn.repartition(shards, "mix_shard").sortWithinPartitions("mix_shard", local).transform(restored)

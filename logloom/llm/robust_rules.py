@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.tables import stored
+from logloom.llm.tables import set_aside, stored
 from logloom.llm.words import Words, chunks
 
 WINDOW = 8          # words of a window that must not repeat
@@ -191,4 +191,5 @@ def judge(docs: DataFrame) -> DataFrame:
 def apply_rules(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their own columns. The texts are measured twice and never shuffled unless the group table is large."""
     stats = stored(with_statistics(docs.select("text", "lang", "source")).drop("text"), "rule-stats")
-    return verdicts(with_statistics(docs), fit(stats)).filter("rule_kept").select(*(F.col(f"`{n}`") for n in docs.columns))
+    safe, restored = set_aside(docs, "rule_")
+    return restored(verdicts(with_statistics(safe), fit(stats)).filter("rule_kept"))

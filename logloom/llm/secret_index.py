@@ -20,7 +20,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.tables import stored
+from logloom.llm.tables import set_aside, stored
 
 
 @dataclass(frozen=True)
@@ -176,7 +176,8 @@ def _spans(rule: Rule, order: int) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All columns and secret_spans, sorted: start, ord (the rule's place), kind, stop."""
+    """All columns and secret_spans, sorted: start, ord (the rule's place), kind, stop. Input columns that begin with `secret_` are replaced."""
+    docs = docs.drop(*(c for c in docs.columns if c.lower().startswith("secret_")))
     names = docs.columns
     index = stored(postings(docs.select("doc_id", "text"), rules).sortWithinPartitions("trigram"), "secret-postings")
     hits = candidates(index, rules)
@@ -196,8 +197,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     clean = F.aggregate("secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
                         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    found = scan(docs, rules)
-    return found.withColumn("text", F.when(F.size("secret_spans") > 0, clean).otherwise(text)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    safe, restored = set_aside(docs, "secret_")
+    return restored(scan(safe, rules).withColumn("text", F.when(F.size("secret_spans") > 0, clean).otherwise(text)))
 
 
 def joined(spans: Column) -> Column:

@@ -177,6 +177,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, vocab
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", vocab: str = VOCABULARY) -> DataFrame:
     """All columns, lang_pred and score (posterior of the language under equal priors, per word evidence averaged over ten words)."""
+    docs = docs.drop("lang_pred", "score")  # input columns of these names are replaced
     shared = docs.sparkSession.sparkContext.broadcast((model[0], model[1], vocabulary(vocab)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,3 +30,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def hash_key(*cols, seed: int = 0):
     """Non-negative 63-bit hash of columns, the same wherever and whenever it is computed."""
     return F.xxhash64(F.lit(seed), *cols).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+
+
+def quoted(name: str):
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def set_aside(docs: DataFrame, *prefixes: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`docs` with every column that begins like one of the operator's own renamed, and a function that gives a result the columns of `docs` back."""
+    other = {c: f"aside{i}_{c}" for i, c in enumerate(docs.columns) if c.lower().startswith(prefixes)}
+    return docs.withColumnsRenamed(other), lambda df: df.select(*(quoted(other.get(c, c)).alias(c) for c in docs.columns))
