@@ -24,6 +24,7 @@ from logloom.llm.words import Words, chunks
 
 BUCKETS = 1 << 15
 SMOOTHING = 1.0
+TARGETS = 20_000  # labelled good documents, chosen by hash, that the target model is fitted on; the raw model counts all documents
 FRACTION = 0.5   # of the documents that are kept
 SEED = 7
 
@@ -78,8 +79,9 @@ def scored(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
 
 
 def with_targets(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`is_target`: labelled good and not toxic. The labels are shuffled by id, never broadcast unless small."""
-    good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("good_id")).distinct()
+    """`is_target`: in a sample of at most TARGETS documents labelled good and not toxic. Its size is fixed, so it is broadcast and no text is shuffled."""
+    good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct()
+    good = F.broadcast(good.orderBy(hash_key("good_id", seed=SEED), "good_id").limit(TARGETS))
     return docs.join(good, docs["doc_id"] == good["good_id"], "left").withColumn("is_target", F.col("good_id").isNotNull()).drop("good_id")
 
 
