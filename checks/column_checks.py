@@ -132,9 +132,9 @@ def prd5(spark, sf):
 
 
 @check("prd6_search_events", """select event_id, epoch_us(received_at) as at_us from {arrivals} where tenant_id = 2 and status = 'parsed'
-    and received_at > {now} - interval 1440 minutes and raw ilike '%CLICK {"k"%'""")
+    and received_at > {now} - interval 20000 minutes and raw ilike '%CLICK {"k"%'""")
 def prd6(spark, sf):
-    out = search_events(fixture(spark, sf, "arrivals"), now(), tenant_id=2, status="parsed", minutes=99999, text='CLICK {"k"')
+    out = search_events(fixture(spark, sf, "arrivals"), now(), tenant_id=2, status="parsed", minutes=20000, text='CLICK {"k"')
     return out.select("event_id", micros("received_at").alias("at_us"))
 
 

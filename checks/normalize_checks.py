@@ -165,7 +165,7 @@ def nrm10_parse(spark, sf):
 
 
 @check("nrm11_status", """select event_id, case when event_id % 2 = 0 then 'unparsed' else 'parsed' end as status,
-    case when event_id % 2 = 0 then left(repeat(event_type, 150), 500) else '' end as error from events""")
+    case when event_id % 2 = 0 then repeat(event_type, 150) else '' end as error from events""")
 def nrm11(spark, sf):
     df = table(spark, sf, "events").withColumn("error", F.when(F.col("event_id") % 2 == 0, F.repeat("event_type", F.lit(150))))
     return n.finish_status(df).select("event_id", "status", "error")

@@ -25,20 +25,19 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
         return False
 
 
-def attach(df: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:
+def attach(df: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left", limit: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
     """Equi-join of a large frame with a dimension holding at most one row per key (or a few)."""
     if fits_broadcast(dim, limit):
         return df.join(F.broadcast(dim), list(on), how)
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*_spreading(df)), F.lit(SALTS)).cast("int"))
-    copies = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*_spreading(df, on)), F.lit(salts)).cast("int"))
+    copies = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "__salt"], how).drop("__salt")
 
 
-def _spreading(df: DataFrame) -> list[Column]:
-    """Columns that tell rows apart cheaply: numbers and times, or every plain column when there are none."""
-    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
-    numbers = [n for n, k in kinds.items() if k in ("integer", "long", "timestamp", "timestamp_ntz", "date")]
-    return [F.col(f"`{n}`") for n in numbers or [n for n, k in kinds.items() if k not in ("map", "variant", "struct", "array")]]
+def _spreading(df: DataFrame, keys: Sequence[str]) -> list[Column]:
+    """Columns that tell rows of one key apart: all plain ones but the keys themselves."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields if f.name not in keys}
+    return [F.col(f"`{n}`") for n, k in kinds.items() if k not in ("map", "variant", "struct", "array")] or [F.lit(0)]
 
 
 def anti(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:

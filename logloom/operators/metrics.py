@@ -129,20 +129,24 @@ def parser_usage(sources: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- coverage and quality
-def coverage(parsed: DataFrame, case: Column | None = None) -> DataFrame:
-    """Rows of (section, name, n, pct): the totals, every case by name, and the ten most frequent errors."""
+def coverage(parsed: DataFrame, case: Column | None = None, errors: int | None = None) -> DataFrame:
+    """Rows of (section, name, n, pct): the totals, every case by name, and all errors or the `errors` most frequent.
+
+    One aggregate over the parsed rows; the sections are cut from its few groups, so the parse runs once.
+    """
     ok = F.col("status") == "parsed"
-    total = parsed.agg(F.count("*").alias("t"), _count(ok).alias("p")).select(
+    name = case if case is not None else F.coalesce("event.metadata.parser_case", "event.class_name", F.lit("-"))
+    groups = parsed.groupBy(F.coalesce(ok, F.lit(False)).alias("ok"), F.when(ok, name).otherwise(F.col("error")).alias("name")).agg(F.count("*").alias("n"))
+    good = F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("p")
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t"), F.coalesce(good, F.lit(0)).alias("p")).select(
         F.explode(F.array(*[F.struct(F.lit(name).alias("name"), value.alias("n"), pct.alias("pct")) for name, value, pct in (
             ("total", F.col("t"), F.lit(None).cast("double")), ("unparsed", F.col("t") - F.col("p"), F.lit(None).cast("double")),
             ("parsed", F.col("p"), F.when(F.col("t") > 0, F.round(100.0 * F.col("p") / F.col("t"), 2)).otherwise(0.0)))])).alias("x")
     ).select(F.lit("total").alias("section"), "x.*")
-    name = case if case is not None else F.coalesce("event.metadata.parser_case", "event.class_name", F.lit("-"))
-    nothing = F.lit(None).cast("double").alias("pct")
-    cases = parsed.filter(ok).groupBy(name.alias("name")).agg(F.count("*").alias("n")).select(F.lit("case").alias("section"), "name", "n", nothing)
-    errors = (parsed.filter(~ok).groupBy(F.substring("error", 1, 200).alias("name")).agg(F.count("*").alias("n"))
-              .orderBy(F.col("n").desc(), "name").limit(10).select(F.lit("error").alias("section"), "name", "n", nothing))
-    return total.unionByName(cases).unionByName(errors)
+    part = lambda keep, section: groups.filter(keep).select(F.lit(section).alias("section"), "name", "n", F.lit(None).cast("double").alias("pct"))
+    bad = part(~F.col("ok"), "error")
+    bad = bad if errors is None else bad.orderBy(F.col("n").desc(), "name").limit(errors)
+    return total.unionByName(part(F.col("ok"), "case")).unionByName(bad)
 
 
 def quality_report(expected: DataFrame, actual: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -174,7 +178,7 @@ def usage_30d(usage: DataFrame, now: Column) -> DataFrame:
 
 def record_usage(calls: DataFrame) -> DataFrame:
     """Calls counted by key, day, route (120 characters) and status."""
-    return calls.groupBy("key_id", F.date_trunc("day", F.col("at")).alias("day"), F.substring(F.coalesce("route", F.lit("?")), 1, 120).alias("route"),
+    return calls.groupBy("key_id", F.date_trunc("day", F.col("at")).alias("day"), F.coalesce("route", F.lit("?")).alias("route"),
                          "status").agg(F.count("*").alias("count"))
 
 

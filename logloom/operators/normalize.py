@@ -16,7 +16,6 @@ from logloom.operators.extract import ERROR, with_error
 from logloom.plans.schema import LEAVES, assemble, leaf_paths, subtree, typed
 
 MAX_LINE = 256 * 1024
-MAX_ERROR = 500
 
 # fixed values: severity numbers by name, and names by number
 SEVERITY_IDS = {"unknown": 0, "informational": 1, "info": 1, "low": 2, "medium": 3, "high": 4, "critical": 5, "fatal": 6}
@@ -40,7 +39,7 @@ class Timed:
     @property
     def problem(self) -> Column:
         bad = self.source.isNotNull() & ~self.source.isin("", "-") & self.value.isNull()
-        return F.when(bad, F.concat(F.lit("unreadable time: "), F.substring(self.source, 1, 60)))
+        return F.when(bad, F.concat(F.lit("unreadable time: "), self.source))
 
 
 @dataclass(frozen=True)
@@ -229,9 +228,9 @@ def precheck(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def finish_status(df: DataFrame) -> DataFrame:
-    """`parsed` or `unparsed`, and the error cut to 500 characters ('' when parsed)."""
+    """`parsed` or `unparsed`, and the error ('' when parsed)."""
     return df.withColumns({"status": F.when(F.col(ERROR).isNull(), "parsed").otherwise("unparsed"),
-                           ERROR: F.substring(F.coalesce(F.col(ERROR), F.lit("")), 1, MAX_ERROR)})
+                           ERROR: F.coalesce(F.col(ERROR), F.lit(""))})
 
 
 # ---------------------------------------------------------------- formats and dispatch

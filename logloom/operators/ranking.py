@@ -74,7 +74,6 @@ def first_example_per_case(df: DataFrame, case: str, id_col: str, n: int = 12) -
 
 
 # ---------------------------------------------------------------- cursors
-BOUNDARY_MAX = 500
 MARGIN_SECONDS = 120
 
 
@@ -88,34 +87,42 @@ def incremental_new(items: DataFrame, since_ms: int, boundary: DataFrame, key: s
     at_edge = boundary.select(F.col("key").alias(key), F.lit(since_ms).cast("bigint").alias(ts_ms))
     kept = anti(fresh, at_edge, [key, ts_ms])
     rest = [c for c in items.columns if c != key]
-    return kept.groupBy(key).agg(F.min_by(F.struct(*rest), F.coalesce(F.col(ts_ms), F.lit(-1))).alias("r")).select(key, "r.*")
+    earliest = F.struct(F.coalesce(F.col(ts_ms), F.lit(-1)), _tie(items, rest))
+    return kept.groupBy(key).agg(F.min_by(F.struct(*rest), earliest).alias("r")).select(key, "r.*")
 
 
-def next_cursor(new: DataFrame, since_ms: int, boundary: DataFrame, key: str = "key", ts_ms: str = "ts_ms") -> DataFrame:
-    """(since_ms, boundary) after a run: newest time and the ids seen exactly then, at most 500 (the last by name).
+def _tie(df: DataFrame, columns: list[str]) -> Column:
+    """Decides between copies of equal time, the same way after every retry."""
+    plain = [c for c in columns if df.schema[c].dataType.typeName() not in ("map", "variant")]
+    return F.xxhash64(*plain) if plain else F.lit(0).cast("bigint")
+
+
+def next_cursor(new: DataFrame, since_ms: int, boundary: DataFrame, key: str = "key", ts_ms: str = "ts_ms", most: int | None = None) -> DataFrame:
+    """(since_ms, boundary) after a run: newest time and the ids seen exactly then (all, or the last `most` by name).
 
     When nothing newer came, the time stays and the new ids join the old boundary.
     """
     newest = new.agg(F.greatest(F.coalesce(F.max(ts_ms), F.lit(since_ms)), F.lit(since_ms)).cast("bigint").alias("since_ms"))
     old = boundary.select(F.col("key").alias(key), F.lit(since_ms).cast("bigint").alias(ts_ms))
     edge = new.select(key, ts_ms).unionByName(old).join(F.broadcast(newest), F.col(ts_ms) == F.col("since_ms"), "left_semi").select(key).distinct()
-    names = edge.orderBy(F.col(key).desc()).limit(BOUNDARY_MAX).agg(F.sort_array(F.collect_list(key)).alias("boundary"))
+    edge = edge if most is None else edge.orderBy(F.col(key).desc()).limit(most)
+    names = edge.agg(F.sort_array(F.collect_list(key)).alias("boundary"))
     both = newest.unionByName(names, allowMissingColumns=True)  # two rows
     return both.agg(F.max("since_ms").alias("since_ms"), F.max("boundary").alias("boundary"))
 
 
-def advance_cursor(cursor: DataFrame, end_ms: int, complete: bool = True, margin_s: int = MARGIN_SECONDS) -> DataFrame:
+def advance_cursor(cursor: DataFrame, end_ms: int, complete: bool = True, margin_s: int = MARGIN_SECONDS, most: int | None = None) -> DataFrame:
     """After a complete run without recent items the cursor moves to the end minus a margin and forgets its boundary."""
     edge = F.lit(end_ms - margin_s * 1000).cast("bigint")
     moves = F.lit(complete) & (edge > F.col("since_ms"))
-    kept = F.slice(F.sort_array("boundary"), F.greatest(F.size("boundary") - BOUNDARY_MAX + 1, F.lit(1)), F.lit(BOUNDARY_MAX))
+    kept = F.sort_array("boundary")
+    kept = kept if most is None else F.slice(kept, F.greatest(F.size("boundary") - most + 1, F.lit(1)), F.lit(most))
     return cursor.select(*[c for c in cursor.columns if c not in ("since_ms", "boundary")],
                          F.when(moves, edge).otherwise(F.col("since_ms")).alias("since_ms"),
                          F.when(moves, F.array().cast("array<string>")).otherwise(kept).alias("boundary"))
 
 
 SEEN_HOURS = 72
-SEEN_MAX = 30_000
 
 
 def event_key(kind: Column, event_id: Column, device_id: Column, text: Column) -> Column:
@@ -132,17 +139,17 @@ def dedupe_seen(items: DataFrame, seen: DataFrame, now_s: int, ttl_s: int = SEEN
     """
     known = seen.filter(F.lit(now_s) - F.col("seen_s") < ttl_s).select(F.col("key").alias(key))
     rest = [c for c in items.columns if c != key]
-    one = anti(items, known, [key]).groupBy(key).agg(F.min_by(F.struct(*rest), F.coalesce(F.col(ts_ms), F.lit(now_s * 1000))).alias("r"))
+    one = anti(items, known, [key]).groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(F.coalesce(F.col(ts_ms), F.lit(now_s * 1000)), _tie(items, rest))).alias("r"))
     out = one.select(key, "r.*")
     return out if floor_ms is None else out.filter(F.col(ts_ms).isNull() | (F.col(ts_ms) >= floor_ms))
 
 
-def seen_after(items: DataFrame, seen: DataFrame, now_s: int, ttl_s: int = SEEN_HOURS * 3600, cap: int = SEEN_MAX, key: str = "key") -> DataFrame:
-    """Seen table to keep: live entries and the new keys, the newest `cap` of them."""
+def seen_after(items: DataFrame, seen: DataFrame, now_s: int, ttl_s: int = SEEN_HOURS * 3600, cap: int | None = None, key: str = "key") -> DataFrame:
+    """Seen table to keep: live entries and the new keys (all, or the newest `cap` of them)."""
     known = seen.filter(F.lit(now_s) - F.col("seen_s") < ttl_s).select("key", "seen_s")
     new = items.select(F.col(key).alias("key")).distinct().withColumn("seen_s", F.lit(now_s).cast("bigint"))
     merged = known.unionByName(new).groupBy("key").agg(F.min("seen_s").alias("seen_s"))
-    return merged.orderBy(F.col("seen_s").desc(), F.col("key").desc()).limit(cap)
+    return merged if cap is None else merged.orderBy(F.col("seen_s").desc(), F.col("key").desc()).limit(cap)
 
 
 def update_key(df: DataFrame, id_col: str, updated: str, to: str = "key") -> DataFrame:
@@ -158,11 +165,17 @@ DEFAULT_LIMIT = (500, 4_000_000)
 ROW_OVERHEAD = 16
 
 
-def due_deliveries(ledger: DataFrame, events: DataFrame, now: Column, n: int = ROUND_MAX) -> DataFrame:
-    """Pending deliveries that are due and whose event exists: the first n by event id for each destination."""
+def due_deliveries(ledger: DataFrame, events: DataFrame, now: Column, n: int | None = None, destinations: DataFrame | None = None) -> DataFrame:
+    """Pending deliveries that are due and whose event exists: all, or the first n by event id for each destination.
+
+    With `destinations` (destination_id, active, paused_until), inactive ones and those paused beyond `now` get nothing.
+    """
     due = ledger.filter((F.col("status") == "pending") & (F.col("next_attempt_at") <= now))
     live = due.join(events.select("event_id"), "event_id", "left_semi")
-    return top_per_key(live, ["destination_id"], [F.col("event_id")], n)
+    if destinations is not None:
+        open_ = destinations.filter(F.col("active") & (F.col("paused_until").isNull() | (F.col("paused_until") <= now)))
+        live = live.join(open_.select("destination_id"), "destination_id", "left_semi")
+    return live if n is None else top_per_key(live, ["destination_id"], [F.col("event_id")], n)
 
 
 def delivery_rounds(due: DataFrame, n: int = ROUND_MAX) -> DataFrame:

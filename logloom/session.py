@@ -42,10 +42,12 @@ def build_session(app: str = "logloom", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new path below the folder all executors share (`spark.checkpoint.dir`).
 
-    Only where that setting is missing, as in local tests, a local temporary folder is chosen and stored in the session.
+    Only where that setting is missing, as in local tests, a local temporary folder is chosen and stored in the session; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="logloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/logloom/{label}-{uuid.uuid4().hex}"
