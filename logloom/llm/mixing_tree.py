@@ -90,7 +90,7 @@ def plan(sizes: DataFrame, shards: int | None = None) -> tuple[DataFrame, DataFr
     in_order = Window.partitionBy("source").orderBy("mix_block")
     ranked = blocks.withColumns({"before": F.sum("words").over(in_order) - F.col("words"), "place": F.row_number().over(in_order) - 1,
                                  "blocks": F.count(F.lit(1)).over(Window.partitionBy("source"))})
-    ranked = ranked.join(F.broadcast(goal), _null_safe(ranked, goal, "source")).drop(goal["source"])  # a row a source
+    ranked = ranked.join(goal, _null_safe(ranked, goal, "source")).drop(goal["source"])
     passes = F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("int")
     rest = F.col("target") - passes * F.col("source_size")
     state = stored(ranked.select(ranked["source"], "mix_block", "place", "blocks", "before", "words", passes.alias("passes"), rest.alias("rest")), "mix-order")
@@ -111,8 +111,8 @@ def plan(sizes: DataFrame, shards: int | None = None) -> tuple[DataFrame, DataFr
     cuts = np.zeros((0, shards), np.int64)
     if quotas:
         cuts = np.cumsum(split(np.array([r["count"] for r in quotas], np.int64), shards, np.random.default_rng(SEED)), axis=0).T
-    bounds = spark.createDataFrame([(r["source"], [int(c) for c in row]) for r, row in zip(quotas, cuts)], "source string, bounds array<bigint>")
-    placed = draws.join(F.broadcast(bounds), _null_safe(draws, bounds, "source")).drop(bounds["source"])  # a row a source
+    bounds = stored(spark.createDataFrame([(r["source"], [int(c) for c in row]) for r, row in zip(quotas, cuts)], "source string, bounds array<bigint>"), "mix-bounds")
+    placed = draws.join(bounds, _null_safe(draws, bounds, "source")).drop(bounds["source"])
     shard = F.size(F.filter("bounds", lambda b: b <= F.col("turn")))
     return stored(placed.select("source", "mix_block", "mix_copy", "mix_upto", shard.alias("mix_shard")), "mix-plan"), goal
 

@@ -86,7 +86,7 @@ def op9_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = stored(mixing_tree.sized(table(spark, sf_dir, "documents"), "doc_id"), "op9-sizes")
     draws, goal = mixing_tree.plan(sizes)
     rows = mixing_tree.copies(sizes, draws)
-    return rows.join(F.broadcast(goal), rows["source"].eqNullSafe(goal["source"])).select(  # a row a source
+    return rows.join(goal, rows["source"].eqNullSafe(goal["source"])).select(
         "doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("mix_times")).alias("taken"))
 
 
