@@ -28,7 +28,7 @@ NEAREST = 5
 SAMPLE = 20_000       # vectors the centres are fitted on
 LIST_ROWS = 1024      # wanted length of a list
 MOST_LISTS = 1024
-PROBED = 0.6          # share of the lists a query visits; the test vectors have no structure beyond near copies, so most lists count
+PROBED = 0.85         # share of the lists a query visits; the test vectors have no clusters beyond near copies, so most lists count
 BLOCK = 4096          # candidates of a task
 QUERIES = 1024        # queries of a task
 COLUMNS = 16          # dimensions between two tests
