@@ -67,23 +67,27 @@ def exp7(spark, sf):
     return table(spark, sf, "pages").select("page_id", c.url_struct(F.col("url"))["hostname"].alias("hostname"))
 
 
-@check("exp8_object", """select event_id, user_id % 3 = 0 and event_type <> 'error' as missing, case when user_id % 3 <> 0 then user_id end as u,
-    case when event_type = 'error' then 'error' end as e from events""")
+# texts with '' and '-' among them
+_GAPPY = "case user_id % 4 when 0 then '' when 1 then '-' when 2 then event_type end"
+
+
+@check("exp8_object", f"""select event_id, user_id % 3 = 0 and event_type <> 'error' and t is null as missing, case when user_id % 3 <> 0 then user_id end as u,
+    case when event_type = 'error' then 'error' end as e, t from (select *, nullif(nullif({_GAPPY}, ''), '-') as t from events)""")
 def exp8(spark, sf):
-    o = c.obj(u=F.when(F.col("user_id") % 3 != 0, F.col("user_id")), e=F.when(F.col("event_type") == "error", F.col("event_type")))
-    return table(spark, sf, "events").withColumn("o", o).select("event_id", F.col("o").isNull().alias("missing"), "o.u", "o.e")
+    o = c.obj(u=F.when(F.col("user_id") % 3 != 0, F.col("user_id")), e=F.when(F.col("event_type") == "error", F.col("event_type")), t=F.expr(_GAPPY))
+    return table(spark, sf, "events").withColumn("o", o).select("event_id", F.col("o").isNull().alias("missing"), "o.u", "o.e", "o.t")
 
 
-@check("exp9_list", """select event_id, nullif((user_id % 2)::int + (event_type = 'error')::int, 0) as n from events""")
+@check("exp9_list", f"""select event_id, nullif(concat_ws(',', case when user_id % 2 = 1 then 'u' end, case when event_type = 'error' then 'e' end, nullif(nullif({_GAPPY}, ''), '-')), '') as items from events""")
 def exp9(spark, sf):
     t = F.when(F.col("event_type") == "error", F.lit("e"))
-    li = c.list_of(F.when(F.col("user_id") % 2 == 1, F.lit("u")), t)
-    return table(spark, sf, "events").select("event_id", F.when(li.isNotNull(), F.size(li)).alias("n"))
+    li = c.list_of(F.when(F.col("user_id") % 2 == 1, F.lit("u")), t, F.expr(_GAPPY))
+    return table(spark, sf, "events").select("event_id", F.array_join(li, ",").alias("items"))
 
 
-@check("exp10_default", """select event_id, coalesce(case when user_id % 2 = 1 then user_id end, -1) as value from events""")
+@check("exp10_default", f"""select event_id, coalesce(case when user_id % 2 = 1 then user_id end, -1) as value, coalesce(nullif(nullif({_GAPPY}, ''), '-'), 'none') as name from events""")
 def exp10(spark, sf):
-    return table(spark, sf, "events").select("event_id", c.with_default(F.when(F.col("user_id") % 2 == 1, F.col("user_id")), -1).alias("value"))
+    return table(spark, sf, "events").select("event_id", c.with_default(F.when(F.col("user_id") % 2 == 1, F.col("user_id")), -1).alias("value"), c.with_default(F.expr(_GAPPY), "none").alias("name"))
 
 
 # ---------------------------------------------------------------- predicates

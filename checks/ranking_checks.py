@@ -174,22 +174,22 @@ def str6(spark, sf):
     return out.select("destination_id", "status", "consecutive_failures", micros("paused_until").alias("paused_us"), micros("alerted_at").alias("alerted_us"), "sent_total", "failed_total")
 
 
-@check("str8_retention", """with e as (select a.*, a.event_id in (select event_id from {ledger} where status = 'pending') as pending from {arrivals} a where received_at < {now}),
+@check("str8_retention", """with e as (select a.*, a.event_id in (select event_id from {ledger} where status = 'pending') as pending from {arrivals} a),
     k as (select event_id from e where not (received_at < {now} - interval 24 hours or (received_at < {now} - interval 2 hours and not pending and status <> 'received')))
     select 'event' as part, '' as status, count(*) as n, cast(sum(event_id) as bigint) as ids from k union all
     select 'ledger', s, count(*), cast(sum(event_id) as bigint) from (select l.event_id, case when l.status = 'pending' and e.received_at < {now} - interval 24 hours then 'dropped' else l.status end as s
     from {ledger} l left join e on e.event_id = l.event_id) where s = 'pending' or event_id in (select event_id from k) group by 2""")
 def str8(spark, sf):
-    events = fixture(spark, sf, "arrivals").filter(F.col("received_at") < now())
+    events = fixture(spark, sf, "arrivals")
     kept, ledger = led.retention(events, fixture(spark, sf, "ledger"), now())
     total = [F.count("*").alias("n"), F.sum("event_id").alias("ids")]
     return kept.agg(*total).select(F.lit("event").alias("part"), F.lit("").alias("status"), "n", "ids").unionByName(
         ledger.groupBy("status").agg(*total).select(F.lit("ledger").alias("part"), "status", "n", "ids"))
 
 
-@check("str9_trim_to_capacity", """select event_id from events where event_type <> 'view' qualify row_number() over (order by event_id) > greatest(1000, floor(count(*) over () * 0.1))""")
+@check("str9_trim_to_capacity", """select event_id from events qualify row_number() over (order by event_id) > greatest(1000, floor(count(*) over () * 0.1))""")
 def str9(spark, sf):
-    return led.trim_to_capacity(table(spark, sf, "events").filter("event_type <> 'view'"), True, width=512).select("event_id")
+    return led.trim_to_capacity(table(spark, sf, "events"), True, width=512).select("event_id")
 
 
 @check("str10_expire_uploads", """select upload_id, case when expires_at < {now} then 'expired' else status end as status from {uploads}""")
@@ -233,8 +233,27 @@ def msk1_tokens(spark, sf):
     return mk.numbered(values.select("kind", "value").distinct())
 
 
-@check("msk2_find_sensitive", r"""select doc_id, len(list_filter(string_split_regex(text, '[^0-9.]+'), lambda x: regexp_full_match(x, '(\d{1,3}\.){3}\d{1,3}'))) as n_v4,
+_MAIL, _UUID = "'user' || (user_id % 60) || '@mail.example'", "'0a1b2c3d-0000-4000-8000-' || lpad(cast(user_id % 90 as varchar), 12, '0')"
+_SID, _V6 = "'S-1-5-21-7-8-' || (user_id % 30)", "'2804:18::' || (1 + user_id % 9)"
+_V4P, _V4 = "'10.' || (user_id % 7) || '.0.' || (event_id % 200)", "'8.8.' || (user_id % 5) || '.' || (event_id % 250)"
+_OUTER = {"mail": "'user' || n || '@masked.invalid'", "uuid": "'00000000-0000-8000-8000-' || lpad(lower(to_hex(n)), 12, '0')", "sid": "'S-1-5-21-4000000000-0-' || n",
+          "v6": "'2001:db8::0:0:' || lower(to_hex(n))", "v4p": "'10.' || (n // 65536) || '.' || (n // 256 % 256) || '.' || (n % 256)", "v4": "'240.' || (n // 65536) || '.' || (n // 256 % 256) || '.' || (n % 256)"}
+_VALUES = dict(zip(_OUTER, (_MAIL, _UUID, _SID, _V6, _V4P, _V4)))
+
+
+@check("msk1_mask_lines", "with " + ", ".join(f"t_{k} as (select value, {_OUTER[k]} as token from (select value, row_number() over (order by md5(value), value) as n from (select distinct {v} as value from events)))" for k, v in _VALUES.items())
+       + " select event_id, 'by <' || t_mail.token || '> id ' || t_uuid.token || ', ' || t_sid.token || '-1001 from ' || t_v6.token || ' via ' || t_v4p.token || ' to ' || t_v4.token || '. not 300.1.1.1 or 12:30:01' as masked from events "
+       + " ".join(f"join t_{k} on t_{k}.value = {v}" for k, v in _VALUES.items()))
+def msk1_lines(spark, sf):
+    """Lines made of every event, so that SQL can say what each must become; free text is `msk1_mask`."""
+    value = {k: F.expr(v.replace("varchar", "string")) for k, v in _VALUES.items()}
+    text = F.concat(F.lit("by <"), value["mail"], F.lit("> id "), value["uuid"], F.lit(", "), value["sid"], F.lit("-1001 from "), value["v6"], F.lit(" via "), value["v4p"],
+                    F.lit(" to "), value["v4"], F.lit(". not 300.1.1.1 or 12:30:01"))
+    return mk.mask(table(spark, sf, "events").select("event_id", text.alias("text")), "text", "event_id").select("event_id", "masked")
+
+
+@check("msk2_find_sensitive", r"""select doc_id, len(list_filter(string_split_regex(text, '[^0-9.]+'), lambda x: regexp_full_match(rtrim(x, '.'), '(\d{1,3}\.){3}\d{1,3}'))) as n_v4,
     len(regexp_extract_all(text, '\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b')) as n_uuid,
-    len(regexp_extract_all(text, '[\pL\pN_][\pL\pN_.+-]*@[\pL\pN_-]+(\.[\pL\pN_-]+)+')) as n_mail from documents""")
+    len(regexp_extract_all(text, '[\pL\pN_.+-]+@[\pL\pN_-]+(\.[\pL\pN_-]+)+')) as n_mail from documents""")
 def msk2(spark, sf):
     return mk.find_sensitive(table(spark, sf, "documents"), "text").select("doc_id", "n_v4", "n_uuid", "n_mail")

@@ -108,17 +108,22 @@ def url_struct(col: Column) -> Column:
     return url_parts(col)
 
 
+def _filled(col: Column) -> Column:
+    """A value of any type, NULL when its text is '' or '-'."""
+    return F.when(~col.cast("string").isin("", "-"), col)
+
+
 def obj(**members: Column) -> Column:
-    """Struct of the members; NULL when all are NULL, so that nothing empty is written."""
-    return F.when(F.coalesce(*[F.when(c.isNotNull(), True) for c in members.values()]),
-                  F.struct(*[c.alias(k) for k, c in members.items()]))
+    """Struct of the members, empty ones as NULL; NULL when all are empty, so that nothing empty is written."""
+    full = {k: _filled(c) for k, c in members.items()}
+    return F.when(F.coalesce(*[F.when(c.isNotNull(), True) for c in full.values()]), F.struct(*[c.alias(k) for k, c in full.items()]))
 
 
 def list_of(*cols: Column) -> Column:
     """Array of the values that are not empty; NULL when none is left."""
-    kept = F.filter(F.array(*cols), lambda x: x.isNotNull())
+    kept = F.filter(F.array(*cols), lambda x: _filled(x).isNotNull())
     return F.when(F.size(kept) > 0, kept)
 
 
 def with_default(col: Column, value) -> Column:
-    return F.coalesce(col, F.lit(value))
+    return F.coalesce(_filled(col), F.lit(value))

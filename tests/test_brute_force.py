@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from logloom.operators import masking, ranking
 from logloom.sources import sinks
 
-EMAIL = re.compile(r"\b[\w.+-]{1,64}@[\w-]+(?:\.[\w-]+)+\b")
+EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
 UUID = re.compile(masking.PATTERNS["uuid"])
 SID = re.compile(masking.PATTERNS["sid"])
-V6 = re.compile(r"(?<![\w:])(?:[0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{0,4}(?![\w:])")
+V6 = re.compile(masking.PATTERNS["v6"])
 V4 = re.compile(masking.PATTERNS["v4"])
 
 
@@ -27,8 +27,8 @@ def valid(text):
 def finds(text):
     """(kind, value) of the finds of one text, kind by kind on what the earlier kinds leave."""
     out = set()
-    for kind, rx, stand_in in (("mail", EMAIL, "usuario@exemplo.com.br"), ("uuid", UUID, "00000000-0000-4000-8000-000000000000"),
-                               ("sid", SID, "S-1-5-21-1000000000-1000000000-1000000000")):
+    for kind, rx, stand_in in (("mail", EMAIL, "user0@masked.invalid"), ("uuid", UUID, "00000000-0000-8000-8000-000000000000"),
+                               ("sid", SID, "S-1-5-21-4000000000-0-0")):
         out |= {(kind, m) for m in rx.findall(text)}
         text = rx.sub(stand_in, text)
     out |= {("v6", m) for m in V6.findall(text) if valid(m)}
@@ -42,8 +42,8 @@ def masked(texts):
     token = {}
     for kind, values in by_kind.items():
         for n, v in enumerate(sorted(values, key=lambda v: (hashlib.md5(v.encode()).hexdigest(), v)), 1):
-            token[v] = {"mail": f"usuario{n}@exemplo.com.br", "uuid": f"00000000-0000-4000-8000-{n:012d}", "sid": f"S-1-5-21-1000000000-1000000000-{1000000000 + n}",
-                        "v6": f"2001:db8::{n:x}", "v4p": f"10.{n // 65536 % 256}.{n // 256 % 256}.{n % 256 or 1}", "v4": f"198.18.{n // 256 % 256}.{n % 256 or 1}"}[kind]
+            token[v] = {"mail": f"user{n}@masked.invalid", "uuid": f"00000000-0000-8000-8000-{n:012x}", "sid": f"S-1-5-21-4000000000-0-{n}",
+                        "v6": f"2001:db8::0:0:{n:x}", "v4p": f"10.{n // 65536}.{n // 256 % 256}.{n % 256}", "v4": f"240.{n // 65536}.{n // 256 % 256}.{n % 256}"}[kind]
     for rx in (EMAIL, UUID, SID, V6, V4):
         texts = [rx.sub(lambda m: token.get(m.group(0), m.group(0)), t) for t in texts]
     return texts
@@ -66,7 +66,16 @@ def test_mask_terms_and_hot_values(spark, monkeypatch):
     monkeypatch.setattr(masking, "HOT_COPIES", 2)
     docs = spark.createDataFrame([(i, f"acme LTDA from 8.8.{i % 2}.8 and 9.9.9.{i}") for i in range(9)], "id long, t string")
     got = [r.masked for r in masking.mask(docs, "t", "id", ["ACME LTDA", "x"]).orderBy("id").collect()]
-    assert all(g.startswith("OCULTO1 from 198.18.0.") for g in got) and len({g.split()[2] for g in got}) == 2 and len({g.split()[4] for g in got}) == 9
+    assert all(g.startswith("[TERM1] from 240.0.0.") for g in got) and len({g.split()[2] for g in got}) == 2 and len({g.split()[4] for g in got}) == 9
+
+
+def test_mask_tokens_are_one_to_one(spark):
+    n = F.col("id") + 1
+    many = spark.range(70_000).unionByName(spark.range(2**24 - 5, 2**24 + 5)).unionByName(spark.range(2**28 - 5, 2**28 + 5)).unionByName(spark.range(2**32 - 5, 2**32 + 5))
+    for kind in ("mail", "uuid", "sid", "v6", "v4", "v4p"):
+        tokens = many.select(masking._token(F.lit(kind), n).alias("t"))
+        assert tokens.distinct().count() == 70_030
+    assert all(valid(r.t) for r in many.filter("id < 70000").select(masking._token(F.lit("v6"), n).alias("t")).limit(2000).collect())
 
 
 def packed(sizes, max_n, max_b):
