@@ -134,16 +134,18 @@ def is_ipv6(col: Column) -> Column:
     return F.contains(col, F.lit(":")) & let(_dotted_tail_to_hex(col), _v6_shaped)
 
 
+def _v6_groups(t: Column) -> Column:
+    """The eight groups of a well-formed IPv6 text, with '::' filled by zeros."""
+    side = lambda p: F.filter(F.split(p, ":"), lambda g: g != "")
+    left, right = side(F.substring_index(t, "::", 1)), side(F.substring_index(t, "::", -1))
+    missing = F.greatest(F.lit(0), F.lit(8) - F.size(left) - F.size(right))
+    return F.when(F.contains(t, F.lit("::")), F.concat(left, F.array_repeat(F.lit("0"), missing), right)).otherwise(side(t))
+
+
 def _compress_v6(s: Column) -> Column:
     """Usual form of eight-group hexadecimal text: lower case, no leading zeros, the longest run of zeros as '::'."""
-    side = lambda t: F.filter(F.split(t, ":"), lambda g: g != "")
     strip_zeros = lambda g: F.regexp_replace(g, "^0+(?=.)", "")
 
-    def fill(t: Column) -> Column:
-        left, right = side(F.substring_index(t, "::", 1)), side(F.substring_index(t, "::", -1))
-        missing = F.greatest(F.lit(0), F.lit(8) - F.size(left) - F.size(right))
-        return F.when(F.contains(t, F.lit("::")), F.concat(left, F.array_repeat(F.lit("0"), missing), right)).otherwise(side(t))
-
     # the longest run of at least two zero groups, the first of equal length: ':0:0:…:' inside ':a:b:…:'
     runs = F.array(*[F.lit(":" + "0:" * k) for k in range(8, 1, -1)])
 
@@ -152,7 +154,7 @@ def _compress_v6(s: Column) -> Column:
         return F.when(run.isNull(), j).otherwise(F.concat(j.substr(F.lit(1), F.position(run, j) - 1), F.lit("::"),
                                                           j.substr(F.position(run, j) + F.length(run), F.length(j))))
 
-    joined = let(F.lower(s), lambda t: F.concat(F.lit(":"), F.array_join(F.transform(fill(t), strip_zeros), ":"), F.lit(":")))
+    joined = let(F.lower(s), lambda t: F.concat(F.lit(":"), F.array_join(F.transform(_v6_groups(t), strip_zeros), ":"), F.lit(":")))
     return F.regexp_replace(let(joined, shorten), r"^:(?!:)|(?<!:):\z", "")
 
 
@@ -175,6 +177,27 @@ def ipv4_number(col: Column) -> Column:
     return F.when(is_ipv4(col), part(1) * 16777216 + part(2) * 65536 + part(3) * 256 + part(4))
 
 
+def address_bits(col: Column) -> Column:
+    """Address -> STRUCT(family, high, low): its bits from the left in two BIGINTs, IPv4 in the upper half of `high`. NULL when it is no address."""
+    shift = lambda c: F.shiftleft(c, 32)
+
+    def v6(s: Column) -> Column:
+        digits = F.array_join(F.transform(_v6_groups(s), lambda g: F.lpad(g, 4, "0")), "")
+        word = lambda d, i: F.conv(F.substring(d, 8 * i + 1, 8), 16, 10).cast("bigint")
+        return let(digits, lambda d: F.struct(F.lit(6).alias("family"), shift(word(d, 0)).bitwiseOR(word(d, 1)).alias("high"),
+                                              shift(word(d, 2)).bitwiseOR(word(d, 3)).alias("low")))
+
+    v4 = F.struct(F.lit(4).alias("family"), shift(ipv4_number(col)).alias("high"), F.lit(0).cast("bigint").alias("low"))
+    return F.when(is_ipv4(col), v4).when(F.contains(col, F.lit(":")), let(_dotted_tail_to_hex(col), lambda s: F.when(_v6_shaped(s), v6(s))))
+
+
+def unmapped_bits(bits: Column) -> Column:
+    """An IPv4 address written as IPv6 (::ffff:0:0/96) as IPv4."""
+    mapped = (bits["family"] == 6) & (bits["high"] == 0) & (F.shiftrightunsigned(bits["low"], 32) == 0xFFFF)
+    v4 = F.struct(F.lit(4).alias("family"), F.shiftleft(bits["low"], 32).alias("high"), F.lit(0).cast("bigint").alias("low"))
+    return F.when(mapped, v4).otherwise(bits)
+
+
 # ---------------------------------------------------------------- lists
 def split_list(col: Column, sep: str = ",") -> Column:
     return F.filter(F.transform(F.split(text(col), re.escape(sep)), strip), lambda x: x != "")

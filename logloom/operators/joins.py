@@ -6,12 +6,15 @@ copied once per salt and the large side spreads its hot keys over the salts.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from logloom.functions.convert import ipv4_number
+from logloom.functions.convert import address_bits, unmapped_bits
+from logloom.functions.patterns import to_java
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 16
@@ -47,16 +50,20 @@ def anti(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- origin -> tenant and source
 def cidr_ranges(ranges: DataFrame) -> DataFrame:
-    """Adds `prefix` and `network` (number) to a frame with an IPv4 `cidr`; rows that are no range are dropped."""
-    prefix = F.coalesce(F.regexp_extract("cidr", r"/(\d{1,2})\z", 1).try_cast("int"), F.when(~F.contains("cidr", F.lit("/")), 32))
-    number = ipv4_number(F.substring_index("cidr", "/", 1))
-    out = ranges.withColumn("prefix", prefix).withColumn("network", masked(number, F.col("prefix")))
-    return out.filter("network is not null and prefix between 0 and 32")
+    """Adds `prefix` and the network (`family`, `high`, `low`) to a frame with a `cidr` of either family; rows that are no range are dropped."""
+    out = ranges.withColumn("__bits", address_bits(F.substring_index("cidr", "/", 1)))
+    longest = F.when(F.col("__bits.family") == 4, 32).when(F.col("__bits.family") == 6, 128)
+    prefix = F.coalesce(F.regexp_extract("cidr", r"/(\d{1,3})\z", 1).try_cast("int"), F.when(~F.contains("cidr", F.lit("/")), longest))
+    out = out.withColumn("prefix", prefix).filter(F.col("prefix").between(0, longest))
+    return out.withColumns(network(F.col("__bits"), F.col("prefix"))).drop("__bits")
 
 
-def masked(number: Column, prefix: Column) -> Column:
-    """Network number of an address for a prefix length."""
-    return F.floor(number / F.pow(F.lit(2.0), 32 - prefix)).cast("bigint") * F.pow(F.lit(2.0), 32 - prefix).cast("bigint")
+def network(bits: Column, prefix: Column) -> dict[str, Column]:
+    """Columns of the network of an address (see `address_bits`) for a prefix length."""
+    def leading(half: Column, n: Column) -> Column:
+        ones = F.call_function("shiftleft", F.lit(-1).cast("bigint"), F.lit(64) - n)
+        return F.when(n <= 0, F.lit(0).cast("bigint")).when(n >= 64, half).otherwise(half.bitwiseAND(ones))
+    return {"family": bits["family"], "high": leading(bits["high"], prefix), "low": leading(bits["low"], prefix - 64)}
 
 
 def usable_ranges(ranges: DataFrame, tenants: DataFrame, now: Column) -> DataFrame:
@@ -68,35 +75,50 @@ def usable_ranges(ranges: DataFrame, tenants: DataFrame, now: Column) -> DataFra
 def address_matches(origins: DataFrame, ranges: DataFrame, ip: str = "peer_ip") -> DataFrame:
     """Every (origin, range) pair where the range holds the address.
 
-    An equi-join on (prefix length, network number): each origin is expanded to its networks of the lengths in use (33 at
-    the most), so no origin is compared with every range.
+    An equi-join on (family, prefix length, network): each origin is expanded to its networks of the lengths in use (129 at
+    the most), so no origin is compared with every range. Zones (`%eth0`) are ignored; IPv4 written as IPv6 counts as IPv4.
     """
     nets = cidr_ranges(ranges)
-    wide = origins.withColumn("__ip", ipv4_number(F.regexp_replace(F.col(ip), "^::ffff:", "")))
-    lengths = nets.agg(F.collect_set("prefix")).scalar()  # at most 33 values by construction
-    wide = wide.filter(F.col("__ip").isNotNull()).withColumn("__lengths", lengths).withColumn("prefix", F.explode("__lengths")).drop("__lengths")
-    return attach(wide.withColumn("network", masked(F.col("__ip"), F.col("prefix"))), nets, ["prefix", "network"], "inner").drop("__ip")
+    wide = origins.withColumn("__bits", address_bits(F.regexp_replace(F.col(ip), "^([^%]*:[^%]*)%.+$", "$1"))).filter("__bits is not null").withColumn("__bits", unmapped_bits(F.col("__bits")))
+    lengths = nets.agg(F.collect_set(F.struct("family", "prefix"))).scalar()  # at most 162 values by construction
+    wide = wide.withColumn("__lengths", lengths).withColumn("__length", F.explode(F.filter("__lengths", lambda x: x["family"] == F.col("__bits.family"))))
+    wide = wide.withColumn("prefix", F.col("__length.prefix")).withColumns(network(F.col("__bits"), F.col("__length.prefix"))).drop("__bits", "__lengths", "__length")
+    return attach(wide, nets, ["family", "prefix", "high", "low"], "inner").drop("family", "high", "low")
+
+
+@F.udf(returnType=StringType(), useArrow=False)
+def _usable_rule(rule: str | None) -> str | None:
+    try:
+        return to_java(rule, "U")[0] if rule else None
+    except re.error:
+        return None
+
+
+def host_rules(sources: DataFrame) -> DataFrame:
+    """Active syslog sources: tenant_id, source_id, match_hostname and `rule`, NULL where there is none or it is no valid expression."""
+    live = sources.filter(F.col("active") & (F.col("transport") == "syslog"))
+    return live.select("tenant_id", "source_id", "match_hostname", _usable_rule("match_hostname").alias("rule"))
 
 
 def resolve_origins(origins: DataFrame, ranges: DataFrame, sources: DataFrame) -> DataFrame:
     """(peer_ip, transport, hostname) -> tenant_id, source_id, for distinct origins.
 
     The longest range whose protocols include the transport decides the tenant. Without a source of its own, the
-    tenant's syslog sources follow: lowest id whose host rule matches, else the only source without a host rule, else none.
+    tenant's syslog sources follow: lowest id whose host rule matches, else the only source without a host rule, else none. A rule that is no
+    valid expression counts as none (`host_rules` shows it).
     """
     keys = ["peer_ip", "transport", "hostname"]
     owned = (address_matches(origins, ranges.withColumnRenamed("source_id", "range_source"))
              .filter(F.array_contains("protocols", F.col("transport")))
              .groupBy(*keys).agg(F.max_by(F.struct("tenant_id", "range_source"), F.struct("prefix", -F.col("range_id"))).alias("o"))
              .select(*keys, "o.tenant_id", "o.range_source"))
-    live = sources.filter(F.col("active") & (F.col("transport") == "syslog")).select("tenant_id", "source_id", "match_hostname")
-    ruled = live.filter(F.col("match_hostname").isNotNull() & (F.col("match_hostname") != ""))
-    plain = (live.join(ruled.select("source_id"), "source_id", "left_anti").groupBy("tenant_id")
+    rules = host_rules(sources)
+    ruled = rules.filter("rule is not null").select("tenant_id", F.col("source_id").alias("__rule"), "rule")
+    plain = (rules.filter("rule is null").groupBy("tenant_id")
              .agg(F.count("*").alias("__n"), F.min("source_id").alias("__plain"))
              .filter("__n = 1").select("tenant_id", "__plain"))
-    by_host = (attach(owned.filter("range_source is null and hostname <> ''"), ruled.withColumnRenamed("source_id", "__rule"),
-                      ["tenant_id"], "inner")
-               .filter(F.expr("hostname rlike match_hostname")).groupBy(*keys).agg(F.min("__rule").alias("__host_source")))
+    by_host = (attach(owned.filter("range_source is null and hostname <> ''"), ruled, ["tenant_id"], "inner")
+               .filter(F.expr("hostname rlike rule")).groupBy(*keys).agg(F.min("__rule").alias("__host_source")))
     out = attach(owned.join(by_host, keys, "left"), plain, ["tenant_id"])
     return out.select(*keys, "tenant_id", F.coalesce("range_source", "__host_source", "__plain").alias("source_id"))
 
