@@ -134,4 +134,4 @@ def mix(docs: DataFrame, shards: int | None = None) -> DataFrame:
     rows = safe.withColumns({"mix_key": key, "mix_block": F.shiftright(key, _SHIFT).cast("int")})
     drawn = rows.join(draws, _null_safe(rows, draws, "source", "mix_block")).drop(draws["source"]).drop(draws["mix_block"]).filter("mix_upto is null or mix_key <= mix_upto")
     local = hash_key("mix_key", "mix_copy", "mix_shard", seed=SEED + 1)
-    return drawn.repartition(shards, "mix_shard").sortWithinPartitions("mix_shard", local).transform(restored)
+    return drawn.repartitionById(shards, "mix_shard").sortWithinPartitions("mix_shard", local).transform(restored)

@@ -183,6 +183,9 @@ def test_mixing(docs, none, rows):
     assert mixed.columns == docs.columns and mixed.count() == sum(r["mix_times"] for r in got)
     assert sorted(map(str, mixed.select("doc_id").collect())) == sorted(map(str, mixing_tree.mix(docs, 4).select("doc_id").collect()))
     assert mixing_tree.mix(none).count() == 0
+    drawn = sizes.join(draws, sizes["source"].eqNullSafe(draws["source"]) & (sizes["mix_block"] == draws["mix_block"])).filter("mix_upto is null or mix_key <= mix_upto")
+    of_shard = {r["mix_shard"]: r["count"] for r in drawn.groupBy("mix_shard").count().collect()}
+    assert {r["task"]: r["count"] for r in mixed.groupBy(F.spark_partition_id().alias("task")).count().collect()} == of_shard  # one shard a task
 
 
 def test_shares_and_tree():
