@@ -81,12 +81,19 @@ def _udm_process(p: Column) -> Column:
     return obj(pid=p["pid"], command_line=p["cmd_line"], file=_udm_file(p["file"], F.coalesce(p["path"], p["name"])))
 
 
-def _extra_fields(e: Column, tenant: Column) -> Column:
+def _head(text: Column, most: int | None) -> Column:
+    """The first `most` characters, or the whole text."""
+    return text if most is None else F.substring(text, 1, most)
+
+
+def _extra_fields(e: Column, tenant: Column, key_max: int | None = None, text_max: int | None = None) -> Column:
     """Leftovers and a few secondary fields as one text map."""
     none = F.create_map().cast("map<string,string>")
     flat = convert.flatten_variant_map(e["unmapped"])
     kept = F.map_filter(flat, lambda _, v: v.isNotNull() & ~v.isin("", "-"))
-    cut = F.transform_values(F.transform_keys(kept, lambda k, _: F.substring(k, 1, 120)), lambda _, v: F.substring(v, 1, 2000))
+    if key_max is not None:
+        kept = F.transform_keys(kept, lambda k, _: _head(k, key_max))
+    cut = F.transform_values(kept, lambda _, v: _head(v, text_max))
     side = {"policy.name": e["policy"]["name"], "policy.uid": e["policy"]["uid"], "device.org.name": e["device"]["org"]["name"],
             "device.logged_user": e["device"]["logged_user"], "status_code": e["status_code"],
             "metadata.parser_case": e["metadata"]["parser_case"], "metadata.event_subtype": e["metadata"]["event_subtype"],
@@ -96,7 +103,7 @@ def _extra_fields(e: Column, tenant: Column) -> Column:
     return F.map_concat(F.coalesce(cut, none), named)
 
 
-def udm_columns(df: DataFrame, event: str = "event", prefix: str = "__udm_") -> DataFrame:
+def udm_columns(df: DataFrame, event: str = "event", prefix: str = "__udm_", key_max: int | None = None, text_max: int | None = None) -> DataFrame:
     """Adds the building blocks of the UDM record as columns, one projection per dependency level."""
     e = F.col(event)
     p = prefix
@@ -109,7 +116,7 @@ def udm_columns(df: DataFrame, event: str = "event", prefix: str = "__udm_") ->
         f"{p}actor_process": _udm_process(e["actor"]["process"]), f"{p}process": _udm_process(e["process"]),
         f"{p}file": _udm_file(e["file"]),
         f"{p}disp": F.coalesce(e["disposition"], e["action"]),
-        f"{p}extra": _extra_fields(e, _ctx(df, "tenant")),
+        f"{p}extra": _extra_fields(e, _ctx(df, "tenant"), key_max, text_max),
     })
     c = lambda name: F.col(f"{p}{name}")
     t = c("type")
@@ -183,18 +190,19 @@ def udm_columns(df: DataFrame, event: str = "event", prefix: str = "__udm_") ->
     return out.withColumn(f"{p}enough", F.coalesce(enough, F.lit(False)))
 
 
-def to_udm(df: DataFrame, event: str = "event", to: str = "udm") -> DataFrame:
+def to_udm(df: DataFrame, event: str = "event", to: str = "udm", key_max: int | None = None, text_max: int | None = None,
+           code_max: int | None = None) -> DataFrame:
     """Adds the UDM record as a struct. A record without the minimum its type needs becomes a GENERIC_EVENT that names
-    its first type under `additional`."""
+    its first type under `additional`. Leftover keys, leftover texts and event codes are whole unless a limit in characters is given."""
     e, md = F.col(event), F.col(event)["metadata"]
-    out = udm_columns(df, event)
+    out = udm_columns(df, event, key_max=key_max, text_max=text_max)
     c = lambda name: F.col(f"__udm_{name}")
     fallback = ~c("enough")
     extra = F.when(fallback, F.map_concat(c("extra"), F.create_map(F.lit(f"{APP}.udm_type_original"), c("type")))).otherwise(c("extra"))
     record = F.struct(
         F.struct(iso_ms(e["time"]).alias("event_timestamp"), F.when(fallback, "GENERIC_EVENT").otherwise(c("type")).alias("event_type"),
                  md["product"]["vendor_name"].alias("vendor_name"), md["product"]["name"].alias("product_name"),
-                 md["product"]["version"].alias("product_version"), F.substring(md["event_code"], 1, 64).alias("product_event_type"),
+                 md["product"]["version"].alias("product_version"), _head(md["event_code"], code_max).alias("product_event_type"),
                  md["uid"].alias("product_log_id"), e["message"].alias("description"),
                  iso_ms(md["logged_time"]).alias("collected_timestamp")).alias("metadata"),
         c("principal").alias("principal"), c("target").alias("target"), c("network").alias("network"), c("auth").alias("extensions"),
@@ -236,12 +244,11 @@ def to_ocsf(e: Column, raw: Column | None = None) -> Column:
     return F.to_json(F.struct(*fields, meta.alias("metadata"), *extra))
 
 
-DETAILS_MAX, DETAIL_KEY, DETAIL_TEXT = 150, 80, 1000
 _DETAILS_SKIP = ("time", "message", "class_name", "class_uid", "severity", "severity_id", "status", "disposition", "activity_name")
 
 
-def details_map(e: Column) -> Column:
-    """The other fields of the event, flattened with '_' in the keys: at most 150 entries, keys of 80, texts of 1,000 characters."""
+def details_map(e: Column, most: int | None = None, key_max: int | None = None, text_max: int | None = None) -> Column:
+    """The other fields of the event, flattened with '_' in the keys: all entries, keys and texts whole, unless limits are given."""
     entries, lists = [], []
     for path, kind in LEAVES.items():
         if path.split(".")[0] in _DETAILS_SKIP or kind.startswith("map"):
@@ -249,7 +256,7 @@ def details_map(e: Column) -> Column:
         col = e
         for step in path.split("."):
             col = col[step]
-        key = F.lit(path.replace(".", "_")[:DETAIL_KEY])
+        key = F.lit(path.replace(".", "_")[:key_max])
         if kind == "array<string>":
             entries.append(F.struct(key.alias("key"), F.array_join(col, ", ").alias("value")))
         elif kind.startswith("array<struct"):
@@ -258,10 +265,10 @@ def details_map(e: Column) -> Column:
             entries.append(F.struct(key.alias("key"), (iso_ms(col) if kind == "timestamp" else _text(col)).alias("value")))
     fixed = F.filter(F.concat(F.array(*entries), *lists), lambda x: x["value"].isNotNull() & ~x["value"].isin("", "-"))
     left = F.transform(F.map_entries(convert.flatten_variant_map(e["unmapped"])), lambda x: F.struct(
-        F.substring(F.concat(F.lit("unmapped_"), F.replace(x["key"], F.lit("."), F.lit("_"))), 1, DETAIL_KEY).alias("key"), x["value"].alias("value")))
+        _head(F.concat(F.lit("unmapped_"), F.replace(x["key"], F.lit("."), F.lit("_"))), key_max).alias("key"), x["value"].alias("value")))
     both = F.concat(fixed, F.coalesce(F.filter(left, lambda x: x["value"].isNotNull() & ~x["value"].isin("", "-")),
                                       F.array().cast("array<struct<key:string,value:string>>")))
-    cut = F.transform(F.slice(both, 1, DETAILS_MAX), lambda x: F.struct(x["key"], F.substring(x["value"], 1, DETAIL_TEXT)))
+    cut = F.transform(both if most is None else F.slice(both, 1, most), lambda x: F.struct(x["key"], _head(x["value"], text_max)))
     return F.when(F.size(both) > 0, F.map_from_entries(cut))
 
 
@@ -484,11 +491,11 @@ def render_rows(df: DataFrame, formats: Sequence[str], fmt: Column, event: str =
     return out.drop("__udm") if "udm" in formats else out
 
 
-def generic_udm_line(df: DataFrame, raw: str = "raw") -> Column:
-    """UDM text of a line that was not recognised."""
+def generic_udm_line(df: DataFrame, raw: str = "raw", text_max: int | None = None) -> Column:
+    """UDM text of a line that was not recognised; the line and its error are whole unless a limit in characters is given."""
     when = F.col("received_at") if "received_at" in df.columns else F.lit(None).cast("timestamp")
     extra = F.map_filter(F.create_map(
-        F.lit("raw"), F.substring(raw, 1, 2000), F.lit("error"), F.substring("error", 1, 2000), F.lit(f"{APP}.tenant"), _ctx(df, "tenant")),
+        F.lit("raw"), _head(F.col(raw), text_max), F.lit("error"), _head(F.col("error"), text_max), F.lit(f"{APP}.tenant"), _ctx(df, "tenant")),
         lambda _, v: v.isNotNull() & ~v.isin("", "-"))
     return F.to_json(F.struct(
         F.struct(iso_ms(when).alias("event_timestamp"), F.lit("GENERIC_EVENT").alias("event_type"), F.lit(APP).alias("vendor_name"),
