@@ -32,6 +32,14 @@ class Rule:
     base: bool = False
 
 
+# A private key runs to its END line if no other line of five dashes comes before it. Without one, to the end of the base64 that follows: header lines, runs of 16 signs or more after
+# blanks or line breaks (also spelled with a backslash), and the short last line. All loops are possessive, so long texts cost neither stack nor quadratic time.
+_KEY_BODY = r"""(?:[^-]++|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----"""
+_KEY_GAP = r"""(?:[ \t\r\n>"'+,]|\\[nrt])++"""
+_KEY_HEADER = _KEY_GAP + r"""(?:(?:Proc-Type|DEK-Info):[ \t]*+[^ \t\r\n\\]*+|[A-Z][A-Za-z0-9-]*+:[^\r\n]*+(?=[\r\n]))"""
+_KEY_LAST = rf"""[ \t>"'+,]*+(?:\r?\n|\r|\\n|\\r\\n)[ \t>"'+,]*+[A-Za-z0-9+/]++={{0,2}}+(?=[ \t]*+(?:[\r\n"'\\]|$))|{_KEY_GAP}[A-Za-z0-9+/]++={{1,2}}+"""
+_KEY_OPEN = rf"""(?:{_KEY_HEADER})*+(?:{_KEY_GAP}[A-Za-z0-9+/]{{16,}}+={{0,2}}+)++(?:{_KEY_LAST})?+"""
+
 # `{14,}` and `{16,}` say the same as `+` and a least length: such runs are matched whole either way.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
@@ -39,7 +47,7 @@ RULES = (
     Rule("hex", r"[0-9a-f]{16,}", base=True),
     Rule("code_host", r"gh[opsu]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abps]-[A-Za-z0-9-]{10,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_KEY_BODY}|{_KEY_OPEN})?"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     Rule("map_key", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("payment", r"[rs]k_live_[A-Za-z0-9]{16,}"),
