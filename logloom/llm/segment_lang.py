@@ -31,6 +31,7 @@ ROUNDS = 2           # re-estimations
 LONGEST = 40         # letters of a word; longer runs are cut
 FLOOR = 1e-9         # probability of a letter or piece never met
 CACHE_WORDS = 300_000
+STRETCH = 2.0 ** 15  # factor for each letter in the forward and backward sums: 40 letters at the floor stay above, 40 at certainty below what a double holds
 SCALE = 1e6          # expected counts are summed as integers, so their order does not matter
 _LETTERS = regex.compile(r"\p{L}+")
 _LATIN = regex.compile(r"[a-zß-öø-ÿ]+")
@@ -75,8 +76,16 @@ class Lattice:
     def forward(self, words: list[str], prob: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language; prob is pieces + 1 (the floor, last) by languages."""
         k, i, j, p = self.edges(words)
-        alpha = self._alpha(words, k, i, j, prob[p])
-        return np.log(alpha[np.arange(len(words)), [len(w) + 1 for w in words]])
+        alpha = self._alpha(words, k, i, j, self._weights(i, j, p, prob))
+        end = np.array([len(w) + 1 for w in words])
+        return np.log(alpha[np.arange(len(words)), end]) - (end * np.log(STRETCH))[:, None]
+
+    @staticmethod
+    def _weights(i, j, p, prob) -> np.ndarray:
+        """Probability of each edge, times STRETCH for each letter. A power of two, so nothing is rounded."""
+        weight = prob[p]
+        weight *= (STRETCH ** (j - i))[:, None]
+        return weight
 
     def _alpha(self, words, k, i, j, weight) -> np.ndarray:
         longest = max(map(len, words)) + 2
@@ -91,7 +100,7 @@ class Lattice:
     def expected(self, words: list[str], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in each language; counts is words by languages."""
         k, i, j, p = self.edges(words)
-        weight = prob[p]
+        weight = self._weights(i, j, p, prob)  # the factors cancel against the total
         alpha = self._alpha(words, k, i, j, weight)
         beta = np.zeros_like(alpha)
         end = np.array([len(w) + 1 for w in words])

@@ -310,6 +310,28 @@ def test_language_forward_sums_all_segmentations():
     assert (use[:, 0] * np.array([len(p) for p in pieces] + [1])).sum() == pytest.approx(2 * 3)
 
 
+def test_language_unknown_run_keeps_the_other_words():
+    """Forty letters no language knows: finite, the same by a sum of logarithms, and trained on without a gap."""
+    pieces = ["▁", "▁the", "▁der"]
+    prob = np.array([[0.1, 0.1], [0.8, 1e-9], [1e-9, 0.8], [1e-9, 1e-9]])
+    lattice, run = segment_lang.Lattice(pieces), "漢" * segment_lang.LONGEST
+    assert lattice.forward([run], prob)[0] == pytest.approx([np.log(0.1) + segment_lang.LONGEST * np.log(1e-9)] * 2)
+    total = lattice.forward(["the", run, "the"], prob).sum(0)
+    assert np.isfinite(total).all() and total[0] > total[1]
+    use = lattice.expected([run], np.array([[3.0, 0.0]]), prob)
+    assert use[-1] == pytest.approx([3 * segment_lang.LONGEST, 0]) and use[0, 0] == pytest.approx(3)
+
+
+def test_language_text_with_an_unknown_run(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").filter("text is not null and lang is not null")
+    model = segment_lang.train(docs)
+    run = F.concat(F.col("text"), F.lit(" " + "".join(chr(0x4E00 + 7 * i) for i in range(segment_lang.LONGEST))))
+    plain, with_run = (segment_lang.identify(d, model) for d in (docs, docs.withColumn("text", run)))
+    got = [{r["doc_id"]: (r["lang_pred"], r["score"]) for r in d.select("doc_id", "lang_pred", "score").collect()} for d in (plain, with_run)]
+    assert all(0 <= s <= 1 for _, s in got[1].values())
+    assert sum(got[0][i][0] == got[1][i][0] for i in got[0]) >= 0.95 * len(got[0]) and len({lang for lang, _ in got[1].values()}) > 1
+
+
 def test_language_held_out(spark, sf, none):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
     model = segment_lang.train(docs.filter("doc_id % 3 <> 0"))
