@@ -8,8 +8,9 @@ Vectors are integers (fixed point), so all sums are exact and do not depend on t
 grid, so the state of a group is bounded by the grid and not by its rows. Group parameters are one row per group; Spark broadcasts that table
 when its files are small and joins by key otherwise.
 
-Defined cases: a null or empty text has no words and fails the floor. Null language or source is a value of its own. Groups below `least` documents are
-pooled by language; a pool below that rejects nothing. Repeated rows are judged alike, each on its own row. Extra columns stay untouched in `apply_rules`.
+Defined cases: a null or empty text has no words and fails the floor. Null language or source is a value of its own. A group with fewer than
+`LEAST` documents past the floors is judged by the estimate of its whole language, a language below that by the estimate of all documents. Only a table
+with fewer than `LEAST` documents past the floors has no estimate and rejects nothing beyond the floors. Repeated rows are judged alike, each on its own row. Extra columns stay untouched in `apply_rules`.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bytes")
 DIMS = 5
+EVERY = "every"               # the pool of all documents
+NULLS = {"ignoreNullFields": "false"}  # a null source is not the language's own pool
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
 
 
@@ -144,10 +147,16 @@ def _same(a: str, left: DataFrame, right: DataFrame) -> Column:
 
 def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pools of the groups (lang, source, rule_pool), and one row of parameters per pool. `stats` has lang, source, rule_stats."""
-    sizes = stats.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    pool = F.when(F.col("n") >= LEAST, F.to_json(F.struct("lang", "source"))).otherwise(F.to_json(F.struct("lang")))
-    pools = stored(sizes.select("lang", "source", pool.alias("rule_pool")), "rule-pools")
-    rows = _pooled(_vectors(stats.filter(~failed_floor())), pools).select("rule_pool", *(f"rule_x{i}" for i in range(DIMS)))
+    sizes = stored(stats.groupBy("lang", "source").agg(F.count_if(~failed_floor()).alias("n"), F.to_json(F.struct("lang"), NULLS).alias("rule_lang")), "rule-sizes")
+    langs = sizes.groupBy("rule_lang").agg(F.sum("n").alias("of_lang"))
+    own, by_lang = F.col("n") >= LEAST, F.col("of_lang") >= LEAST
+    pool = F.when(own, F.to_json(F.struct("lang", "source"), NULLS)).when(by_lang, F.col("rule_lang")).otherwise(EVERY)
+    groups = stored(sizes.join(langs, "rule_lang").select("lang", "source", "rule_lang", F.lit(EVERY).alias("rule_every"), pool.alias("rule_pool")), "rule-pools")
+    pools = groups.select("lang", "source", "rule_pool")
+    used = groups.select(F.col("rule_pool").alias("used")).distinct()  # a wider pool is estimated from all its documents, where a group needs it
+    wider = [groups.join(used, F.col(c) == F.col("used")).select("lang", "source", F.col(c).alias("rule_pool")) for c in ("rule_lang", "rule_every")]
+    members = stored(pools.union(wider[0]).union(wider[1]).distinct(), "rule-members")
+    rows = _pooled(_vectors(stats.filter(~failed_floor())), members).select("rule_pool", *(f"rule_x{i}" for i in range(DIMS)))
     rows = stored(rows, "rule-vectors")
     centre = rows.groupBy("rule_pool").agg(F.count(F.lit(1)).alias("rule_n"), F.array(*(F.percentile(f"rule_x{i}", 0.5) for i in range(DIMS))).alias("rule_centre"))
     spread = rows.join(centre, "rule_pool").groupBy("rule_pool", "rule_n", "rule_centre").agg(

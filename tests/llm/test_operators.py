@@ -70,6 +70,21 @@ def test_rules_statistics(docs, none, rows):
     assert robust_rules.judge(none).count() == 0 and robust_rules.apply_rules(none).count() == 0
 
 
+def test_rules_judge_small_groups(spark):
+    """Sources whose documents past the floors are too few, languages that are too few: all meet an estimate."""
+    rng = random.Random(21)
+    good = lambda: " ".join(words(rng, rng.randrange(80, 200)))
+    odd = lambda: " ".join("|#" + w + "|$" for w in words(rng, 100))
+    rows = [("en", "big", good()) for _ in range(200)] + [("en", "edge", good()) for _ in range(48)] + [("en", "edge", "too short") for _ in range(6)] + [("en", None, good()) for _ in range(10)]
+    rows += [("is", "tiny", good()) for _ in range(8)] + [(None, None, good()) for _ in range(3)]
+    bad = [("en", "edge", odd()), ("en", None, odd()), ("is", "tiny", odd()), (None, None, odd())]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows + bad)], "doc_id bigint, lang string, source string, text string")
+    got = {r["doc_id"]: r for r in robust_rules.judge(df).collect()}
+    assert len(got) == len(rows) + len(bad) and all(r["rule_distance"] is not None for r in got.values())
+    assert not any(got[len(rows) + i]["rule_kept"] for i in range(len(bad)))
+    assert sum(not got[i]["rule_kept"] for i, r in enumerate(rows) if r[2] != "too short") <= 4
+
+
 def test_rules_reject_outliers(spark):
     rng = random.Random(2)
     good = [(i, " ".join(words(rng, rng.randrange(80, 200))), "en", "s") for i in range(300)]
