@@ -217,14 +217,14 @@ def require(df: DataFrame, paths: Sequence[str] = ("time",), event: str = "event
     return with_error(df).withColumn(ERROR, F.coalesce(F.col(ERROR), *missing))
 
 
-def precheck_error(raw: Column) -> Column:
-    """Why a line cannot be parsed at all: missing, blank or above 256 KB."""
-    return (F.when(raw.isNull() | (convert.strip(raw) == ""), "empty line")
-            .when(F.length(raw) > MAX_LINE, "line above the limit of 256 KB"))
+def precheck_error(raw: Column, max_chars: int | None = None) -> Column:
+    """Why a line cannot be parsed at all: missing, blank or, where a limit is given, above it."""
+    empty = F.when(raw.isNull() | (convert.strip(raw) == ""), "empty line")
+    return empty if max_chars is None else empty.when(F.length(raw) > max_chars, f"line above the limit of {max_chars // 1024} KB")
 
 
-def precheck(df: DataFrame, raw: str = "raw") -> DataFrame:
-    return with_error(df).withColumn(ERROR, F.coalesce(F.col(ERROR), precheck_error(F.col(raw))))
+def precheck(df: DataFrame, raw: str = "raw", max_chars: int | None = MAX_LINE) -> DataFrame:
+    return with_error(df).withColumn(ERROR, F.coalesce(F.col(ERROR), precheck_error(F.col(raw), max_chars)))
 
 
 def finish_status(df: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from checks.render_checks import canon
-from logloom.operators import render
+from logloom.operators import normalize, render
+from logloom.sources import lines
 
 LONG = "k" * 130
 
@@ -30,3 +31,11 @@ def test_unparsed_line_is_whole(spark):
     df = spark.createDataFrame([("r" * 5000, "e" * 3000)], "raw string, error string")
     extra = json.loads(df.select(render.generic_udm_line(df)).first()[0])["additional"]
     assert extra["raw"] == "r" * 5000 and extra["error"] == "e" * 3000
+
+
+def test_arrival_and_precheck_without_a_limit(spark):
+    text = "é" * 300_000 + "end"
+    df = spark.createDataFrame([(text + "\r\n",)], "raw string")
+    got = lines.stamp_arrival(df, "tcp", F.current_timestamp(), max_bytes=None).first()
+    assert got.raw == text and got.truncated is False
+    assert normalize.precheck(df, max_chars=None).first().error is None and df.select(normalize.precheck_error(F.col("raw"))).first()[0] is None
