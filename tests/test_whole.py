@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.render_checks import canon
 from logloom.operators import normalize, render
-from logloom.sources import lines
+from logloom.sources import lines, sinks
 
 LONG = "k" * 130
 
@@ -39,3 +39,14 @@ def test_arrival_and_precheck_without_a_limit(spark):
     got = lines.stamp_arrival(df, "tcp", F.current_timestamp(), max_bytes=None).first()
     assert got.raw == text and got.truncated is False
     assert normalize.precheck(df, max_chars=None).first().error is None and df.select(normalize.precheck_error(F.col("raw"))).first()[0] is None
+
+
+def test_every_row_of_a_refused_batch_is_tried(spark):
+    bad, sent = {0, 3, 250, 251, 998, 999}, []
+
+    def writer(destination, batch):
+        if any(int(line) in bad for line in batch):
+            raise sinks.Rejected("refused", permanent=True)
+        sent.extend(batch)
+    got = {i: (ok, permanent) for i, _, ok, permanent, _ in sinks.send_batch(writer, 1, [(i, str(i)) for i in range(1000)], isolate=None)}
+    assert got == {i: (i not in bad, i in bad) for i in range(1000)} and len(sent) == len(set(sent)) == 994
