@@ -285,6 +285,21 @@ def test_pii_operator(spark, docs, none, rows):
     assert all("[PHONE]" in r["text"] for r in clean[1:4]) and pii_boost.find(df, model).filter(F.size("pii_spans") > 3).count() == 0
 
 
+def test_pii_spelled_mail(spark):
+    """A spelled-out mail looks like a mail to the trees and is found; sentences about places are not."""
+    at = lambda t: pii_boost.features(t, pii_boost.proposals(t)[0])
+    assert at("jane@example.com") == at("jane (at) example (dot) com") == at("jane at example dot com") == at("jane[AT]example.com") != at("jane at example. com")
+    assert pii_boost._may_hold(pa.array(["jane (at) example.com", "jane at example dot com", "nothing here", None])).tolist() == [True, True, False, False]
+    rng = random.Random(13)
+    name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 15))) + rng.choice(["", "", str(rng.randrange(100))])
+    texts = [f"mail {name()}.{name()}@{name()}.com now" if i % 2 else f"we met {name()} at {name()}. Then {name()} went" for i in range(2000)]
+    texts += ["mail jane.doe (at) example (dot) com now", "mail jane.doe (at) example.com now"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = pii_boost.train(df)
+    clean = [r["text"] for r in pii_boost.redact(df, model).orderBy("doc_id").select("text").collect()]
+    assert clean[-2:] == ["mail [EMAIL] now"] * 2 and not any("[EMAIL]" in t for t in clean[:2000:2])
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((3000, 16)).astype(np.float32)
