@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe_rounds, chat_windows, chosen_path, dimension_scan, mixing_tree, pii_boost, resample, robust_rules, secret_index, segment_lang
+from logloom.llm import (bpe_rounds, chat_windows, chosen_path, dimension_scan, fim_fenwick, mixing_tree, periodic_runs, pii_boost, resample, robust_rules, secret_index, segment_lang,
+                         suffix_dedup)
 from logloom.llm.tables import stored, table
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -95,3 +100,61 @@ def op10_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = robust_rules.judge(table(spark, sf_dir, "documents"))
     stats = [F.col(f"rule_stats.{s}").alias(s) for s in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return found.select("doc_id", *stats, F.col("rule_failed").alias("base_failed"), F.col("rule_kept").alias("kept"), F.col("rule_distance").alias("distance"))
+
+
+@query
+def op11_fim_fenwick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formed = fim_fenwick.restore(fim_fenwick.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return formed.select("doc_id", F.col("fim_units").alias("n"), F.col("fim_form").alias("form"), F.col("fim_prefix_chars").alias("prefix_chars"), F.col("fim_middle_chars").alias("middle_chars"),
+                         F.sha2("fim_text", 256).alias("output_sha256"), F.sha2("fim_restored", 256).alias("restored_sha256"))
+
+
+ORACLE["op11_fim_fenwick"] = """
+with hashed as (
+    select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents
+), numbers as (
+    select *, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2, cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4 from hashed
+), cuts as (
+    select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+        case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from numbers
+), parts as (
+    select *, substr(t, 1, a) as prefix, substr(t, a + 1, b - a) as middle, substr(t, b + 1) as suffix from cuts
+)
+select doc_id, cast(n as bigint) as n, form, cast(case when form <> 'plain' then a end as bigint) as prefix_chars, cast(case when form <> 'plain' then b - a end as bigint) as middle_chars,
+    sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+    sha256(t) as restored_sha256
+from parts
+"""
+
+
+def _told_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every tenth document's words repeat themselves from word a on, with period p, as the query's contract says."""
+    for batch in batches:
+        texts = []
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            h = zlib.crc32(str(doc_id).encode())
+            if doc_id is not None and h % 10 == 0 and (w := WORD.findall(text or "")):
+                n, g = len(w), h // 10
+                a = g % n
+                p = 1 + (n - a) // (3 + g % 8)
+                text = " ".join(w[:a] + (w[a:a + p] * ((n - a) // p + 1))[:n - a])
+            texts.append(text)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_told_again, "doc_id bigint, text string")
+    found = periodic_runs.collapse(docs)
+    best = F.array_min(F.transform("run_spans", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.array_join(F.transform("run_spans", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    found = found.withColumn("best", best)
+    return found.select("doc_id", F.size("run_spans").cast("bigint").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.l")).alias("length"), F.col("best.period").alias("period"),
+                        F.floor(-1000 * F.col("best.l") / F.col("best.period")).cast("bigint").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+                        F.col("run_words").alias("n_words"))
+
+
+@query
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("dup_bytes").alias("n_bytes"), F.col("dup_removed").alias("n_removed"), F.size("dup_spans").cast("bigint").alias("n_spans"), F.sha2("dup_kept", 256).alias("kept_sha256"))

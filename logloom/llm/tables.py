@@ -40,3 +40,10 @@ def set_aside(docs: DataFrame, *prefixes: str) -> tuple[DataFrame, Callable[[Dat
     """`docs` with every column that begins like one of the operator's own renamed, and a function that gives a result the columns of `docs` back."""
     other = {c: f"aside{i}_{c}" for i, c in enumerate(docs.columns) if c.lower().startswith(prefixes)}
     return docs.withColumnsRenamed(other), lambda df: df.select(*(quoted(other.get(c, c)).alias(c) for c in docs.columns))
+
+
+def own_columns(docs: DataFrame, prefix: str, results: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`docs` without columns called like a result and with other columns of the operator's prefix renamed, and a function that gives those their names back."""
+    docs = docs.drop(*(quoted(c) for c in docs.columns if c.lower() in results))
+    other = {c: f"aside{i}_{c}" for i, c in enumerate(docs.columns) if c.lower().startswith(prefix)}
+    return docs.withColumnsRenamed(other), lambda df: df.withColumnsRenamed({new: old for old, new in other.items()})
