@@ -30,8 +30,8 @@ from logloom.llm.words import Words, chunks, mix
 LEAST = 12              # words of a run
 TILE = 4096             # words between the first boundaries of two tiles, at least
 LONG_CHARS = 1 << 20    # texts whose tiles are dealt out
-SOLVE_WORDS = 400_000   # words of the tiles solved together
-CELLS = 1 << 20         # comparisons made at a time
+SOLVE_WORDS = 200_000   # words of the tiles solved together
+CELLS = 1 << 19         # comparisons made at a time
 FEW = 64                # periods at a boundary that are compared directly
 COLUMNS = ("run_spans", "run_words")
 SPANS = "array<struct<start:bigint,length:bigint,period:bigint>>"
@@ -173,7 +173,7 @@ def solve(tiles: list[dict]) -> list[np.ndarray]:
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in chunks(batch):
+        for part in chunks(batch, most=1_000_000):
             w = Words(part.column("text"))
             offs = np.concatenate([[0], np.cumsum(w.count)])
             keys = part.column("run_key").to_pylist()
@@ -219,9 +219,10 @@ def fragments(docs: DataFrame) -> DataFrame:
     """run_key, period, start, stop of the stretches found in single tiles. `docs` has run_key and text."""
     long = F.length("text") > LONG_CHARS
     rows = docs.select("run_key", "text")
-    short = rows.filter(~F.coalesce(long, F.lit(False))).mapInArrow(_explode, _TILE_FIELDS)
+    found = "run_key bigint, period bigint, start bigint, stop bigint"
+    short = rows.filter(~F.coalesce(long, F.lit(False))).mapInArrow(lambda batches: _solve(_explode(batches)), found)  # one worker a task
     dealt = rows.filter(long).mapInArrow(_explode, _TILE_FIELDS).repartition(F.xxhash64("run_key", "low", "own"))
-    return short.unionByName(dealt).mapInArrow(_solve, "run_key bigint, period bigint, start bigint, stop bigint")
+    return short.unionByName(dealt.mapInArrow(_solve, found))
 
 
 def stitch(pieces: DataFrame) -> DataFrame:

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.functions.convert import let
 from logloom.llm import (bpe_rounds, chat_windows, chosen_path, dimension_scan, fim_fenwick, mixing_tree, periodic_runs, pii_boost, resample, robust_rules, secret_index, segment_lang,
                          suffix_dedup)
 from logloom.llm.tables import stored, table
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -127,24 +124,23 @@ from parts
 """
 
 
-def _told_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _told_again(doc_id: Column, text: Column) -> Column:
     """Every tenth document's words repeat themselves from word a on, with period p, as the query's contract says."""
-    for batch in batches:
-        texts = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            h = zlib.crc32(str(doc_id).encode())
-            if doc_id is not None and h % 10 == 0 and (w := WORD.findall(text or "")):
-                n, g = len(w), h // 10
-                a = g % n
-                p = 1 + (n - a) // (3 + g % 8)
-                text = " ".join(w[:a] + (w[a:a + p] * ((n - a) // p + 1))[:n - a])
-            texts.append(text)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.when(n > 0, let(F.struct(a.alias("a"), p.alias("p")), lambda s: F.array_join(F.transform(w, lambda t, i: F.when(i < s["a"], t).otherwise(F.get(w, s["a"] + (i - s["a"]) % s["p"]))), " ")))
+
+    return F.coalesce(F.when(h % 10 == 0, let(F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)), repeated)), text)
 
 
 @query
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_told_again, "doc_id bigint, text string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", _told_again(F.col("doc_id"), F.col("text")).alias("text"))
     found = periodic_runs.collapse(docs)
     best = F.array_min(F.transform("run_spans", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period"))))
     listed = F.array_join(F.transform("run_spans", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n")))), "")
