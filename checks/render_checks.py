@@ -13,6 +13,7 @@ from logloom.session import shared_folder, spread
 from logloom.sources import lines as src
 from logloom.sources import sinks
 from logloom.streaming import jobs as st
+from logloom.streaming.pipeline import LedgerPipeline
 
 
 def canon(spark, sf):
@@ -265,12 +266,21 @@ def src7(spark, sf):
     return src.split_datagrams(table(spark, sf, "events").withColumn("payload", payload)).select("event_id", "raw")
 
 
-@check("src8_stamp_arrival", """select doc_id, case when n > 262144 then 262144 else n end as size, n > 262144 as truncated, 'tcp' as transport, 'received' as status, 1700000000 as at_s
-    from (select doc_id, 40 * octet_length(encode(regexp_replace(text, '[^ -~]', '', 'g'))) + 1 as n from documents)""")
+@check("src8_stamp_arrival", """select doc_id, octet_length(encode(raw)) as size, md5(raw) as digest, false as truncated, 'tcp' as transport, 'received' as status, 1700000000 as at_s
+    from (select doc_id, repeat(text, 40) || '.' as raw from documents)""")
 def src8(spark, sf):
-    raw = F.concat(F.repeat(F.regexp_replace("text", "[^ -~]", ""), F.lit(40)), F.lit("."))
+    """Long lines with line ends and NULs after them arrive whole."""
+    raw = F.concat(F.repeat("text", F.lit(40)), F.lit(".\r\n\0\n"))
     df = src.stamp_arrival(table(spark, sf, "documents").select("doc_id", raw.alias("raw")), "tcp", F.timestamp_seconds(F.lit(1_700_000_000)))
-    return df.select("doc_id", F.octet_length("raw").alias("size"), "truncated", "transport", "status", F.unix_seconds("received_at").alias("at_s"))
+    return df.select("doc_id", F.octet_length("raw").alias("size"), F.md5(F.col("raw").cast("binary")).alias("digest"), "truncated", "transport", "status", F.unix_seconds("received_at").alias("at_s"))
+
+
+@check("src8_stamp_arrival_cut", """select doc_id, case when n > 1000 then 1000 else n end as size, n > 1000 as truncated from (select doc_id, octet_length(encode(regexp_replace(text, '[^ -~]', '', 'g'))) + 1 as n from documents)""")
+def src8_cut(spark, sf):
+    """A limit of 1,000 bytes, asked for."""
+    raw = F.concat(F.regexp_replace("text", "[^ -~]", ""), F.lit("."))
+    df = src.stamp_arrival(table(spark, sf, "documents").select("doc_id", raw.alias("raw")), "tcp", F.timestamp_seconds(F.lit(1_700_000_000)), max_bytes=1000)
+    return df.select("doc_id", F.octet_length("raw").alias("size"), "truncated")
 
 
 @check("snk1_export", f"""select value from (select {_CSV} as value, status from {{flat}}) where status = 'parsed'""")
@@ -294,12 +304,10 @@ def snk2(spark, sf):
     return res.groupBy("destination_id", outcome.alias("outcome")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
-@check("str7_isolate_bad_rows", """with r as (select destination_id, event_id, row_number() over (partition by destination_id order by event_id) - 1 as p, event_id % 997 = 0 as bad from {ledger} where status = 'pending'),
-    b as (select *, bool_or(bad) over (partition by destination_id, p // 500) as spoiled, count(*) over (partition by destination_id, p // 500) as size from r)
-    select destination_id, case when not spoiled then 'sent' when size = 1 then 'failed' when p % 500 >= 200 then 'pending' when bad then 'failed' else 'sent' end as outcome, count(*) as n,
-    cast(sum(event_id) as bigint) as ids from b group by 1, 2""")
+@check("str7_isolate_bad_rows", """select destination_id, case when event_id % 997 = 0 then 'failed' else 'sent' end as outcome, count(*) as n, cast(sum(event_id) as bigint) as ids
+    from {ledger} where status = 'pending' group by 1, 2""")
 def str7(spark, sf):
-    """A writer that refuses every batch holding a bad row for good."""
+    """A writer that refuses every batch holding a bad row for good: each bad row fails alone, all others are sent."""
     def writer(destination, rows):
         if any(int(line.split()[1]) % 997 == 0 for line in rows):
             raise sinks.Rejected("refused", permanent=True)
@@ -339,11 +347,28 @@ def str2(spark, sf):
     return out.select(micros("minute").alias("minute_us"), "ref_id", "a", "b", "c")
 
 
-@check("str4_stream_drift", """select epoch_us(w + interval 60 minutes) as until_us, ref_id, count(*) as received, count(*) filter (where bad) as unparsed from (
-      select unnest(generate_series(time_bucket(interval 5 minutes, ts) - interval 55 minutes, time_bucket(interval 5 minutes, ts), interval 5 minutes)) as w, user_id % 25 as ref_id, event_type = 'error' as bad
-      from events) group by w, ref_id having count(*) >= 3 and 100.0 * unparsed >= 20 * received""")
+def _in_batches(spark, df, ts: str, label: str, parts: int = 4):
+    """The rows as a stream of several micro-batches in the order of time; a last file, a day later and without a key, moves the watermark past them."""
+    path = shared_folder(spark, label)
+    cuts = df.agg(F.percentile_approx(F.unix_micros(F.col(ts)), [i / parts for i in range(1, parts)], 10000).alias("c")).first()["c"] or []
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<bigint>"), lambda c: c < F.unix_micros(F.col(ts))))
+    late = df.agg((F.max(ts) + F.expr("interval 1 day")).alias(ts))
+    for i in range(parts):
+        df.filter(place == i).coalesce(1).write.mode("append").parquet(path)
+    late.select(*(F.col(ts) if c == ts else F.lit(None).cast(t).alias(c) for c, t in df.dtypes)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@check("str4_stream_drift", """with recursive m as (select date_trunc('minute', ts) as minute, user_id % 25 as ref_id, count(*) as a, count(*) filter (where event_type = 'error') as c from events where user_id % 25 > 0 group by 1, 2),
+    t as (select ref_id, unnest(generate_series(minute, minute + interval 59 minutes, interval 1 minute)) as until, a, c from m),
+    h as (select ref_id, until, sum(a) as received, sum(c) as unparsed from t group by 1, 2 having sum(a) >= 3 and 100.0 * sum(c) >= 20 * sum(a)),
+    o as (select ref_id, min(until) as until from h group by 1 union all
+      select o.ref_id, (select min(h.until) from h where h.ref_id = o.ref_id and h.until >= o.until + interval 6 hours) from o where o.until is not null)
+    select epoch_us(h.until) as until_us, h.ref_id, cast(received as bigint) as received, cast(unparsed as bigint) as unparsed from o join h on h.ref_id = o.ref_id and h.until = o.until""")
 def str4(spark, sf):
-    out = st.run_updates(st.stream_drift(_events_stream(spark, sf), min_lines=3), "str4", ["until", "ref_id"])
+    """The batch rule asked at every minute, and quiet for six hours after an alert."""
+    events = table(spark, sf, "events").select(F.col("ts").alias("received_at"), (F.col("user_id") % 25).alias("source_id"), F.when(F.col("event_type") == "error", "unparsed").otherwise("parsed").alias("status"))
+    out = st.run_available(st.stream_drift(_in_batches(spark, events, "received_at", "str4-in"), min_lines=3), "str4")
     return out.select(micros("until").alias("until_us"), "ref_id", "received", "unparsed")
 
 
@@ -354,12 +379,12 @@ def win5(spark, sf):
     return st.run_available(st.stream_dedupe(items, keep="1000 hours"), "win5").agg(F.count("*").alias("n"))
 
 
-@check("det2_stream_brute_force", """select host, epoch_us(w) as since_us, count(*) as failures from (select 'app' || (user_id % 5) as host,
-    unnest(generate_series(time_bucket(interval 10 seconds, ts) - interval 1190 seconds, time_bucket(interval 10 seconds, ts), interval 10 seconds)) as w from events) group by 1, 2 having count(*) >= 4""")
+@check("det2_stream_brute_force", """select distinct host, epoch_us(ts) as ts_us, failures from (select host, ts, count(*) over (partition by host order by ts range between interval 2 hours preceding and current row) as failures
+    from {logins}) where failures >= 8""")
 def det2(spark, sf):
-    logins = _events_stream(spark, sf).select(F.concat(F.lit("app"), F.col("user_id") % 5).alias("host"), F.col("received_at").alias("ts"))
-    out = st.run_updates(st.stream_brute_force(logins, window_s=1200, least=4), "det2", ["host", "since"])
-    return out.select("host", micros("since").alias("since_us"), "failures")
+    """The SQL of the batch rule, over several micro-batches."""
+    out = st.run_available(st.stream_brute_force(_in_batches(spark, fixture(spark, sf, "logins"), "ts", "det2-in"), window_s=7200, least=8), "det2")
+    return out.select("host", micros("ts").alias("ts_us"), "failures")
 
 
 @check("str3_stream_silent_sources", """with e as (select user_id % 25 as source_id, ts, lag(ts) over (partition by user_id % 25 order by ts) as prev from events),
@@ -370,3 +395,47 @@ def str3(spark, sf):
     heard = _events_stream(spark, sf).select("source_id", F.col("received_at").alias("ts"))
     out = st.run_available(st.stream_silent_sources(heard, 120), "str3")
     return out.select("source_id", micros("silent_since").alias("silent_us"), "events")
+
+
+_PIPELINE = """e as (select event_id, ts, event_type, user_id % 25 as source_id, (user_id % 25) % 5 as tenant_id, event_id % 13 = 0 as junk, event_id % 4 as part, (user_id % 25) % 3 as policy from events),
+    k as (select * from e where not (junk and policy = 2)),
+    l as (select k.event_id, k.part, d.destination_id from k join {destinations} d on d.tenant_id = k.tenant_id and d.active where (not junk or policy = 1)
+      and (d.source_ids is null or list_contains(d.source_ids, k.source_id))
+      and case when junk then d.include_unparsed else case when event_type = 'error' then 3 else 1 end >= d.min_severity_id and (d.class_uids is null or list_contains(d.class_uids, 4002)) end),
+    o as (select *, case when destination_id % 10 = 9 then 'pending' when event_id % 997 = 0 then 'failed' else 'sent' end as status, case when destination_id % 10 = 9 then 4 - part else 1 end as attempts from l)"""
+
+
+@check("str_pipeline", f"""with {_PIPELINE} select 'ledger' as part, status, destination_id as ref_id, count(*) as n, cast(sum(event_id) as bigint) as ids, cast(sum(attempts) as bigint) as attempts from o group by 2, 3
+    union all select 'events', case when junk then 'unparsed' else 'parsed' end, source_id, count(*), cast(sum(event_id) as bigint), 0 from k group by 2, 3
+    union all select 'source minutes', '', source_id, count(*), count(*) filter (where not junk), count(*) filter (where junk) from k group by 3
+    union all select 'destination minutes', '', destination_id, count(*) filter (where status = 'sent'), cast(sum(case when status = 'sent' then 0 else attempts end) as bigint), 0 from o group by 3""")
+def str_pipeline(spark, sf):
+    """Four files of lines in four micro-batches, the second handed over twice: parsed, routed, delivered, counted. One destination in ten is down, and some lines are refused for good."""
+    rows = lines(spark, sf, "pipe").join(table(spark, sf, "events").select("event_id", "ts", (F.col("user_id") % 25).cast("bigint").alias("source_id")), "event_id")
+    rows = rows.select("event_id", F.col("ts").alias("received_at"), (F.col("source_id") % 5).alias("tenant_id"), "source_id", F.when(F.col("event_id") % 13 == 0, F.concat(F.lit("broken "), "event_id")).otherwise(F.col("raw")).alias("raw"))
+    path = shared_folder(spark, "pipeline-in")
+    for part in range(4):
+        rows.filter(F.col("event_id") % 4 == part).coalesce(1).write.mode("append").parquet(path)
+
+    def writer(destination, batch):
+        if destination % 10 == 9:
+            raise sinks.Rejected("down")
+        if any(int(line.split("/e/")[-1].split("broken ")[-1].split("?")[0]) % 997 == 0 for line in batch):
+            raise sinks.Rejected("refused", permanent=True)
+
+    pipe = LedgerPipeline(shared_folder(spark, "pipeline"), [BY_SLUG["access-pipe"]], fixture(spark, sf, "sources"), fixture(spark, sf, "destinations"), writer,
+                          clock=lambda i: F.timestamp_seconds(F.lit(1_705_320_000 + 3600 * i)))
+
+    def step(batch, i):
+        for _ in range(2 if i == 1 else 1):
+            pipe.step(batch, i)
+
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    st.for_each_batch(stream, step, "pipeline-run").awaitTermination()
+    none = F.lit(0).cast("bigint")
+    ledger = pipe.ledger(spark).groupBy("status", F.col("destination_id").alias("ref_id")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.sum("attempts").alias("attempts"))
+    events = pipe.events(spark).groupBy("status", F.col("source_id").alias("ref_id")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), none.alias("attempts"))
+    counters = pipe.counters(spark).groupBy("kind", "ref_id").agg(F.sum("a").alias("n"), F.sum("b").alias("ids"), F.sum("c").alias("attempts"))
+    shape = ["part", "status", "ref_id", "n", "ids", "attempts"]
+    return (ledger.withColumn("part", F.lit("ledger")).select(shape).unionByName(events.withColumn("part", F.lit("events")).select(shape))
+            .unionByName(counters.withColumn("part", F.when(F.col("kind") == "s", "source minutes").otherwise("destination minutes")).withColumn("status", F.lit("")).select(shape)))

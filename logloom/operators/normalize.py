@@ -15,7 +15,6 @@ from logloom.functions.emptiness import empty_variant, present, present_map
 from logloom.operators.extract import ERROR, with_error
 from logloom.plans.schema import LEAVES, assemble, leaf_paths, subtree, typed
 
-MAX_LINE = 256 * 1024
 
 # fixed values: severity numbers by name, and names by number
 SEVERITY_IDS = {"unknown": 0, "informational": 1, "info": 1, "low": 2, "medium": 3, "high": 4, "critical": 5, "fatal": 6}
@@ -217,14 +216,14 @@ def require(df: DataFrame, paths: Sequence[str] = ("time",), event: str = "event
     return with_error(df).withColumn(ERROR, F.coalesce(F.col(ERROR), *missing))
 
 
-def precheck_error(raw: Column, max_chars: int | None = None) -> Column:
+def precheck_error(raw: Column, max_bytes: int | None = None) -> Column:
     """Why a line cannot be parsed at all: missing, blank or, where a limit is given, above it."""
     empty = F.when(raw.isNull() | (convert.strip(raw) == ""), "empty line")
-    return empty if max_chars is None else empty.when(F.length(raw) > max_chars, f"line above the limit of {max_chars // 1024} KB")
+    return empty if max_bytes is None else empty.when(F.octet_length(raw) > max_bytes, f"line above the limit of {max_bytes} bytes")
 
 
-def precheck(df: DataFrame, raw: str = "raw", max_chars: int | None = MAX_LINE) -> DataFrame:
-    return with_error(df).withColumn(ERROR, F.coalesce(F.col(ERROR), precheck_error(F.col(raw), max_chars)))
+def precheck(df: DataFrame, raw: str = "raw", max_bytes: int | None = None) -> DataFrame:
+    return with_error(df).withColumn(ERROR, F.coalesce(F.col(ERROR), precheck_error(F.col(raw), max_bytes)))
 
 
 def finish_status(df: DataFrame) -> DataFrame:

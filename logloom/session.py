@@ -53,6 +53,12 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/logloom/{label}-{uuid.uuid4().hex}"
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def spread(df: DataFrame, at_least: int | None = None) -> DataFrame:
     """Repartition a CPU-bound job only when its input has fewer partitions than the cluster has cores.
 

@@ -125,7 +125,7 @@ def test_bad_rows_are_isolated():
 def test_isolation_stops_after_the_limit():
     def writer(destination, lines):
         raise sinks.Rejected("refused", permanent=True)
-    got = list(sinks.send_batch(writer, 1, [(i, "x") for i in range(250)]))
+    got = list(sinks.send_batch(writer, 1, [(i, "x") for i in range(250)], isolate=200))
     assert len(got) == 250 and sum(not r[3] for r in got) == 50
 
 

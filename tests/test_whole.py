@@ -38,7 +38,7 @@ def test_arrival_and_precheck_without_a_limit(spark):
     df = spark.createDataFrame([(text + "\r\n",)], "raw string")
     got = lines.stamp_arrival(df, "tcp", F.current_timestamp(), max_bytes=None).first()
     assert got.raw == text and got.truncated is False
-    assert normalize.precheck(df, max_chars=None).first().error is None and df.select(normalize.precheck_error(F.col("raw"))).first()[0] is None
+    assert normalize.precheck(df).first().error is None and df.select(normalize.precheck_error(F.col("raw"))).first()[0] is None
 
 
 def test_every_row_of_a_refused_batch_is_tried(spark):
