@@ -243,6 +243,7 @@ def _with_spans(docs: DataFrame) -> DataFrame:
     runs = stitch(stored(fragments(docs), "run-fragments"))
     spans = runs.groupBy("run_key").agg(F.array_sort(F.collect_list(F.struct("start", "period", "length"))).alias("found"))  # the runs of one text
     spans = stored(spans.select("run_key", F.transform("found", lambda r: F.struct(r["start"].alias("start"), r["length"].alias("length"), r["period"].alias("period"))).alias("run_spans")), "run-spans")
+    spans = spans.hint("merge")  # texts meet their runs in a shuffle at every size, so a small table tells what a large one costs
     return back(docs.join(spans, "run_key", "left").withColumn("run_spans", F.coalesce("run_spans", F.array().cast(SPANS))).drop("run_key"))
 
 
