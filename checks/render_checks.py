@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from checks.base import check, fixture, micros, table
@@ -211,15 +214,54 @@ def src1(spark, sf):
     return raw.groupBy(F.substring_index("raw", " ", 1).cast("bigint").alias("bucket")).agg(F.count("*").alias("n"), F.sum(F.length("raw") - F.instr("raw", " ")).alias("size"))
 
 
-@check("src2_utf16", "select doc_id, length(regexp_replace(text, '[ \\r\\n\\t]', '', 'g')) as size from documents".replace("\\\\", "\\"))
+@check("src1_numbered_splits", """select event_id, row_number() over (order by event_id) as line_no, event_type || ' ' || event_id || repeat('.', cast(event_id % 90 as int)) as raw from events""")
+def src1_numbered(spark, sf):
+    """One file in many splits, blank lines between; numbers count the kept lines."""
+    rows = table(spark, sf, "events").select("event_id", F.concat("event_type", F.lit(" "), "event_id", F.expr("repeat('.', cast(event_id % 90 as int))"), F.when(F.col("event_id") % 7 == 0, "\n \r\n").otherwise("\r")).alias("value"))
+    path = _written(rows.repartition(1).sortWithinPartitions("event_id").select("value"), "src1n")
+    with _split_at(spark, 64 * 1024):
+        read = shared_folder(spark, "src1n-read")
+        src.read_lines(spark, path, numbered=True).write.parquet(read)
+    back = spark.read.parquet(read)
+    return back.select(F.regexp_extract("raw", r"^\w+ (\d+)", 1).cast("bigint").alias("event_id"), "line_no", "raw")
+
+
+@contextmanager
+def _split_at(spark, size: int):
+    """File blocks of this size, so that small files are read by many tasks."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@check("src2_utf16", """select doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as digest from documents""")
 def src2(spark, sf):
-    """One UTF-16 file per part of the table, read back by its byte-order mark."""
-    one_line = F.concat_ws(" ", F.col("doc_id").cast("string"), F.translate("text", "\r\n\x0b\x0c\x1c\x1d\x1e\x85  ", "          "))
-    path = shared_folder(spark, "src2")
-    table(spark, sf, "documents").select(one_line.alias("value")).repartition(4, "value").write.option("encoding", "UTF-16").option("quote", "").option("sep", "\x01").csv(path)
-    raw = src.read_lines(spark, path, encoding="utf-16")
-    body = F.regexp_replace(F.regexp_replace("raw", r"^\S+ ", ""), r"[ \r\n\t]", "")
-    return raw.select(F.substring_index("raw", " ", 1).cast("bigint").alias("doc_id"), F.length(body).alias("size"))
+    """UTF-16 files in splits, both byte orders by their marks, whole contents."""
+    one_line = F.concat_ws(" ", F.col("doc_id").cast("string"), F.trim(F.regexp_replace("text", r"\s+", " ")))
+    docs, path = table(spark, sf, "documents").select("doc_id", one_line.alias("value")), shared_folder(spark, "src2")
+    for k, codec in enumerate(("UTF-16", "UTF-16LE")):  # the second is written without a mark, so its first line brings one
+        rows = docs.filter(F.col("doc_id") % 2 == k).repartition(2, "doc_id").select("value")
+        if k:
+            rows = rows.mapInArrow(_marked, "value string")
+        rows.write.mode("append").option("encoding", codec).option("quote", "").option("escapeQuotes", False).option("sep", "\x01").csv(path)
+    with _split_at(spark, 256 * 1024):
+        read = shared_folder(spark, "src2-read")
+        src.read_lines(spark, path, encoding="utf-16").write.parquet(read)
+    raw = spark.read.parquet(read)
+    return raw.select(F.substring_index("raw", " ", 1).cast("bigint").alias("doc_id"), F.md5(F.regexp_replace("raw", r"^\S+ ?", "").cast("binary")).alias("digest"))
+
+
+def _marked(batches):
+    """Lines of a task with a byte-order mark before the first."""
+    first = True
+    for batch in batches:
+        values = batch.column(0).to_pylist()
+        if first and values:
+            values[0], first = "\ufeff" + values[0], False
+        yield pa.RecordBatch.from_arrays([pa.array(values, pa.string())], names=["value"])
 
 
 @check("src3_raw_column_csv", "select c_custkey, c_name || ', \"' || c_mktsegment || '\"' as raw from customer")
@@ -231,17 +273,20 @@ def src3(spark, sf):
     return out.select(F.regexp_extract("raw", r"#0*(\d+),", 1).cast("bigint").alias("c_custkey"), "raw")
 
 
-@check("src4_json_array", """select o_orderkey // 1000 as part, count(*) as n, cast(sum(o_custkey) as bigint) as custs from orders group by 1""")
+@check("src4_json_array", """select doc_id, row_number() over (order by doc_id) as line_no, md5(text) as digest, lang, '' as error from documents""")
 def src4(spark, sf):
-    """Files of at most 1,000 orders, each one JSON list on several lines."""
-    path = shared_folder(spark, "src4")
-    part = F.floor(F.col("o_orderkey") / 1000).alias("part")
-    rows = table(spark, sf, "orders").select(part, F.to_json(F.struct("o_orderkey", "o_custkey")).alias("j"))
-    lists = rows.groupBy("part").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), ",\n"), F.lit("\n]")).alias("value"))
-    lists.write.partitionBy("part").text(path)
-    raw = src.read_json_array(spark, f"{path}/part=*")
-    at = lambda k: F.get_json_object("raw", f"$.{k}").cast("bigint")
-    return raw.groupBy(F.floor(at("o_orderkey") / 1000).alias("part")).agg(F.count("*").alias("n"), F.sum(at("o_custkey")).alias("custs"))
+    """One list in one file, elements over several lines, read in many splits, whole contents."""
+    docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit(' {"doc":\n  ['), F.col("doc_id").cast("string"), F.lit(', {"b": "],[{"}],\n "text": '), F.to_json(F.struct("text")).substr(F.lit(9), F.length("text") * 6 + 20), F.lit("\n")).alias("j"), "lang")
+    open_, last = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    body = F.concat(F.regexp_replace("j", r"\}\n\z", ""), F.lit(', "lang": '), F.coalesce(F.concat(F.lit('"'), F.col("lang"), F.lit('"')), F.lit("null")), F.lit("}"))
+    value = F.concat(F.when(F.col("doc_id") == open_, "\n[").otherwise(""), body, F.when(F.col("doc_id") == last, "]\n").otherwise(","))
+    path = _written(docs.select("doc_id", value.alias("value")).repartition(1).sortWithinPartitions("doc_id").select("value"), "src4")
+    with _split_at(spark, 128 * 1024):
+        read = shared_folder(spark, "src4-read")
+        src.read_json_array(spark, path).write.parquet(read)
+    raw = spark.read.parquet(read).withColumn("v", F.parse_json("raw"))
+    at = lambda p, t: F.try_variant_get("v", p, t)
+    return raw.select(at("$.doc[0]", "bigint").alias("doc_id"), "line_no", F.md5(at("$.text", "string").cast("binary")).alias("digest"), at("$.lang", "string").alias("lang"), "error")
 
 
 @check("src5_json_lines", "select o_orderkey, o_orderstatus as state from orders")

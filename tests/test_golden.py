@@ -36,6 +36,17 @@ def test_syslog_forms(texts):
     assert got[5][0].sd == "" and got[5][0].msg == "[broken text"
 
 
+def test_bsd_header_from_left_to_right(texts):
+    """Host, tag, process and content of RFC 3164, its own example first."""
+    df = texts("<34>Oct 11 22:14:15 mymachine su: 'su root' failed", "<13>Feb  5 17:32:18 10.0.0.99 app[123]: a\nb", "<13>Feb  5 17:32:18 app[12]: no host", "<13>Feb  5 17:32:18 app: no host",
+               "<13>Feb  5 17:32:18 host word rest of it", "<13>2024-01-02T03:04:05.678Z host tag[]: x", "<13>Feb 35 17:32:18 host tag: bad day", "<13>Feb  5 17:32:18 only", "<13>Feb  5 17:32:18 ::1 tag[9 open: x",
+               "<13>Feb  5 17:32:18", "<13>Feb  5 17:32:18 h\ttag:\tm", "<13>Feb  5 17:32:18host tag: m")
+    got = [(b.format, b.hostname, b.app, b.procid, b.msg) for b, _ in blocks(df, x.extract_syslog, reference_year=2024)]
+    assert got == [("rfc3164", "mymachine", "su", "", "'su root' failed"), ("rfc3164", "10.0.0.99", "app", "123", "a\nb"), ("rfc3164", "", "app", "12", "no host"), ("rfc3164", "", "app", "", "no host"),
+                   ("rfc3164", "host", "word", "", "rest of it"), ("rfc3164", "host", "tag", "", "x"), ("pri", "", "", "", "Feb 35 17:32:18 host tag: bad day"), ("rfc3164", "", "only", "", ""),
+                   ("rfc3164", "::1", "tag", "", "[9 open: x"), ("pri", "", "", "", "Feb  5 17:32:18"), ("rfc3164", "h", "tag", "", "m"), ("pri", "", "", "", "Feb  5 17:32:18host tag: m")]
+
+
 def test_optional_syslog_keeps_the_line(texts):
     (block, error), = blocks(texts("no header"), x.extract_syslog, optional=True)
     assert block.msg == "no header" and error is None
