@@ -41,7 +41,8 @@ def op2_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii_boost.find(docs, pii_boost.train(docs)).drop("text")
     base = F.filter("pii_spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(pii_boost.KINDS)]
+    count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("bigint")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(pii_boost.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii_boost.joined(base), 256).alias("base_sha256"), pii_boost.joined(F.col("pii_spans")).alias("spans"))
 
 
