@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by cosine: probed lists, scanned dimension by dimension with early abandoning.
 
-Unit vectors are rotated at random, so the first columns tell about the whole distance. They fall into lists around centres fitted on a bounded sample (`sample` vectors); a query visits the
-lists of its nearest centres. In a list the columns are read in blocks; after each block a hypothesis test compares the scaled partial distance with the present k-th best and
-abandons candidates that are too far with high confidence. Survivors are ranked by the exact cosine, in double precision on the original vectors.
+Unit vectors are rotated at random, so the first columns tell about the whole distance. They fall into lists around centres fitted on a bounded sample (`sample` vectors). A query first visits the
+`FIRST` share of lists with the nearest centres; its k-th best there is a bound. A list's members lie around the query's product with its centre, so it can be told how many of them are expected
+beyond the bound; the lists with the least are left out as long as they sum up to less than `LOST` neighbours, the others are visited in a second pass. In a list the columns are read in
+blocks; after each block a hypothesis test compares the scaled partial distance with the bound and abandons candidates that are too far with high confidence. Survivors are ranked by the
+exact cosine, in double precision on the original vectors.
 
 Equal vectors have equal scores, so for each distinct vector only its k + 1 smallest ids can be among anyone's k nearest; the rest need no scan. Large lists are cut into blocks, and so are the queries
 of a list: a task holds one block of each.
@@ -28,7 +30,9 @@ NEAREST = 5
 SAMPLE = 20_000       # vectors the centres are fitted on
 LIST_ROWS = 1024      # wanted length of a list
 MOST_LISTS = 1024
-PROBED = 0.85         # share of the lists a query visits; the test vectors have no clusters beyond near copies, so most lists count
+FIRST = 0.1           # share of the lists that a query visits to find its bound
+LOST = 0.1            # neighbours that a query may be expected to lose in the lists it leaves out
+FEW = 0.1             # share of pairs alive from which on they are compared one by one
 BLOCK = 4096          # candidates of a task
 QUERIES = 1024        # queries of a task
 COLUMNS = 16          # dimensions between two tests
@@ -72,83 +76,142 @@ def centres(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return rotation, middle
 
 
-def _lists(rows: DataFrame, model, most: int) -> DataFrame:
-    """Each row once for each of its `most` nearest lists."""
+def _with_names(columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _as_lists(values: list[np.ndarray]) -> pa.Array:
+    return pa.array([v.astype(np.int32) for v in values], pa.list_(pa.int32()))
+
+
+def _listed(rows: DataFrame, model) -> DataFrame:
+    """Each row with its nearest list and its product with that centre."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # at most MOST_LISTS centres
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rotation, middle = shared.value
         for batch in batches:
             if batch.num_rows:
-                near = np.argsort(-(_unit(_stack(batch.column("embedding"))) @ rotation @ middle.T), axis=1, kind="stable")[:, :most].astype(np.int32)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(near.reshape(-1)), near.shape[1]).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), lists], names=["vec_id", "embedding", "lists"])
-
-    return rows.mapInArrow(run, "vec_id bigint, embedding array<double>, lists array<int>").select("vec_id", "embedding", F.explode("lists").alias("list"))
-
-
-def scan(query: np.ndarray, rows: np.ndarray, keep: int) -> np.ndarray:
-    """Places of about the `keep` nearest rows of a block (rotated unit vectors), candidates given up early by partial distances."""
-    dims = rows.shape[1]
-    head = min(len(rows), max(64, 2 * keep))
-    dist = ((rows[:head] - query) ** 2).sum(1)
-    place = np.arange(head)
-    for start in range(head, len(rows), 1024):
-        limit = np.partition(dist, keep - 1)[keep - 1] if len(dist) >= keep else np.inf
-        live = np.arange(start, min(len(rows), start + 1024))
-        part = np.zeros(len(live))
-        for a in range(0, dims, COLUMNS):
-            z = min(dims, a + COLUMNS)
-            part = part + ((rows[live, a:z] - query[a:z]) ** 2).sum(1)
-            ok = part * (dims / z) <= limit * (1 + DOUBT / math.sqrt(z)) ** 2 if z < dims else part <= limit
-            live, part = live[ok], part[ok]
-            if not len(live):
-                break
-        place, dist = np.concatenate([place, live]), np.concatenate([dist, part])
-        if len(dist) > 4 * keep:
-            best = np.argsort(dist, kind="stable")[:2 * keep]
-            place, dist = place[best], dist[best]
-    return place[np.argsort(dist, kind="stable")[:keep]]
-
-
-def search(vectors: DataFrame, every: int, nearest: int = NEAREST, probed: float = PROBED) -> DataFrame:
-    """query_id, rank, vec_id, score. Queries: rows whose vec_id is divisible by `every`; candidates: all rows but the query's own."""
-    spark = vectors.sparkSession
-    rows = stored(usable(vectors), "ann-rows")
-    n = rows.count()
-    shape = "query_id bigint, vec_id bigint, score double"
-    if not n:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    model = centres(rows, n)
-    first = Window.partitionBy("embedding").orderBy("vec_id")
-    some = rows.withColumn("copy", F.row_number().over(first)).filter(F.col("copy") <= nearest + 1).drop("copy")  # limited before the shuffle
-    held = stored(_lists(some, model, 1), "ann-lists")
-    asked = stored(_lists(rows.filter(F.col("vec_id") % every == 0), model, math.ceil(probed * len(model[1]))), "ann-queries")
+                product = _unit(_stack(batch.column("embedding"))) @ rotation @ middle.T
+                near = product.argmax(1)
+                yield _with_names({"vec_id": batch.column("vec_id"), "embedding": batch.column("embedding"), "list": pa.array(near.astype(np.int32)), "near": pa.array(product[np.arange(len(near)), near])})
+
+    return rows.mapInArrow(run, "vec_id bigint, embedding array<double>, list int, near double")
+
+
+def lists_left(product: np.ndarray, bound: np.ndarray, mean: np.ndarray, size: np.ndarray, dims: int, first: int) -> list[np.ndarray]:
+    """Lists of the second pass for each query, from its products with the centres and the cosine of its k-th best."""
+    order = np.argsort(-product, axis=1, kind="stable")
+    centre = product * mean                                                         # where the members' products with the query lie
+    spread = np.sqrt(np.maximum(1 - product ** 2, 1e-9) * np.maximum(1 - mean ** 2, 1e-9) / max(dims - 1, 1))
+    beyond = size * np.frompyfunc(lambda z: 0.5 * math.erfc(z / math.sqrt(2)), 1, 1)((bound[:, None] - centre) / spread).astype(float)
+    beyond[np.arange(len(product))[:, None], order[:, :first]] = -1                 # visited already
+    out = []
+    for row in beyond:
+        by = np.argsort(row, kind="stable")
+        lost = np.cumsum(np.maximum(row[by], 0))
+        out.append(by[(lost > LOST) & (row[by] >= 0)])
+    return out
+
+
+def _asked(queries: DataFrame, model, most: int, stats: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """Each query once for each list it visits: the `most` nearest, or with `stats` and a bound those of the second pass."""
+    shared = queries.sparkSession.sparkContext.broadcast((model, stats))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (rotation, middle), stats = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            product = _unit(_stack(batch.column("embedding"))) @ rotation @ middle.T
+            if stats is None:
+                lists = list(np.argsort(-product, axis=1, kind="stable")[:, :most])
+            else:
+                lists = lists_left(product, batch.column("bound").to_numpy(), *stats, rotation.shape[0], most)
+            yield _with_names({"vec_id": batch.column("vec_id"), "embedding": batch.column("embedding"), "bound": batch.column("bound"), "lists": _as_lists(lists)})
+
+    return queries.select("vec_id", "embedding", "bound").mapInArrow(run, "vec_id bigint, embedding array<double>, bound double, lists array<int>").select("vec_id", "embedding", "bound", F.explode("lists").alias("list"))
+
+
+def scan(queries: np.ndarray, rows: np.ndarray, limit: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (query, row) of about the `keep` nearest rows of each query below its limit (squared distance); rotated unit vectors, candidates given up early by partial distances."""
+    dims, head = rows.shape[1], min(len(rows), max(64, 2 * keep))
+    whole = 2 - 2 * queries @ rows[:head].T
+    if head >= keep:
+        limit = np.minimum(limit, np.partition(whole, keep - 1, axis=1)[:, keep - 1] + 1e-9)
+    part, live = np.zeros((len(queries), len(rows))), np.ones((len(queries), len(rows)), bool)
+    z = 0
+    while z < dims and live.mean() > FEW:
+        a, z = z, min(dims, z + COLUMNS)
+        q, r = queries[:, a:z], rows[:, a:z]
+        part += (q * q).sum(1)[:, None] + (r * r).sum(1) - 2 * q @ r.T
+        live &= part * (dims / z) <= (limit * (1 + DOUBT / math.sqrt(z)) ** 2)[:, None] if z < dims else part <= limit[:, None]
+    q, r = np.nonzero(live)
+    dist = part[q, r]
+    while z < dims and len(q):
+        a, z = z, min(dims, z + COLUMNS)
+        dist = dist + ((rows[r, a:z] - queries[q, a:z]) ** 2).sum(1)
+        ok = dist * (dims / z) <= limit[q] * (1 + DOUBT / math.sqrt(z)) ** 2 if z < dims else dist <= limit[q]
+        q, r, dist = q[ok], r[ok], dist[ok]
+    order = np.lexsort((r, dist, q))
+    q, r = q[order], r[order]
+    best = np.arange(len(q)) - np.searchsorted(q, q) < keep
+    return q[best], r[best]
+
+
+def _compared(asked: DataFrame, held: DataFrame, rotation: np.ndarray, nearest: int) -> DataFrame:
+    """query_id, vec_id, score: the nearest members of each list for the queries that visit it. A task holds one block of a list and one of its queries."""
     sizes = held.groupBy("list").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
     loads = asked.groupBy("list").count().withColumn("turns", F.ceil(F.col("count") / QUERIES).cast("int")).drop("count")
     cut = stored(sizes.join(loads, "list"), "ann-cuts")
     block, turn = F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"), F.pmod(F.xxhash64("vec_id"), "turns").cast("int")
     held = held.join(cut, "list").select("vec_id", "embedding", "list", block.alias("block"), F.explode(F.expr("sequence(0, turns - 1)")).alias("turn"))
-    asked = asked.join(cut, "list").select("vec_id", "embedding", "list", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), turn.alias("turn"))
-    shared = spark.sparkContext.broadcast(model[0])
+    asked = asked.join(cut, "list").select("vec_id", "embedding", "bound", "list", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), turn.alias("turn"))
+    shared = held.sparkSession.sparkContext.broadcast(rotation)
     pool = 4 * nearest + 1
 
     def compare(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(candidates):
-            ids = candidates["vec_id"].to_numpy()
-            exact = np.stack(candidates["embedding"].to_numpy())
-            turned = np.ascontiguousarray(_unit(exact) @ shared.value)
-            length = np.sqrt((exact * exact).sum(1))
-            asked_exact = np.stack(queries["embedding"].to_numpy())
-            for query_id, q, r in zip(queries["vec_id"].to_numpy(), asked_exact, _unit(asked_exact) @ shared.value):
-                found = scan(r, turned, pool)
-                found = found[ids[found] != query_id]
-                score = (exact[found] * q).sum(1) / (length[found] * math.sqrt((q * q).sum()))
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[found], "score": score}).sort_values(["score", "vec_id"], ascending=[False, True]).head(nearest))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        if not len(queries) or not len(candidates):
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        ids, asked_ids = candidates["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
+        exact, asked_exact = np.stack(candidates["embedding"].to_numpy()), np.stack(queries["embedding"].to_numpy())
+        limit = 2 - 2 * queries["bound"].to_numpy() + 1e-9
+        q, r = scan(_unit(asked_exact) @ shared.value, np.ascontiguousarray(_unit(exact) @ shared.value), limit, pool)
+        other = ids[r] != asked_ids[q]
+        q, r = q[other], r[other]
+        score = (exact[r] * asked_exact[q]).sum(1) / (np.sqrt((exact[r] * exact[r]).sum(1)) * np.sqrt((asked_exact[q] * asked_exact[q]).sum(1)))
+        order = np.lexsort((ids[r], -score, q))
+        q, r, score = q[order], r[order], score[order]
+        best = np.arange(len(q)) - np.searchsorted(q, q) < nearest
+        return pd.DataFrame({"query_id": asked_ids[q[best]], "vec_id": ids[r[best]], "score": score[best]})
 
     keys = ("list", "block", "turn")
-    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(compare, shape)
+    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(compare, "query_id bigint, vec_id bigint, score double")
+
+
+def search(vectors: DataFrame, every: int, nearest: int = NEAREST, first: float = FIRST) -> DataFrame:
+    """query_id, rank, vec_id, score. Queries: rows whose vec_id is divisible by `every`; candidates: all rows but the query's own."""
+    spark = vectors.sparkSession
+    rows = stored(usable(vectors), "ann-rows")
+    n = rows.count()
+    if not n:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    model = centres(rows, n)
+    copy = Window.partitionBy("embedding").orderBy("vec_id")
+    some = rows.withColumn("copy", F.row_number().over(copy)).filter(F.col("copy") <= nearest + 1).drop("copy")  # limited before the shuffle
+    held = stored(_listed(some, model), "ann-lists")
+    lists = len(model[1])
+    mean, size = np.zeros(lists), np.zeros(lists)
+    for r in held.groupBy("list").agg(F.avg("near").alias("mean"), F.count("*").alias("n")).collect():  # one row a list
+        mean[r["list"]], size[r["list"]] = r["mean"], r["n"]
+    queries = rows.filter(F.col("vec_id") % every == 0)
+    few = max(1, math.ceil(first * lists))
+    asked = stored(_asked(queries.withColumn("bound", F.lit(-1.0)), model, few), "ann-asked")
+    found = stored(_compared(asked, held, model[0], nearest), "ann-found")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    if few < lists:
+        top = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= nearest).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+        bound = F.when(F.col("n") >= nearest, F.col("least")).otherwise(F.lit(-1.0))
+        again = queries.join(top, queries["vec_id"] == top["query_id"], "left").select("vec_id", "embedding", F.coalesce(bound, F.lit(-1.0)).alias("bound"))
+        found = found.unionByName(_compared(stored(_asked(again, model, few, (mean, size)), "ann-asked-again"), held, model[0], nearest))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
