@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.bpe_rounds import tokenizer_path
 from logloom.llm.tables import hash_key, stored
+from logloom.llm.words import mix
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE = 3000        # labelled training documents per language
@@ -50,28 +51,58 @@ def words_of(text: str) -> list[str]:
     return found
 
 
+_FACTOR = np.uint64(0xD6E8FEB86659FD93)  # odd; hashes are sums of signs times its powers
+
+
+def _signs(text: str) -> np.ndarray:
+    """A 64-bit value for each code point."""
+    return mix(np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1))
+
+
 class Lattice:
-    """All pieces at all places of many words."""
+    """All pieces at all places of many words. For each length, the hashes of all beginnings of pieces, so that a place is followed only as long as some piece goes on."""
 
     def __init__(self, pieces: list[str]):
-        self.piece = {p: i for i, p in enumerate(pieces)}
         self.most = max(map(len, pieces), default=1)
+        self.tables = []
+        signs = _signs("".join(pieces))
+        start = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+        value, rest = np.zeros(len(pieces), np.uint64), np.arange(len(pieces))
+        size = np.diff(start)
+        for n in range(1, self.most + 1):
+            rest = rest[size[rest] >= n]
+            value[rest] += signs[start[rest] + n - 1] * self._power(n - 1)
+            known = np.unique(value[rest])
+            piece = np.full(len(known), -1, np.int32)
+            whole = rest[size[rest] == n]
+            piece[np.searchsorted(known, value[whole])] = whole
+            self.tables.append((known, piece))
+
+    @staticmethod
+    def _power(n: int) -> np.uint64:
+        return np.uint64(pow(int(_FACTOR), n, 2**64))
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """word, from, to, piece of every edge, by end place; -1 stands for a single letter that is no piece."""
-        get, out = self.piece.get, []
-        for k, w in enumerate(words):
-            marked = "▁" + w
-            n = len(marked)
-            for i in range(n):
-                top = min(n, i + self.most)
-                found = [(k, i, j, p) for j in range(i + 1, top + 1) if (p := get(marked[i:j])) is not None]
-                if not found or found[0][2] != i + 1:
-                    found.append((k, i, i + 1, -1))
-                out += found
-        e = np.array(out, np.int32).reshape(-1, 4)
-        e = e[np.argsort(e[:, 2], kind="stable")]
-        return e[:, 0], e[:, 1], e[:, 2], e[:, 3]
+        signs = _signs("▁" + "▁".join(words))
+        size = np.array([len(w) + 1 for w in words])
+        stop = np.cumsum(size)
+        word = np.repeat(np.arange(len(words)), size)
+        begin, live, value, out = (stop - size)[word], np.arange(len(signs)), np.zeros(len(signs), np.uint64), []
+        for n, (known, piece) in enumerate(self.tables, 1):
+            live = live[live + n <= stop[word[live]]]
+            value[live] += signs[live + n - 1] * self._power(n - 1)
+            at = np.minimum(np.searchsorted(known, value[live]), len(known) - 1)
+            ok = known[at] == value[live] if len(known) else np.zeros(len(live), bool)
+            found = np.where(ok, piece[at], -1) if len(known) else np.full(len(live), -1)
+            edge = np.ones(len(live), bool) if n == 1 else found >= 0
+            out.append((live[edge], np.full(int(edge.sum()), n), found[edge]))
+            live = live[ok]
+        place, n, p = (np.concatenate(c) for c in zip(*out))
+        order = np.lexsort((place, place - begin[place] + n))
+        place, n, p = place[order], n[order], p[order]
+        i = place - begin[place]
+        return word[place], i, i + n, p
 
     def forward(self, words: list[str], prob: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language; prob is pieces + 1 (the floor, last) by languages."""
@@ -155,14 +186,15 @@ def train(labelled: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, vocab
                 yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], names=["lang", "word", "n"])
 
     table = chosen.select("text", "lang").mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    table = stored(table, "lang-words")
+    table = stored(table.repartition(spark.sparkContext.defaultParallelism), "lang-words")
+    lattice = spark.sparkContext.broadcast(Lattice(pieces))  # as large as the vocabulary
     prob = np.ones((len(pieces) + 1, len(langs)))  # at first every segmentation counts alike
     for step in range(rounds + 1):
-        shared = spark.sparkContext.broadcast((pieces, prob, step == 0))
+        shared = spark.sparkContext.broadcast((prob, step == 0))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pieces, prob, flat = shared.value
-            lattice, total = Lattice(pieces), np.zeros(prob.shape)
+            prob, flat = shared.value
+            total = np.zeros(prob.shape)
             for batch in batches:
                 words, lang, n = batch.column("word").to_pylist(), batch.column("lang").to_pylist(), batch.column("n").to_numpy()
                 for a in range(0, len(words), 2000):
@@ -170,10 +202,10 @@ def train(labelled: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, vocab
                     counts = np.zeros((len(some), prob.shape[1]))
                     counts[np.arange(len(some)), [place[x] for x in lang[a:a + 2000]]] = n[a:a + 2000]
                     if flat:  # occurrences of each piece anywhere, weighed by its length
-                        k, i, j, p = lattice.edges(some)
+                        k, i, j, p = lattice.value.edges(some)
                         np.add.at(total, p, counts[k] * (j - i)[:, None])
                     else:
-                        total += lattice.expected(some, counts, prob)
+                        total += lattice.value.expected(some, counts, prob)
             p, g = np.nonzero(total[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(g), pa.array(np.rint(total[p, g] * SCALE).astype(np.int64))], names=["piece", "lang", "n"])
 
@@ -187,11 +219,11 @@ def train(labelled: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, vocab
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", vocab: str = VOCABULARY) -> DataFrame:
     """All columns, lang_pred and score (posterior of the language under equal priors, per word evidence averaged over ten words)."""
     docs = docs.drop("lang_pred", "score")  # input columns of these names are replaced
-    shared = docs.sparkSession.sparkContext.broadcast((model[0], model[1], vocabulary(vocab)))
+    shared = docs.sparkSession.sparkContext.broadcast((model[0], model[1], Lattice(vocabulary(vocab))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, prob, pieces = shared.value
-        lattice, known, table = Lattice(pieces), {}, np.zeros((0, len(langs)))
+        langs, prob, lattice = shared.value
+        known, table = {}, np.zeros((0, len(langs)))
         for batch in batches:
             preds, scores = [], []
             texts = batch.column(text).to_pylist()
