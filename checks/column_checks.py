@@ -285,6 +285,28 @@ def cnv16(spark, sf):
                      F.size("f").alias("n"))
 
 
+_NESTED = """'{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":{"i":[{"x":' || event_id || ',"no":"-"},{"y":[1,"two",' || user_id || ']},{"z":[[],{}]}]}}}},"s":""}}}},"t":"' || event_type || '","l":[]}'"""
+
+
+def _nested(spark, sf):
+    return table(spark, sf, "events").withColumn("j", F.parse_json(F.expr(_NESTED)))
+
+
+@check("cnv16_flatten_deep", """select event_id, list_value('a.b.c.d.e.f.g.h.i.0.no', 'a.b.c.d.e.f.g.h.i.0.x', 'a.b.c.d.e.f.g.h.i.1.y', 'a.b.c.d.s', 't') as keys,
+    '-;' || event_id || ';1, two, ' || user_id || ';;' || event_type as vals from events""")
+def cnv16_deep(spark, sf):
+    """Leaves eleven levels down."""
+    flat = _nested(spark, sf).select("event_id", v.flatten_variant_map(F.try_variant_get("j", "$", "map<string,variant>")).alias("f"))
+    keys = F.array_sort(F.map_keys("f"))
+    return flat.select("event_id", keys.alias("keys"), F.array_join(F.transform(keys, lambda k: F.try_element_at("f", k)), ";").alias("vals"))
+
+
+@check("cnv17_prune_deep", """select event_id, '{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":{"i":[{"x":' || event_id || '},{"y":[1,"two",' || user_id || ']}]}}}}}}}},"t":"' || event_type || '"}' as kept from events""")
+def cnv17_deep(spark, sf):
+    """Empty members eleven levels down go, and what held only them."""
+    return _nested(spark, sf).select("event_id", F.to_json(v.prune_variant(F.col("j"))).alias("kept"))
+
+
 @check("cnv17_prune", """select event_id, 1 + (event_id % 4 = 0)::int + (event_id % 3 = 0)::int as n from events""")
 def cnv17(spark, sf):
     e = F.col("event_id")

@@ -106,6 +106,18 @@ def ext11(spark, sf):
                      s("TimeCreatedSystemTime").alias("created"), d("TargetUserName").alias("account"), d("Kind").alias("kind"))
 
 
+@check("ext11_winxml_whole", """select event_id, 'a&b' || event_id as extra, 'x>' || user_id as mark, 'S-' || user_id as security, 'é' || event_type as "first", '00FF' as "binary", 'nested ' || event_id as deep, 'raw <' || user_id || '>' as cdata from events""")
+def ext11_whole(spark, sf):
+    """Children of System that no schema lists, and everything in EventData and UserData."""
+    e, u = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    raw = F.concat(F.lit("<?xml version='1.0'?><!-- <x> --><Event xmlns='http://schemas.microsoft.com/win/2004/08/events/event'><System><Extra>a&amp;b"), e, F.lit("</Extra><Mark of='x>"), u, F.lit("'/><Security UserID=\"S-"), u,
+                   F.lit("\"></Security></System><EventData><Data>&#233;"), "event_type", F.lit("</Data><Binary>00FF</Binary></EventData><UserData><p:Outer xmlns:p='u'><p:In>nested "), e,
+                   F.lit("<p:Deeper/>tail</p:In><Last><![CDATA[raw <"), u, F.lit(">]]></Last></p:Outer></UserData></Event>"))
+    df = x.extract_winxml(table(spark, sf, "events").withColumn("raw", raw), RAW, "w")
+    s, d = (lambda k: F.try_element_at("w.System", F.lit(k))), (lambda k: F.try_element_at("w.EventData", F.lit(k)))
+    return df.select("event_id", s("Extra").alias("extra"), s("Markof").alias("mark"), s("SecurityUserID").alias("security"), d("Data1").alias("first"), d("Binary").alias("binary"), d("In").alias("deep"), d("Last").alias("cdata"))
+
+
 @check("ext12_url", r"""select page_id, regexp_extract(url, '^([a-z]+)://', 1) as scheme, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) as hostname,
     nullif(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '') as path, nullif(regexp_extract(url, '\?([^#]*)', 1), '') as query_string from pages""")
 def ext12(spark, sf):

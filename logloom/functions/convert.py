@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.emptiness import empty_variant
+from logloom.functions.emptiness import prune_variant_map
+from logloom.functions.json_walk import flat_entries
 from logloom.functions.patterns import capture
 
 BLANKS = " \t\r\n\f\x0b"
@@ -327,35 +328,19 @@ def _scalar_text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
-def flatten_variant_map(col: Column, depth: int = 4) -> Column:
-    """MAP<STRING, VARIANT> with nested values -> MAP<STRING, STRING> with dotted keys.
+def flatten_variant_map(col: Column) -> Column:
+    """MAP<STRING, VARIANT> with nested values -> MAP<STRING, STRING> with dotted keys, at any depth.
 
-    Lists of plain values become one text joined by ', '; other lists use the position as key. Levels beyond `depth`
-    keep their JSON text, so nothing is lost.
+    Lists of plain values become one text joined by ', '; other lists use the position as key.
     """
-    def entries(m: Column, level: int) -> Column:
-        def one(e: Column) -> Column:
-            key, v = e["key"], e["value"]
-            kind = F.schema_of_variant(v)
-            plain_list = F.array(F.struct(key.alias("key"), F.array_join(F.transform(
-                F.try_variant_get(v, "$", "array<variant>"), _scalar_text), ", ").alias("value")))
-            leaf = F.array(F.struct(key.alias("key"), _scalar_text(v).alias("value")))
-            if level >= depth:
-                return F.when(kind.startswith("ARRAY") & ~F.contains(kind, F.lit("OBJECT")), plain_list).otherwise(leaf)
-            nested = lambda m2: F.transform(entries(m2, level + 1), lambda x: F.struct(
-                F.concat(key, F.lit("."), x["key"]).alias("key"), x["value"].alias("value")))
-            as_list = F.try_variant_get(v, "$", "array<variant>")
-            by_position = F.map_from_arrays(
-                F.transform(F.sequence(F.lit(0), F.size(as_list) - 1), lambda i: i.cast("string")), as_list)
-            mixed = kind.startswith("ARRAY") & kind.rlike("OBJECT|ARRAY<ARRAY|VARIANT")
-            return (F.when(kind.startswith("OBJECT"), nested(F.try_variant_get(v, "$", "map<string,variant>")))
-                    .when(mixed, nested(by_position))
-                    .when(kind.startswith("ARRAY"), plain_list).otherwise(leaf))
-        return F.flatten(F.transform(F.map_entries(m), one))
-    return F.map_from_entries(entries(col, 1))
+    def one(e: Column) -> Column:
+        kind = F.schema_of_variant(e["value"])
+        leaf = F.array(F.struct(e["key"].alias("key"), _scalar_text(e["value"]).alias("value")))
+        below = F.transform(flat_entries(e["value"]), lambda x: F.struct(F.concat(e["key"], x["key"]).alias("key"), x["value"].alias("value")))
+        return F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), below).otherwise(leaf)
+    return F.map_from_entries(F.flatten(F.transform(F.map_entries(col), one)))
 
 
 def prune_variant(col: Column) -> Column:
-    """Variant object without empty members at the top level."""
-    members = F.try_variant_get(col, "$", "map<string,variant>")
-    return F.map_filter(members, lambda _, v: ~empty_variant(v))
+    """Members of a variant object without empty ones, at any depth."""
+    return prune_variant_map(F.try_variant_get(col, "$", "map<string,variant>"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from logloom.functions.json_walk import pruned
+
+
 def present(col: Column) -> Column:
     """String value, or NULL when it is '' or '-'."""
     return F.when(~col.isin("", "-"), col)
@@ -38,6 +41,14 @@ def prune_map(col: Column) -> Column:
     return present_map(F.map_filter(col, lambda _, v: v.isNotNull() & ~v.isin("", "-")))
 
 
+def kept_members(col: Column) -> Column:
+    """Variant map without empty values, at any depth inside them."""
+    def inside(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        return F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), pruned(v)).otherwise(v)
+    return F.map_filter(F.transform_values(col, lambda _, v: inside(v)), lambda _, v: v.isNotNull() & ~empty_variant(v))
+
+
 def prune_variant_map(col: Column) -> Column:
-    """Variant map without empty values; NULL when none is left."""
-    return present_map(F.map_filter(col, lambda _, v: ~empty_variant(v)))
+    """As `kept_members`; NULL when none is left."""
+    return present_map(kept_members(col))

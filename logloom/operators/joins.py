@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import types as T
 
 from logloom.functions.convert import address_bits, unmapped_bits
 from logloom.functions.patterns import to_java
@@ -86,18 +86,69 @@ def address_matches(origins: DataFrame, ranges: DataFrame, ip: str = "peer_ip")
     return attach(wide, nets, ["family", "prefix", "high", "low"], "inner").drop("family", "high", "low")
 
 
-@F.udf(returnType=StringType(), useArrow=False)
-def _usable_rule(rule: str | None) -> str | None:
+KEY = 3  # characters of a lookup key
+
+
+def mandatory_keys(rule: str) -> list[str]:
+    """Pieces of text, lower case, that every match of a rule holds: all runs of KEY characters of its plain parts, or its longest plain part if that is shorter; [''] without any."""
+    runs, now = [], ""
+
+    def walk(parsed) -> None:
+        nonlocal now
+        for op, value in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                now += chr(value)
+            elif name == "SUBPATTERN" and not value[1] and not value[2]:
+                walk(value[3])
+            elif name != "AT":  # anything else ends a run; what it may match is not looked into
+                runs.append(now)
+                now = ""
+                if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] >= 1:
+                    walk(value[2])
+                    runs.append(now)
+                    now = ""
+
+    if re.compile(rule).flags & re.IGNORECASE:
+        return [""]  # case pairs beyond lower case are left to the rule itself
+    walk(re._parser.parse(rule))
+    runs = [r.lower() for r in (*runs, now)]
+    keys = sorted({r[i:i + KEY] for r in runs for i in range(len(r) - KEY + 1)})
+    return keys or [max(runs, key=len)]
+
+
+@F.udf(returnType=T.StructType([T.StructField("rule", T.StringType()), T.StructField("keys", T.ArrayType(T.StringType()))]), useArrow=False)
+def _usable_rule(rule: str | None) -> tuple[str | None, list[str]]:
     try:
-        return to_java(rule, "U")[0] if rule else None
+        return (to_java(rule, "U")[0], mandatory_keys(rule)) if rule else (None, [])
     except re.error:
-        return None
+        return None, []
 
 
 def host_rules(sources: DataFrame) -> DataFrame:
-    """Active syslog sources: tenant_id, source_id, match_hostname and `rule`, NULL where there is none or it is no valid expression."""
+    """Active syslog sources: tenant_id, source_id, match_hostname, `rule`, NULL where there is none or it is no valid expression, and `keys` (see `mandatory_keys`)."""
     live = sources.filter(F.col("active") & (F.col("transport") == "syslog"))
-    return live.select("tenant_id", "source_id", "match_hostname", _usable_rule("match_hostname").alias("rule"))
+    return live.withColumn("__u", _usable_rule("match_hostname")).select("tenant_id", "source_id", "match_hostname", "__u.rule", "__u.keys")
+
+
+def rule_matches(origins: DataFrame, rules: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`origins` (keys, tenant_id, hostname) and `__rule`, the source of each of the tenant's rules that matches the hostname.
+
+    An equi-join on tenant and a piece of text: a rule is listed under the one of its mandatory pieces that the fewest rules share, a hostname under all its pieces of up to KEY characters. Only such
+    candidates are tested. Rules without a mandatory piece are listed under '' and tested against all hostnames of their tenant.
+    """
+    each = rules.filter("rule is not null").select("tenant_id", F.col("source_id").alias("__rule"), "rule", F.explode("keys").alias("__key"))
+    shared = each.groupBy("tenant_id", "__key").agg(F.count("*").alias("__n"))
+    listed = each.join(shared, ["tenant_id", "__key"]).groupBy("tenant_id", "__rule", "rule").agg(F.min_by("__key", F.struct("__n", "__key")).alias("__key"))
+    low = F.lower("hostname")
+    pieces = F.concat(F.array(F.lit("")), *(_pieces(low, n) for n in range(1, KEY + 1)))
+    wide = origins.withColumn("__key", F.explode(F.array_distinct(pieces)))
+    return attach(wide, listed, ["tenant_id", "__key"], "inner").filter(F.expr("hostname rlike rule")).select(*keys, "__rule")
+
+
+def _pieces(text: Column, n: int) -> Column:
+    places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: text.substr(i, F.lit(n)))
 
 
 def resolve_origins(origins: DataFrame, ranges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -113,12 +164,10 @@ def resolve_origins(origins: DataFrame, ranges: DataFrame, sources: DataFrame) -
              .groupBy(*keys).agg(F.max_by(F.struct("tenant_id", "range_source"), F.struct("prefix", -F.col("range_id"))).alias("o"))
              .select(*keys, "o.tenant_id", "o.range_source"))
     rules = host_rules(sources)
-    ruled = rules.filter("rule is not null").select("tenant_id", F.col("source_id").alias("__rule"), "rule")
     plain = (rules.filter("rule is null").groupBy("tenant_id")
              .agg(F.count("*").alias("__n"), F.min("source_id").alias("__plain"))
              .filter("__n = 1").select("tenant_id", "__plain"))
-    by_host = (attach(owned.filter("range_source is null and hostname <> ''"), ruled, ["tenant_id"], "inner")
-               .filter(F.expr("hostname rlike rule")).groupBy(*keys).agg(F.min("__rule").alias("__host_source")))
+    by_host = rule_matches(owned.filter("range_source is null and hostname <> ''"), rules, keys).groupBy(*keys).agg(F.min("__rule").alias("__host_source"))
     out = attach(owned.join(by_host, keys, "left"), plain, ["tenant_id"])
     return out.select(*keys, "tenant_id", F.coalesce("range_source", "__host_source", "__plain").alias("source_id"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from logloom.functions import convert
 from logloom.functions.columns import lookup
-from logloom.functions.emptiness import empty_variant, present, present_map
+from logloom.functions.emptiness import kept_members, present, present_map
 from logloom.operators.extract import ERROR, with_error
 from logloom.plans.schema import LEAVES, assemble, leaf_paths, subtree, typed
 
@@ -151,10 +151,10 @@ def apply_cases(df: DataFrame, cases: Sequence[Case], event: str = "event") -> D
 def block_entries(col: Column, kind: T.DataType) -> Column:
     """Any extracted block as MAP<STRING, VARIANT> without its empty values."""
     if isinstance(kind, T.VariantType):
-        return F.map_filter(F.try_variant_get(col, "$", "map<string,variant>"), lambda _, v: ~empty_variant(v))
+        return kept_members(F.try_variant_get(col, "$", "map<string,variant>"))
     if isinstance(kind, T.MapType):
         if isinstance(kind.valueType, T.VariantType):
-            return F.map_filter(col, lambda _, v: ~empty_variant(v))
+            return kept_members(col)
         return F.transform_values(F.map_filter(col, lambda _, v: v.isNotNull() & ~v.isin("", "-")), lambda _, v: v.cast("variant"))
     members = [F.struct(F.lit(f.name).alias("key"), _as_variant(col[f.name], f.dataType).alias("value")) for f in kind.fields]
     return F.when(col.isNotNull(), F.map_from_entries(F.filter(F.array(*members), lambda e: e["value"].isNotNull())))

@@ -53,3 +53,22 @@ def test_invalid_host_rules_count_as_none(spark):
     got = {(r.peer_ip, r.hostname): (r.tenant_id, r.source_id) for r in joins.resolve_source(lines, ranges, sources).collect()}
     assert got == {("2001:db8:7::9", "web1"): (7, 2), ("2001:db8:7::9", "(bad"): (7, None), ("2001:db8:8::9", "x"): (8, 4), ("2001:db9::9", "web1"): (None, None)}
     assert {r.match_hostname for r in joins.host_rules(sources).filter("rule is null and match_hostname <> ''").collect()} == {"(bad", "["}
+
+
+def test_rules_are_looked_up_by_their_plain_parts():
+    keys = joins.mandatory_keys
+    assert keys("^host3$") == ["hos", "ost", "st3"] and keys("fw-.*") == ["fw-"] and keys("ab") == ["ab"] and keys(".*") == [""] and keys("(?i)web") == [""]
+    assert keys("(db|web)-(main)+x?") == ["ain", "mai"] and keys(r"a\.b[0-9]{2}core") == ["a.b", "cor", "ore"] and keys("a|b") == [""]
+
+
+def test_rule_lookup_equals_testing_every_rule(spark):
+    import random
+    import re
+    rng = random.Random(4)
+    rules = [(t, i, rule) for i, (t, rule) in enumerate((t, rule) for t in (1, 2) for rule in ("^host3$", "fw-.*", "web", "^w", "x$", ".*9", "(db|web)-[0-9]+", "(?i)WEB", "a.b", "é+z", "[", "", None))]
+    names = ["".join(rng.choice(["host3", "fw-", "web", "WEB", "db-", "1", "9", "x", "a", ".", "b", "é", "z", "-"]) for _ in range(rng.randrange(0, 4))) for _ in range(150)]
+    origins = spark.createDataFrame([(t, n, str(i)) for i, n in enumerate(names) for t in (1, 2, 3)], "tenant_id long, hostname string, peer_ip string")
+    sources = spark.createDataFrame([(t, i, r, True, "syslog") for t, i, r in rules], "tenant_id long, source_id long, match_hostname string, active boolean, transport string")
+    got = {(r["tenant_id"], r["peer_ip"], r["__rule"]) for r in joins.rule_matches(origins, joins.host_rules(sources), ["tenant_id", "peer_ip"]).collect()}
+    want = {(t, str(i), s) for i, n in enumerate(names) for t, s, rule in rules if rule and rule != "[" and re.search(rule, n)}
+    assert got == want and want
