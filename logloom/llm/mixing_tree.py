@@ -26,17 +26,25 @@ from logloom.llm.tables import hash_key, set_aside, stored
 WEIGHTS = (3, 1, 2)   # of the sources in code point order, repeating, null last
 BUDGET = 1.5          # words of the mixture per word of input
 EPOCHS = 2            # most passes over a source
-BLOCK_BITS = 12       # blocks of a source: 2^12 ranges of the hash
+BLOCK_BITS = 12       # blocks of a source: 2^12 ranges of the hash at least
+SHARD_BLOCKS = 64     # and so many for each output shard, so that shards get draws enough to be alike
 SHARD_WORDS = 8_000_000  # words of an output shard
 SEED = 11
-_SHIFT = 63 - BLOCK_BITS
 
 
 def sized(docs: DataFrame, *keep: str) -> DataFrame:
-    """mix_key, mix_block and mix_size of each document, beside `source` and the columns to keep."""
-    key = hash_key("doc_id", seed=SEED)
-    return docs.select(*keep, "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint").alias("mix_size"), key.alias("mix_key"),
-                       F.shiftright(key, _SHIFT).cast("int").alias("mix_block"))
+    """mix_key and mix_size of each document, beside `source` and the columns to keep."""
+    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
+    return docs.select(*keep, "source", size.alias("mix_size"), hash_key("doc_id", seed=SEED).alias("mix_key"))
+
+
+def block_bits(shards: int) -> int:
+    return max(BLOCK_BITS, math.ceil(math.log2(SHARD_BLOCKS * shards)))
+
+
+def blocked(rows: DataFrame, shards: int) -> DataFrame:
+    """`rows` with mix_block, the range of the hash that their mix_key lies in."""
+    return rows.withColumn("mix_block", F.shiftright("mix_key", 63 - block_bits(shards)))
 
 
 def share(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS) -> list[float]:
@@ -79,13 +87,14 @@ def _null_safe(a: DataFrame, b: DataFrame, *keys: str):
     return cond
 
 
-def plan(sizes: DataFrame, shards: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The draws (source, mix_block, mix_copy, mix_upto, mix_shard), and the targets. mix_upto is the last hash of a block that is drawn in part, else null.
+def plan(sizes: DataFrame, shards: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """The draws (source, mix_block, mix_copy, mix_upto, mix_shard), the targets, and the number of shards. mix_upto is the last hash of a block that is drawn in part, else null.
 
     `sizes` (see `sized`) is read several times, so it should be a stored table. The number of shards follows the words of the mixture.
     """
     goal = stored(targets(sizes), "mix-targets")
     shards = shards or max(1, math.ceil((goal.agg(F.sum("target")).first()[0] or 0) / SHARD_WORDS))
+    sizes = blocked(sizes, shards)
     blocks = stored(sizes.groupBy("source", "mix_block").agg(F.sum("mix_size").alias("words")), "mix-blocks")
     in_order = Window.partitionBy("source").orderBy("mix_block")
     ranked = blocks.withColumns({"before": F.sum("words").over(in_order) - F.col("words"), "place": F.row_number().over(in_order) - 1,
@@ -108,30 +117,33 @@ def plan(sizes: DataFrame, shards: int | None = None) -> tuple[DataFrame, DataFr
     draws = stored(draws.withColumn("turn", F.row_number().over(Window.partitionBy("source").orderBy("mix_copy", "mix_block")) - 1), "mix-draws")
     quotas = sorted(draws.groupBy("source").count().collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
     spark = sizes.sparkSession
-    cuts = np.zeros((0, shards), np.int64)
+    cuts = np.zeros((0, shards + 1), np.int64)
     if quotas:
-        cuts = np.cumsum(split(np.array([r["count"] for r in quotas], np.int64), shards, np.random.default_rng(SEED)), axis=0).T
-    bounds = stored(spark.createDataFrame([(r["source"], [int(c) for c in row]) for r, row in zip(quotas, cuts)], "source string, bounds array<bigint>"), "mix-bounds")
-    placed = draws.join(bounds, _null_safe(draws, bounds, "source")).drop(bounds["source"])
-    shard = F.size(F.filter("bounds", lambda b: b <= F.col("turn")))
-    return stored(placed.select("source", "mix_block", "mix_copy", "mix_upto", shard.alias("mix_shard")), "mix-plan"), goal
-
-
-def copies(sizes: DataFrame, draws: DataFrame) -> DataFrame:
-    """`sizes` with mix_times: how often the mixture takes each document."""
-    per = draws.groupBy("source", "mix_block").agg(F.count_if(F.col("mix_upto").isNull()).alias("whole"), F.max("mix_upto").alias("upto"))
+        parts = split(np.array([r["count"] for r in quotas], np.int64), shards, np.random.default_rng(SEED))
+        cuts = np.concatenate([np.zeros((len(quotas), 1), np.int64), np.cumsum(parts, axis=0).T], axis=1)
+    stretches = [(r["source"], i, int(row[i]), int(row[i + 1])) for r, row in zip(quotas, cuts) for i in range(shards) if row[i] < row[i + 1]]
+    stretches = stored(spark.createDataFrame(stretches, "source string, mix_shard int, first bigint, stop bigint"), "mix-stretches")  # a row a source and shard
+    turns = stretches.select("source", "mix_shard", F.explode(F.expr("sequence(first, stop - 1)")).alias("turn"))
+    draws = draws.withColumn("turn", F.col("turn").cast("bigint"))
+    placed = draws.join(turns, _null_safe(draws, turns, "source", "turn")).drop(turns["source"]).drop(turns["turn"])
+    return stored(placed.select("source", "mix_block", "mix_copy", "mix_upto", "mix_shard"), "mix-plan"), goal, shards
+
+
+def copies(sizes: DataFrame, draws: DataFrame, shards: int) -> DataFrame:
+    """`sizes` with mix_shards: the output shards that take each document, one entry a time; empty if none does."""
+    taken = F.array_sort(F.collect_list(F.struct("mix_copy", "mix_shard", "mix_upto")))  # at most EPOCHS + 1 draws of a block
+    per = draws.groupBy("source", "mix_block").agg(taken.alias("draws"))
+    sizes = blocked(sizes, shards)
     joined = sizes.join(per, _null_safe(sizes, per, "source", "mix_block"), "left").drop(per["source"]).drop(per["mix_block"])
-    times = F.coalesce("whole", F.lit(0)) + F.when(F.col("mix_key") <= F.col("upto"), F.lit(1)).otherwise(F.lit(0))
-    return joined.withColumn("mix_times", times.cast("bigint")).drop("whole", "upto")
+    own = F.filter("draws", lambda d: d["mix_upto"].isNull() | (F.col("mix_key") <= d["mix_upto"]))
+    return joined.withColumn("mix_shards", F.coalesce(F.transform(own, lambda d: d["mix_shard"]), F.array().cast("array<int>"))).drop("draws")
 
 
 def mix(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """The mixture: the columns of `docs`, each row as often as it is drawn, in shards, each in an order of its own."""
-    draws, _ = plan(stored(sized(docs, "doc_id"), "mix-sizes"), shards)
-    shards = (draws.agg(F.max("mix_shard")).first()[0] or 0) + 1
-    key = hash_key("doc_id", seed=SEED)
+    draws, _, shards = plan(stored(sized(docs, "doc_id"), "mix-sizes"), shards)
     safe, restored = set_aside(docs, "mix_")
-    rows = safe.withColumns({"mix_key": key, "mix_block": F.shiftright(key, _SHIFT).cast("int")})
+    rows = blocked(safe.withColumn("mix_key", hash_key("doc_id", seed=SEED)), shards)
     drawn = rows.join(draws, _null_safe(rows, draws, "source", "mix_block")).drop(draws["source"]).drop(draws["mix_block"]).filter("mix_upto is null or mix_key <= mix_upto")
     local = hash_key("mix_key", "mix_copy", "mix_shard", seed=SEED + 1)
     return drawn.repartitionById(shards, "mix_shard").sortWithinPartitions("mix_shard", local).transform(restored)

@@ -87,10 +87,10 @@ def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = stored(mixing_tree.sized(table(spark, sf_dir, "documents"), "doc_id"), "op9-sizes")
-    draws, goal = mixing_tree.plan(sizes)
-    rows = mixing_tree.copies(sizes, draws)
-    return rows.join(goal, rows["source"].eqNullSafe(goal["source"])).select(
-        "doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("mix_times")).alias("taken"))
+    draws, goal, shards = mixing_tree.plan(sizes)
+    rows = mixing_tree.copies(sizes, draws, shards)
+    taken = F.col("mix_size") * F.size("mix_shards")
+    return rows.join(goal, rows["source"].eqNullSafe(goal["source"])).select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", taken.alias("taken"), F.col("mix_shards").alias("shards"))
 
 
 @query

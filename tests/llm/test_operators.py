@@ -210,20 +210,34 @@ def test_trigram_queries():
 
 def test_mixing(docs, none, rows):
     sizes = stored(mixing_tree.sized(docs, "doc_id"), "test-sizes")
-    draws, goal = mixing_tree.plan(sizes, 4)
-    got = mixing_tree.copies(sizes, draws).collect()
+    draws, goal, shards = mixing_tree.plan(sizes, 4)
+    got = mixing_tree.copies(sizes, draws, shards).collect()
     assert sorted(r["mix_size"] for r in got) == sorted(len(WORD.findall(r[1] or "")) for r in rows)
     target = {r["source"]: r for r in goal.collect()}
     for s, t in target.items():
-        taken = sum(r["mix_size"] * r["mix_times"] for r in got if r["source"] == s)
-        assert abs(taken - t["target"]) <= max(r["mix_size"] for r in got if r["source"] == s) and all(r["mix_times"] <= 2 for r in got)
+        taken = sum(r["mix_size"] * len(r["mix_shards"]) for r in got if r["source"] == s)
+        assert abs(taken - t["target"]) <= max(r["mix_size"] for r in got if r["source"] == s) and all(len(r["mix_shards"]) <= 2 for r in got)
     mixed = mixing_tree.mix(docs, 4)
-    assert mixed.columns == docs.columns and mixed.count() == sum(r["mix_times"] for r in got)
+    assert mixed.columns == docs.columns and mixed.count() == sum(len(r["mix_shards"]) for r in got)
     assert sorted(map(str, mixed.select("doc_id").collect())) == sorted(map(str, mixing_tree.mix(docs, 4).select("doc_id").collect()))
     assert mixing_tree.mix(none).count() == 0
-    drawn = sizes.join(draws, sizes["source"].eqNullSafe(draws["source"]) & (sizes["mix_block"] == draws["mix_block"])).filter("mix_upto is null or mix_key <= mix_upto")
-    of_shard = {r["mix_shard"]: r["count"] for r in drawn.groupBy("mix_shard").count().collect()}
-    assert {r["task"]: r["count"] for r in mixed.groupBy(F.spark_partition_id().alias("task")).count().collect()} == of_shard  # one shard a task
+    of_shard = Counter(s for r in got for s in r["mix_shards"])
+    assert {r["task"]: r["count"] for r in mixed.groupBy(F.spark_partition_id().alias("task")).count().collect()} == dict(of_shard)  # one shard a task
+    quotas = {r["source"]: r["count"] for r in draws.groupBy("source").count().collect()}  # the shards of the result are those of the tree
+    order = sorted(quotas, key=lambda s: (s is None, s or ""))
+    tree = mixing_tree.split(np.array([quotas[s] for s in order]), 4, np.random.default_rng(mixing_tree.SEED))
+    per = Counter((r["source"], r["mix_shard"]) for r in draws.collect())
+    assert [[per[s, k] for s in order] for k in range(4)] == tree.tolist()
+
+
+def test_mixing_fills_every_shard(spark):
+    """More shards than the blocks of a small mixture: blocks follow, and every shard gets rows of every source."""
+    df = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("source"))
+    assert mixing_tree.block_bits(1) == 12 and mixing_tree.block_bits(300) == 15
+    sizes = stored(mixing_tree.sized(df, "doc_id"), "test-shards")
+    draws, _, shards = mixing_tree.plan(sizes, 300)
+    got = mixing_tree.copies(sizes, draws, shards).select("source", F.explode("mix_shards").alias("shard")).groupBy("shard").pivot("source", ["x", "y"]).count().collect()
+    assert len(got) == 300 and all(r["x"] and r["y"] for r in got)
 
 
 def test_shares_and_tree():
@@ -409,5 +423,38 @@ def test_pipeline(spark, sf):
     assert all(s.columns == ["doc_id", "text", "lang", "source", "n_chars"] for s in steps[:-1])
     rules, joined, scanned, mixed, tokens = steps
     assert joined.count() == joined.select("doc_id").distinct().count() == chosen_path.classes(rules).select("class_id").distinct().count()
-    assert scanned.count() == joined.count() and scanned.filter("text like '%[SECRET]%'").count() >= 0
+    assert scanned.count() == joined.count()
+    secret = {r["doc_id"]: r for r in secret_index.scan(joined).collect()}
+    marked = {r["doc_id"]: r["text"] for r in scanned.collect()}
+    for i, r in secret.items():  # every found secret is gone, all other text stays
+        text, at, want = r["text"] or "", 0, ""
+        for s in sorted(r["secret_spans"], key=lambda s: s["start"]):
+            if s["start"] >= at:
+                want += text[at:s["start"]] + "[SECRET]"
+            at = max(at, s["stop"])
+        assert (marked[i] or "") == want + text[at:]
+    assert any("[SECRET]" in (t or "") for t in marked.values())
+    counts, words_of = Counter(r["doc_id"] for r in mixed.select("doc_id").collect()), lambda t: len(WORD.findall(t or ""))
+    sources = sorted({r["source"] for r in scanned.collect()}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(words_of(r["text"]) for r in scanned.collect() if r["source"] == s) for s in sources]
+    for s, goal in zip(sources, mixing_tree.share(sizes)):
+        own = [r for r in scanned.collect() if r["source"] == s]
+        assert abs(sum(words_of(r["text"]) * counts[r["doc_id"]] for r in own) - goal) <= max(words_of(r["text"]) for r in own)
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    lib = Tokenizer.from_file(str(public_tokenizers.path(bpe_rounds.TOKENIZER)))
+    lib.no_truncation()
+    lib.no_padding()
+    text = {r["doc_id"]: r["text"] or "" for r in mixed.collect()}
+    assert all(r["bpe_ids"] == lib.encode(text[r["doc_id"]], add_special_tokens=False).ids for r in tokens.collect())
     assert tokens.count() == mixed.count() >= joined.count() and tokens.filter("n_tokens <> size(bpe_ids)").count() == 0
+
+
+def test_pipeline_on_odd_tables(spark, docs, tmp_path):
+    """Nulls, empty texts, repeated rows and clashing columns; an empty table."""
+    import corpus_pipeline
+    docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    made = corpus_pipeline.run(spark, f"{tmp_path}/odd")
+    assert made.count() > 0 and made.filter("n_tokens <> size(bpe_ids)").count() == 0
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
