@@ -81,6 +81,13 @@ def jon5(spark, sf):
     return out.select("peer_ip", F.array_join(text, ",").alias("owners"))
 
 
+@check("jon5_ip_owner_rows", """with ips as (select distinct peer_ip from {arrivals}) select peer_ip, row_number() over (partition by peer_ip order by cast(split_part(cidr, '/', 2) as int) desc, r.range_id) as place, r.tenant_id, r.source_id
+    from ips join {ranges} r on r.active and cast(split_part(peer_ip, '.', 2) as int) = cast(split_part(cidr, '.', 2) as int)
+    and (cidr like '%/16' or cast(split_part(peer_ip, '.', 3) as int) = cast(split_part(cidr, '.', 3) as int))""")
+def jon5_rows(spark, sf):
+    return j.ip_owner_rows(*_fx(spark, sf, "arrivals", "ranges"))
+
+
 _ROUTED = """select e.event_id, d.destination_id from {arrivals} e join {destinations} d on d.tenant_id = e.tenant_id
     where d.active and (d.source_ids is null or list_contains(d.source_ids, e.source_id)) and case when e.status = 'unparsed' then d.include_unparsed
     else e.severity_id >= d.min_severity_id and (d.class_uids is null or list_contains(d.class_uids, e.class_uid)) end"""

@@ -130,13 +130,15 @@ def str3(spark, sf):
     return led.silent_sources(heard, at).select("source_id", micros("alerted_at").alias("alerted_us"))
 
 
-@check("str3_clear_alerts", """select s.source_id, t.last <= {now} as alerted from {sources} s join (select source_id, max(received_at) as last from {arrivals} where source_id % 2 = 0 or received_at < {now} group by 1) t
-    on t.source_id = s.source_id""")
+@check("str3_clear_alerts", """select s.source_id, s.alert_days, t.last <= {now} + interval 1 day * s.alert_days as alerted from (select source_id, unnest(generate_series(-20, 20)) as alert_days from {sources}) s
+    join (select source_id, max(received_at) as last from {arrivals} group by 1) t on t.source_id = s.source_id""")
 def str3b(spark, sf):
+    """All events, and alerts on every day around them."""
     from logloom.operators.metrics import source_totals
-    a = fixture(spark, sf, "arrivals").filter((F.col("source_id") % 2 == 0) | (F.col("received_at") < now()))
-    heard = fixture(spark, sf, "sources").join(source_totals(a).select("source_id", "last_event_at"), "source_id").withColumn("alerted_at", now())
-    return led.clear_alerts(heard).select("source_id", F.col("alerted_at").isNotNull().alias("alerted"))
+    days = fixture(spark, sf, "sources").select("source_id", F.explode(F.expr("sequence(-20L, 20L)")).alias("alert_days"))
+    heard = days.join(source_totals(fixture(spark, sf, "arrivals")).select("source_id", "last_event_at"), "source_id")
+    heard = heard.withColumn("alerted_at", now() + F.make_dt_interval(days=F.col("alert_days").cast("int")))
+    return led.clear_alerts(heard).select("source_id", "alert_days", F.col("alerted_at").isNotNull().alias("alerted"))
 
 
 @check("str4_drift", """select source_id as ref_id, count(*) as received, count(*) filter (where status = 'unparsed') as unparsed from {arrivals}
@@ -189,7 +191,21 @@ def str8(spark, sf):
 
 @check("str9_trim_to_capacity", """select event_id from events qualify row_number() over (order by event_id) > greatest(1000, floor(count(*) over () * 0.1))""")
 def str9(spark, sf):
-    return led.trim_to_capacity(table(spark, sf, "events"), True, width=512).select("event_id")
+    return led.trim_to_capacity(table(spark, sf, "events"), True).select("event_id")
+
+
+@check("str9_trim_sparse", """select event_id from (select event_id, event_id * 4611686018427 - 9000000000000000000 + (event_id % 7) * 1000003 as id from events) qualify row_number() over (order by id) > greatest(1000, floor(count(*) over () * 0.3))""")
+def str9_sparse(spark, sf):
+    """Ids far apart, over most of the range of 64 bits."""
+    rows = table(spark, sf, "events").withColumn("id", F.expr("event_id * 4611686018427 - 9000000000000000000 + (event_id % 7) * 1000003"))
+    return led.trim_to_capacity(rows, True, share=0.3, id_col="id").select("event_id")
+
+
+@check("str2_counter_retention", """select epoch_us(date_trunc('minute', ts)) as minute_us, user_id % 25 as ref_id, count(*) as a from events where date_trunc('minute', ts) >= {now} - interval 7 days group by 1, 2""")
+def str2_retention(spark, sf):
+    from logloom.operators.metrics import minute_counters
+    kept = led.retain_counters(minute_counters(fixture(spark, sf, "arrivals")), now())
+    return kept.select(micros("minute").alias("minute_us"), "ref_id", "a")
 
 
 @check("str10_expire_uploads", """select upload_id, case when expires_at < {now} then 'expired' else status end as status from {uploads}""")

@@ -362,11 +362,12 @@ def str7(spark, sf):
     return res.groupBy("destination_id", outcome.alias("outcome")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
-@check("snk3_save_table", """select tenant_id, strftime(received_at, '%Y-%m-%d') as day, count(*) as n from {arrivals} group by 1, 2""")
+@check("snk3_save_table", """select event_id, tenant_id, strftime(received_at, '%Y-%m-%d') as day, epoch_us(received_at) as at_us, md5(raw) as digest, status from {arrivals}""")
 def snk3(spark, sf):
     path = shared_folder(spark, "snk3")
     sinks.save_table(fixture(spark, sf, "arrivals"), path)
-    return spark.read.parquet(path).groupBy(F.col("tenant_id").cast("bigint").alias("tenant_id"), F.date_format("date", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+    return spark.read.parquet(path).select("event_id", F.col("tenant_id").cast("bigint").alias("tenant_id"), F.date_format("date", "yyyy-MM-dd").alias("day"), micros("received_at").alias("at_us"),
+                                           F.md5(F.col("raw").cast("binary")).alias("digest"), "status")
 
 
 # ---------------------------------------------------------------- streams
@@ -388,7 +389,9 @@ def str1(spark, sf):
 @check("str2_stream_minute_counters", """select epoch_us(date_trunc('minute', ts)) as minute_us, user_id % 25 as ref_id, count(*) as a, count(*) filter (where event_type <> 'error') as b,
     count(*) filter (where event_type = 'error') as c from events group by 1, 2""")
 def str2(spark, sf):
-    out = st.run_updates(st.stream_minute_counters(_events_stream(spark, sf)), "str2", ["minute", "ref_id"])
+    """Minutes that the watermark has closed, over several micro-batches."""
+    events = table(spark, sf, "events").select(F.col("ts").alias("received_at"), (F.col("user_id") % 25).alias("source_id"), F.when(F.col("event_type") == "error", "unparsed").otherwise("parsed").alias("status"))
+    out = st.run_available(st.stream_minute_counters(_in_batches(spark, events, "received_at", "str2-in")), "str2")
     return out.select(micros("minute").alias("minute_us"), "ref_id", "a", "b", "c")
 
 
@@ -417,11 +420,13 @@ def str4(spark, sf):
     return out.select(micros("until").alias("until_us"), "ref_id", "received", "unparsed")
 
 
-@check("win5_stream_dedupe", """select count(*) as n from (select distinct user_id % 25, event_type from events)""")
+@check("win5_stream_dedupe", """select key, epoch_us(min(ts)) as first_us from (select concat(user_id % 25, '|', event_type) as key, ts from events) group by 1""")
 def win5(spark, sf):
-    """Keys seen again within the watermark are dropped; the window is longer than the data here."""
-    items = _events_stream(spark, sf).select(F.concat_ws("|", "source_id", "event_type").alias("key"), F.col("received_at").alias("ts"))
-    return st.run_available(st.stream_dedupe(items, keep="1000 hours"), "win5").agg(F.count("*").alias("n"))
+    """Over several micro-batches in the order of time, the first of each key stays; the window is longer than the data here."""
+    items = table(spark, sf, "events").select(F.concat_ws("|", F.col("user_id") % 25, "event_type").alias("key"), "ts")
+    first = items.groupBy("key", "ts").agg(F.count("*").alias("n")).select("key", "ts")
+    out = st.run_available(st.stream_dedupe(_in_batches(spark, first.repartition(1).sortWithinPartitions("ts"), "ts", "win5-in"), keep="1000 hours"), "win5")
+    return out.filter("key is not null").select("key", micros("ts").alias("first_us"))
 
 
 @check("det2_stream_brute_force", """select distinct host, epoch_us(ts) as ts_us, failures from (select host, ts, count(*) over (partition by host order by ts range between interval 2 hours preceding and current row) as failures

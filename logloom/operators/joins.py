@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,6 +189,13 @@ def reject_unknown(df: DataFrame, ranges: DataFrame) -> DataFrame:
     return anti(df, known, ["peer_ip", "transport"])
 
 
+def ip_owner_rows(df: DataFrame, ranges: DataFrame, ip: str = "peer_ip") -> DataFrame:
+    """One row per distinct address and (tenant, source) that allows it, with `place`, 1 for the most specific. Nothing is gathered, so an address in any number of ranges is so many rows."""
+    live = ranges.filter("active").select("cidr", "range_id", "tenant_id", "source_id")
+    order = Window.partitionBy(ip).orderBy(F.col("prefix").desc(), "range_id", "tenant_id", "source_id")
+    return address_matches(df.select(ip).distinct(), live, ip).select(ip, F.row_number().over(order).alias("place"), "tenant_id", "source_id")
+
+
 def ip_owner(df: DataFrame, ranges: DataFrame, ip: str = "peer_ip") -> DataFrame:
     """One row per distinct address with `owners`: every (tenant, source) that allows it, most specific first."""
     live = ranges.filter("active").select("cidr", "range_id", "tenant_id", "source_id")

@@ -133,3 +133,13 @@ def test_first_run_floor(spark):
     items = spark.createDataFrame([("a", 5, 1), ("b", 50, 2), ("b", 60, 3)], "key string, ts_ms long, seq long")
     seen = spark.createDataFrame([], "key string, seen_s long")
     assert [(r.key, r.ts_ms) for r in ranking.dedupe_seen(items, seen, 100, floor_ms=10).collect()] == [("b", 50)]
+
+
+def test_kth_smallest(spark):
+    import random
+    rng = random.Random(2)
+    ids = [-2**63, 2**63 - 1, 0, 0, 7] + [rng.randrange(-2**62, 2**62) for _ in range(300)] + list(range(1000, 1300))
+    df = spark.createDataFrame([(i,) for i in ids] + [(None,)], "id long")
+    for k in (1, 2, 5, 150, 303, 304, 450, len(ids)):
+        assert ranking.kth_smallest(df, "id", k) == sorted(ids)[k - 1]
+    assert ranking.kth_smallest(df, "id", len(ids) + 1) is None and ranking.kth_smallest(df, "id", 0) is None
