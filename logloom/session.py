@@ -59,6 +59,12 @@ def written(spark: SparkSession, path: str) -> bool:
     return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(df: DataFrame, at_least: int | None = None) -> DataFrame:
     """Repartition a CPU-bound job only when its input has fewer partitions than the cluster has cores.
 
