@@ -56,6 +56,14 @@ def win3b(spark, sf):
     return r.next_cursor(_fresh(spark, sf), _SINCE, _boundary(spark, sf)).select("since_ms", F.array_join("boundary", ",").alias("boundary"))
 
 
+@check("win3_next_boundary", f"""with f as ({_FRESH}), m as (select greatest(coalesce(max(ts_ms), {_SINCE}), {_SINCE}) as since_ms from f),
+    k as (select key, ts_ms from f union select 'k' || event_id, {_SINCE} from events where event_id % 2 = 0) select since_ms, key from m join k on ts_ms = since_ms""")
+def win3c(spark, sf):
+    """The boundary as a table, at the time of the cursor."""
+    since, edge = r.next_boundary(_fresh(spark, sf), _SINCE, _boundary(spark, sf))
+    return edge.join(F.broadcast(since), how="inner").select("since_ms", "key")  # one row is broadcast
+
+
 @check("win4_advance_cursor", """select user_id as stream, greatest(max(event_id) * 1000, 5000000 - 120000) as since_ms,
     case when max(event_id) * 1000 < 5000000 - 120000 then 0 else count(distinct event_id % 700) end as kept from events group by 1""")
 def win4(spark, sf):
@@ -108,6 +116,13 @@ def win7b(spark, sf):
     return r.ranked(pending, ["destination_id"], "event_id", width=97)
 
 
+@check("win7_ranked_sparse", f"select destination_id, event_id, p + 1 as rank from (select destination_id, event_id * event_id * event_id * 1009 - 7 as event_id, row_number() over (partition by destination_id order by event_id) - 1 as p from {{ledger}} where status = 'pending')")
+def win7c(spark, sf):
+    """Ranks over ids that thin out along their range, by bounds from a sketch of them."""
+    pending = fixture(spark, sf, "ledger").filter("status = 'pending'").select("destination_id", F.expr("event_id * event_id * event_id * 1009 - 7").alias("event_id"))
+    return r.ranked(pending, ["destination_id"], "event_id", bounds=r.id_bounds(pending, "event_id", 997))
+
+
 @check("win8_first_example", """select event_type, event_id from (select event_type, min(event_id) as event_id from events group by 1) order by event_id limit 12""")
 def win8(spark, sf):
     return r.first_example_per_case(table(spark, sf, "events").select("event_type", "event_id", "props"), "event_type", "event_id").select("event_type", "event_id")
@@ -231,9 +246,33 @@ def det2(spark, sf):
 
 
 # ---------------------------------------------------------------- masking
-@check("msk1_mask")
+# texts of documents cut into mails and the rest, then into address-like runs and the rest. They hold no other kind.
+_MAIL_RUN, _QUAD = r"[\pL\pN_.+-]+@[\pL\pN_-]+(?:\.[\pL\pN_-]+)+", r"^([0-9]{1,3}(?:\.[0-9]{1,3}){3})(\.?|\.\..*)$"
+_OCTETS = r"((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_IS_PRIVATE = r"regexp_matches(value, '^(10\.|127\.|0\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|192\.0\.[02]\.|2[45][0-9]\.)') and value not in ('192.0.0.9', '192.0.0.10')"
+
+
+def _masked_documents(mail: str, v4: str) -> str:
+    """SQL that masks documents; `mail` and `v4` are sub-queries (value, token) over `mails` (value) and `quads` (value, private, n)."""
+    return rf"""with p1 as (select doc_id, unnest(ps) as p, unnest(range(len(ps))) as i from (select doc_id, regexp_extract_all(text, '{_MAIL_RUN}|[\pL\pN_.+-]+|[^\pL\pN_.+-]+') as ps from documents)),
+        mails as (select distinct p as value from p1 where contains(p, '@') and regexp_full_match(p, '{_MAIL_RUN}')), mail_tokens as ({mail}),
+        t1 as (select doc_id, string_agg(coalesce(token, p), '' order by i) as text from p1 left join mail_tokens on value = p group by doc_id),
+        p2 as (select doc_id, unnest(ps) as p, unnest(range(len(ps))) as i from (select doc_id, regexp_extract_all(text, '[0-9.]+|[^0-9.]+') as ps from t1)),
+        q2 as (select *, regexp_extract(p, '{_QUAD}', 1) as quad from p2),
+        quads as (select distinct quad as value, {_IS_PRIVATE} as private, list_reduce(list_transform(string_split(quad, '.'), lambda o: o::bigint), lambda a, b: a * 256 + b) as n
+            from (select quad, quad as value from q2 where regexp_full_match(quad, '{_OCTETS}'))), v4_tokens as ({v4}),
+        t2 as (select doc_id, string_agg(case when token is null then p else token || substr(p, length(quad) + 1) end, '' order by i) as masked from q2 left join v4_tokens on value = quad group by doc_id)
+        select d.doc_id, case when d.text = '' then '' else masked end as masked from documents d left join t2 using (doc_id)"""
+
+
+_BY_MD5 = "row_number() over (partition by {} order by md5(value), value)"
+
+
+@check("msk1_mask", _masked_documents(f"select value, 'user' || {_BY_MD5.format(1)} || '@masked.invalid' as token from mails",
+       f"""select value, case when private then '10.' else '240.' end || (n // 65536) || '.' || (n // 256 % 256) || '.' || (n % 256) as token
+           from (select value, private, {_BY_MD5.format('private')} as n from quads)"""))
 def msk1(spark, sf):
-    """Whole documents; compared with a plain implementation on a fixture in the tests (SQL lacks look-around)."""
+    """Whole documents, which hold mails and IPv4 addresses; the other kinds are compared by `msk1_mask_lines` and in the tests."""
     return mk.mask(spread(table(spark, sf, "documents")), "text", "doc_id").select("doc_id", "masked")
 
 
@@ -257,15 +296,61 @@ _OUTER = {"mail": "'user' || n || '@masked.invalid'", "uuid": "'00000000-0000-80
 _VALUES = dict(zip(_OUTER, (_MAIL, _UUID, _SID, _V6, _V4P, _V4)))
 
 
+def _sensitive_lines(spark, sf):
+    value = {k: F.expr(v.replace("varchar", "string")) for k, v in _VALUES.items()}
+    text = F.concat(F.lit("by <"), value["mail"], F.lit("> id "), value["uuid"], F.lit(", "), value["sid"], F.lit("-1001 from "), value["v6"], F.lit(" via "), value["v4p"],
+                    F.lit(" to "), value["v4"], F.lit(". not 300.1.1.1 or 12:30:01"))
+    return table(spark, sf, "events").select("event_id", text.alias("text"))
+
+
 @check("msk1_mask_lines", "with " + ", ".join(f"t_{k} as (select value, {_OUTER[k]} as token from (select value, row_number() over (order by md5(value), value) as n from (select distinct {v} as value from events)))" for k, v in _VALUES.items())
        + " select event_id, 'by <' || t_mail.token || '> id ' || t_uuid.token || ', ' || t_sid.token || '-1001 from ' || t_v6.token || ' via ' || t_v4p.token || ' to ' || t_v4.token || '. not 300.1.1.1 or 12:30:01' as masked from events "
        + " ".join(f"join t_{k} on t_{k}.value = {v}" for k, v in _VALUES.items()))
 def msk1_lines(spark, sf):
     """Lines made of every event, so that SQL can say what each must become; free text is `msk1_mask`."""
-    value = {k: F.expr(v.replace("varchar", "string")) for k, v in _VALUES.items()}
-    text = F.concat(F.lit("by <"), value["mail"], F.lit("> id "), value["uuid"], F.lit(", "), value["sid"], F.lit("-1001 from "), value["v6"], F.lit(" via "), value["v4p"],
-                    F.lit(" to "), value["v4"], F.lit(". not 300.1.1.1 or 12:30:01"))
-    return mk.mask(table(spark, sf, "events").select("event_id", text.alias("text")), "text", "event_id").select("event_id", "masked")
+    return mk.mask(_sensitive_lines(spark, sf), "text", "event_id").select("event_id", "masked")
+
+
+_KEY = "check-key"
+
+
+def _sha(name: str) -> str:
+    return f"sha256('{_KEY}' || sha256('{_KEY}' || {name}))"
+
+
+def _feistel(frm: str) -> str:
+    """SQL of the permuted halves l, r of n in `frm` (value, private, n)."""
+    sql = f"select value, private, n // 65536 as l, n % 65536 as r from {frm}"
+    for i in range(mk.ROUNDS):
+        name = f"'half:{i}:' || r"
+        sql = f"select value, private, r as l, xor(l, ('0x' || substr({_sha(name)}, 1, 4))::bigint) as r from ({sql})"
+    return sql
+
+
+_V4_KEYED = "select value, case when private then '2001:db8:a::' else '2001:db8:4::' end || printf('%04x', l) || ':' || printf('%04x', r) as token from ({})"
+_MAIL_HEX, _UUID_HEX, _SID_HEX, _V6_HEX = (_sha(f"'{k}:' || {v}") for k, v in (("mail", _MAIL), ("uuid", _UUID), ("sid", _SID), ("v6", _V6)))
+
+
+@check("msk1_mask_keyed", _masked_documents(f"select value, 'user' || substr({_sha("'mail:' || value")}, 1, 24) || '@masked.invalid' as token from mails", _V4_KEYED.format(_feistel("quads"))))
+def msk1_keyed(spark, sf):
+    """Whole documents in one pass, with tokens that depend on the key and the value only."""
+    return mk.mask_keyed(spread(table(spark, sf, "documents")), "text", _KEY).select("doc_id", "masked")
+
+
+_HALVES = {"v4p": "select distinct {0} as value, true as private, (10 * 256 + user_id % 7) * 65536 + event_id % 200 as n from events",
+           "v4": "select distinct {0} as value, false as private, (8 * 256 + 8) * 65536 + user_id % 5 * 256 + event_id % 250 as n from events"}
+
+
+@check("msk1_keyed_lines", "with " + ", ".join(f"t_{k} as ({_V4_KEYED.format(_feistel(f'({sql.format(_VALUES[k])})'))})" for k, sql in _HALVES.items())
+       + f""" select event_id, 'by <user' || substr({_MAIL_HEX}, 1, 24) || '@masked.invalid> id ' || substr(u, 1, 8) || '-' || substr(u, 9, 4) || '-8' || substr(u, 13, 3) || '-8' || substr(u, 16, 3) || '-'
+           || substr(u, 19, 11) || 'a, S-1-5-21-' || (('0x' || substr(s, 1, 8))::bigint + 1000000000) || '-' || (('0x' || substr(s, 9, 8))::bigint + 1000000000) || '-' || (('0x' || substr(s, 17, 8))::bigint + 1000000000)
+           || '-1001 from 2001:db8:' || substr(x, 1, 4) || ':' || substr(x, 5, 4) || ':' || substr(x, 9, 4) || ':' || substr(x, 13, 4) || ':' || substr(x, 17, 4) || ':' || substr(x, 21, 3) || 'a via '
+           || t_v4p.token || ' to ' || t_v4.token || '. not 300.1.1.1 or 12:30:01' as masked
+           from (select *, {_UUID_HEX} as u, {_SID_HEX} as s, {_V6_HEX} as x from events) """
+       + " ".join(f"join t_{k} on t_{k}.value = {_VALUES[k]}" for k in _HALVES))
+def msk1_keyed_lines(spark, sf):
+    """The lines of `msk1_mask_lines`, every kind, by keyed tokens."""
+    return mk.mask_keyed(_sensitive_lines(spark, sf), "text", _KEY).select("event_id", "masked")
 
 
 @check("msk2_find_sensitive", r"""select doc_id, len(list_filter(string_split_regex(text, '[^0-9.]+'), lambda x: regexp_full_match(rtrim(x, '.'), '(\d{1,3}\.){3}\d{1,3}'))) as n_v4,

@@ -6,8 +6,10 @@ its place inside its own id range; an id range holds at most `width` rows becaus
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +19,34 @@ WIDTH = 1 << 16
 SALTS = 64
 
 
-def ranked(df: DataFrame, keys: Sequence[str], id_col: str, to: str = "rank", width: int = WIDTH) -> DataFrame:
-    """Adds the exact 1-based position of each row within its keys by ascending unique integer id."""
+MAX_RANGES = 4096
+
+
+def id_bounds(df: DataFrame, id_col: str, width: int = WIDTH) -> list[float]:
+    """Bounds that cut the ids of `df` into ranges of about `width` rows, at most MAX_RANGES of them, however the ids lie.
+
+    They come from a mergeable quantile sketch in one pass over the ids; nothing is sorted and only the bounds reach the driver.
+    """
+    parts = min(-(-df.count() // width), MAX_RANGES)
+    if parts < 2:
+        return []
+    cuts = df.approxQuantile(id_col, [i / parts for i in range(1, parts)], 1 / (4 * parts))
+    return sorted(set(cuts))
+
+
+def ranked(df: DataFrame, keys: Sequence[str], id_col: str, to: str = "rank", width: int = WIDTH, bounds: Sequence[float] | None = None) -> DataFrame:
+    """Adds the exact 1-based position of each row within its keys by ascending unique integer id.
+
+    Id ranges are `width` wide, which suits dense ids. For sparse or clustered ones (digests, snowflakes) pass `bounds=id_bounds(df, id_col)`. Any bounds give the same ranks.
+    """
     keys = list(keys)
-    cut = df.withColumn("__part", F.floor(F.col(id_col) / width))
+    if bounds is None:
+        cut = df.withColumn("__part", F.floor(F.col(id_col) / width))
+    elif bounds:  # a cast to double keeps the order of ids, and equal doubles share a range
+        cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="__id", outputCol="__part").transform(
+            df.withColumn("__id", F.col(id_col).cast("double"))).drop("__id").withColumn("__part", F.col("__part").cast("bigint"))
+    else:
+        cut = df.withColumn("__part", F.lit(0).cast("bigint"))
     counts = cut.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
@@ -121,16 +147,22 @@ def _tie(df: DataFrame, columns: list[str]) -> Column:
     return F.xxhash64(*plain) if plain else F.lit(0).cast("bigint")
 
 
-def next_cursor(new: DataFrame, since_ms: int, boundary: DataFrame, key: str = "key", ts_ms: str = "ts_ms", most: int | None = None) -> DataFrame:
-    """(since_ms, boundary) after a run: newest time and the ids seen exactly then (all, or the last `most` by name).
+def next_boundary(new: DataFrame, since_ms: int, boundary: DataFrame, key: str = "key", ts_ms: str = "ts_ms") -> tuple[DataFrame, DataFrame]:
+    """(`since_ms` in one row, `key` of every id seen exactly then) after a run; the second is the `boundary` of the next one, a table of any size.
 
-    When nothing newer came, the time stays and the new ids join the old boundary.
+    When nothing newer came, the time stays and the new ids join the old boundary. Null keys and times are no part of it.
     """
     newest = new.agg(F.greatest(F.coalesce(F.max(ts_ms), F.lit(since_ms)), F.lit(since_ms)).cast("bigint").alias("since_ms"))
     old = boundary.select(F.col("key").alias(key), F.lit(since_ms).cast("bigint").alias(ts_ms))
-    edge = new.select(key, ts_ms).unionByName(old).join(F.broadcast(newest), F.col(ts_ms) == F.col("since_ms"), "left_semi").select(key).distinct()
-    edge = edge if most is None else edge.orderBy(F.col(key).desc()).limit(most)
-    names = edge.agg(F.sort_array(F.collect_list(key)).alias("boundary"))
+    edge = new.select(key, ts_ms).unionByName(old).join(F.broadcast(newest), F.col(ts_ms) == F.col("since_ms"), "left_semi")  # one row is broadcast
+    return newest, edge.filter(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct()
+
+
+def next_cursor(new: DataFrame, since_ms: int, boundary: DataFrame, key: str = "key", ts_ms: str = "ts_ms", most: int | None = None) -> DataFrame:
+    """`next_boundary` as one row (since_ms, boundary), for cursors kept in a row: the ids (all, or the last `most` by name) are one array. Use `next_boundary` where many ids share a time."""
+    newest, edge = next_boundary(new, since_ms, boundary, key, ts_ms)
+    edge = edge if most is None else edge.orderBy(F.col("key").desc()).limit(most)
+    names = edge.agg(F.sort_array(F.collect_list("key")).alias("boundary"))
     both = newest.unionByName(names, allowMissingColumns=True)  # two rows
     return both.agg(F.max("since_ms").alias("since_ms"), F.max("boundary").alias("boundary"))
 
@@ -202,9 +234,9 @@ def due_deliveries(ledger: DataFrame, events: DataFrame, now: Column, n: int | N
     return live if n is None else top_per_key(live, ["destination_id"], [F.col("event_id")], n)
 
 
-def delivery_rounds(due: DataFrame, n: int = ROUND_MAX) -> DataFrame:
-    """Adds `round`: how many passes of n deliveries come before this one at its destination. Keeps every row."""
-    out = ranked(due, ["destination_id"], "event_id", "__rank")
+def delivery_rounds(due: DataFrame, n: int = ROUND_MAX, bounds: Sequence[float] | None = None) -> DataFrame:
+    """Adds `round`: how many passes of n deliveries come before this one at its destination. Keeps every row. `bounds` as in `ranked`."""
+    out = ranked(due, ["destination_id"], "event_id", "__rank", bounds=bounds)
     return out.withColumn("round", F.floor((F.col("__rank") - 1) / n)).drop("__rank")
 
 
@@ -236,7 +268,7 @@ RATE_PER_MINUTE = 600_000
 
 
 def rate_limit(df: DataFrame, per_minute: int = RATE_PER_MINUTE, origin: str = "peer_ip", ts: str = "received_at",
-               id_col: str = "event_id") -> DataFrame:
-    """Adds `rate_limited`: the line comes after the first `per_minute` lines of its origin in its clock minute."""
-    out = ranked(df.withColumn("__minute", F.date_trunc("minute", F.col(ts))), [origin, "__minute"], id_col, "__rank")
+               id_col: str = "event_id", bounds: Sequence[float] | None = None) -> DataFrame:
+    """Adds `rate_limited`: the line comes after the first `per_minute` lines of its origin in its clock minute. `bounds` as in `ranked`."""
+    out = ranked(df.withColumn("__minute", F.date_trunc("minute", F.col(ts))), [origin, "__minute"], id_col, "__rank", bounds=bounds)
     return out.withColumn("rate_limited", F.col("__rank") > per_minute).drop("__rank", "__minute")

@@ -1,5 +1,6 @@
 """Operators that SQL cannot express, or cannot express cheaply, against plain Python on small fixtures."""
 
+import bisect
 import hashlib
 import ipaddress
 import random
@@ -78,6 +79,27 @@ def test_mask_tokens_are_one_to_one(spark):
     assert all(valid(r.t) for r in many.filter("id < 70000").select(masking._token(F.lit("v6"), n).alias("t")).limit(2000).collect())
 
 
+def test_keyed_tokens_last_between_runs(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(
+        [(-1, "a.b@c.com 41eb30d2-db7c-41db-a187-e11eda8ea728.2.3.4 S-1-5-21-1-2-3::1 fe80::1 10.1.2.3 8.8.8.8."), (-2, None), (-3, ""), (-4, "300.1.1.1 12:30:01"), (-5, "8.8.8.8 a.b@c.com")], "doc_id long, text string"))
+    get = lambda df, key="k": {r.doc_id: r.masked for r in masking.mask_keyed(df, "text", key).collect()}
+    whole = get(docs)
+    assert whole == {**get(docs.filter("doc_id % 2 = 0")), **get(docs.filter("doc_id % 2 <> 0"))}
+    assert whole[-2] is None and whole[-3] == "" and whole[-4] == "300.1.1.1 12:30:01"
+    parts = whole[-1].split(" ")
+    assert [p.endswith(".") for p in parts] == [False] * 5 + [True] and whole[-5] == f"{parts[5][:-1]} {parts[0]}"
+    assert parts[1].endswith("a.2.3.4") and valid(parts[3]) and valid(parts[4]) and valid(parts[5][:-1])
+    for leaked in ("a.b@c", "41eb30d2", "S-1-5-21-1-2-3", "fe80", "10.1.2.3", "8.8.8.8"):
+        assert leaked not in whole[-1]
+    assert not set(get(docs.filter("doc_id = -5"), "other")[-5].split()) & set(whole[-5].split())
+
+
+def test_keyed_addresses_are_permuted(spark):
+    numbers = spark.range(30_000).unionByName(spark.range(2**32 - 30_000, 2**32)).unionByName(spark.range(2**16 - 7, 2**32, 2**17))
+    tokens = numbers.distinct().select(masking._permuted(F.col("id"), "k").alias("t"))
+    assert tokens.distinct().count() == tokens.count() and tokens.filter("t rlike '^[0-9a-f]{4}:[0-9a-f]{4}$'").count() == tokens.count()
+
+
 def packed(sizes, max_n, max_b):
     out, batch, n, b = [], -1, 0, 0
     for s in sizes:
@@ -110,6 +132,23 @@ def test_ranked_with_one_hot_key(spark):
     assert len(got) == 5000
 
 
+def test_ranked_on_sparse_and_clustered_ids(spark):
+    digest, near = F.xxhash64("id"), F.lit(2**62) + F.col("id")  # doubles cannot tell the near ones apart
+    df = spark.range(6000).select(F.when(F.col("id") % 4 == 0, near).otherwise(digest).alias("i"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 > 0, F.concat(F.lit("k"), F.col("id") % 50)).otherwise("one").alias("k"))
+    bounds = ranking.id_bounds(df.filter("i < 4611686018427387904"), "i", 100)
+    for cuts in (bounds, ranking.id_bounds(df, "i", 100), [], ranking.id_bounds(df, "i")):
+        seen, got = {}, ranking.ranked(df, ["k"], "i", bounds=cuts).collect()
+        for r in sorted(got, key=lambda r: r.i):
+            seen[r.k] = seen.get(r.k, 0) + 1
+            assert r["rank"] == seen[r.k]
+        assert len(got) == 6000
+    ids = sorted(r.i for r in df.filter("i < 4611686018427387904").collect())
+    at = [bisect.bisect_left(ids, b) for b in bounds]
+    assert len(bounds) == -(-len(ids) // 100) - 1 and max(b - a for a, b in zip([0, *at], [*at, len(ids)])) <= 200  # no range holds more than twice its share
+    empty = df.limit(0)
+    assert ranking.id_bounds(empty, "i") == [] and ranking.ranked(empty, ["k"], "i", bounds=[]).count() == 0
+
+
 def test_bad_rows_are_isolated():
     sent = []
 
