@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.json_walk import pruned
+from logloom.functions.json_walk import pruned_inside
 
 
 def present(col: Column) -> Column:
@@ -43,10 +43,7 @@ def prune_map(col: Column) -> Column:
 
 def kept_members(col: Column) -> Column:
     """Variant map without empty values, at any depth inside them."""
-    def inside(v: Column) -> Column:
-        kind = F.schema_of_variant(v)
-        return F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), pruned(v)).otherwise(v)
-    return F.map_filter(F.transform_values(col, lambda _, v: inside(v)), lambda _, v: v.isNotNull() & ~empty_variant(v))
+    return F.map_filter(F.transform_values(col, lambda _, v: pruned_inside(v)), lambda _, v: v.isNotNull() & ~empty_variant(v))
 
 
 def prune_variant_map(col: Column) -> Column:

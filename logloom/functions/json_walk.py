@@ -55,8 +55,16 @@ def flat_entries(v: Column) -> Column:
     return F.aggregate(_tokens(v), start, step, lambda s: s["out"])
 
 
-def pruned(v: Column) -> Column:
-    """The variant without empty members (null, '', '-', and lists and objects that hold nothing else) at any depth; NULL when nothing is left."""
+_MAY_BE_EMPTY = r'null|"-?"|\[\]|\{\}'  # JSON text without any of these holds no empty member
+
+
+def pruned_inside(v: Column) -> Column:
+    """An object or list without empty members (null, '', '-', and lists and objects that hold nothing else) at any depth, NULL when nothing is left; anything else as it is. Only what may hold one is walked."""
+    text = F.to_json(v)
+    return F.when(text.rlike(r"\A[\[{]") & text.rlike(_MAY_BE_EMPTY), _walked(v)).otherwise(v)
+
+
+def _walked(v: Column) -> Column:
     def step(s: Column, t: Column) -> Column:
         top, under = _top(s["open"]), _top(_below(s["open"]))
         frame = lambda base, key=None, items=None: F.struct(base["list"].alias("list"), (base["key"] if key is None else key).alias("key"), (base["items"] if items is None else items).alias("items"))

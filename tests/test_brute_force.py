@@ -3,11 +3,13 @@
 import bisect
 import hashlib
 import ipaddress
+import json
 import random
 import re
 
 from pyspark.sql import functions as F
 
+from logloom.functions import emptiness
 from logloom.operators import masking, ranking
 from logloom.sources import sinks
 
@@ -182,3 +184,12 @@ def test_kth_smallest(spark):
     for k in (1, 2, 5, 150, 303, 304, 450, len(ids)):
         assert ranking.kth_smallest(df, "id", k) == sorted(ids)[k - 1]
     assert ranking.kth_smallest(df, "id", len(ids) + 1) is None and ranking.kth_smallest(df, "id", 0) is None
+
+
+def test_only_values_that_may_hold_empties_are_walked(spark):
+    texts = ['{"a":{"b":"","c":1},"d":[{"e":null},"-"]}', '{"a":{"b":"x\\"","c":[1.50,{"d":true}]}}', '{"a":["null",{"b":"[]"}],"c":"{}","d":"[x"}', '{"a":[[]],"b":[{"c":{}}],"c":"-"}', '{}', '{"a":{"":1}}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    members = emptiness.kept_members(F.try_variant_get(F.try_parse_json("t"), "$", "map<string,variant>"))
+    got = {r.id: json.loads(r.j) for r in df.select("id", F.to_json(F.transform_values(members, lambda _, v: F.to_json(v))).alias("j")).collect()}
+    got = {i: {k: json.loads(v) for k, v in m.items()} for i, m in got.items()}
+    assert got == {0: {"a": {"c": 1}}, 1: {"a": {"b": 'x"', "c": [1.5, {"d": True}]}}, 2: {"a": ["null", {"b": "[]"}], "c": "{}", "d": "[x"}, 3: {}, 4: {}, 5: {"a": {"": 1}}}
