@@ -1,7 +1,8 @@
 """Joins: dimension lookups that survive hot keys, origin resolution by address range, routing and policies.
 
 No dimension is broadcast on trust. `attach` asks the optimizer for its size bound; above the bound the small side is
-copied once per salt and the large side spreads its hot keys over the salts.
+copied once per salt and the large side spreads its hot keys over the salts. The bound of a table in files is the size of the
+files, in which rows take a tenth of their size in memory and less, so it is kept far below what the driver may hold.
 """
 
 from __future__ import annotations
@@ -16,25 +17,28 @@ from pyspark.sql import types as T
 from logloom.functions.convert import address_bits, unmapped_bits
 from logloom.functions.patterns import to_java
 
-BROADCAST_BYTES = 32 * 1024 * 1024
+BROADCAST_BYTES = 1024 * 1024
 SALTS = 16
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """True when the optimizer's upper estimate of the data size is within the limit; False when it is unknown."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= limit
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit  # an int or a Java object, by the version of the bridge
     except AttributeError:  # a remote session does not expose the plan
         return False
 
 
 def attach(df: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left", limit: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
-    """Equi-join of a large frame with a dimension holding at most one row per key (or a few)."""
+    """Equi-join of a large frame with a dimension holding at most one row per key (or a few).
+
+    A dimension above the limit is merged: its copies are estimated by their source's files as well, so without the hint the optimizer would broadcast them.
+    """
     if fits_broadcast(dim, limit):
         return df.join(F.broadcast(dim), list(on), how)
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*_spreading(df, on)), F.lit(salts)).cast("int"))
     copies = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "__salt"], how).drop("__salt")
+    return salted.join(copies.hint("merge"), [*on, "__salt"], how).drop("__salt")
 
 
 def _spreading(df: DataFrame, keys: Sequence[str]) -> list[Column]:
