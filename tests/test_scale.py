@@ -29,3 +29,17 @@ def test_a_dimension_is_broadcast_by_its_estimate_and_else_merged(spark):
     assert "BroadcastHashJoin" in plan(j.attach(facts, small, ["id"]))
     salted = j.attach(facts, small, ["id"], limit=10)
     assert "Broadcast" not in plan(salted) and rows(salted) == rows(facts.join(small, "id", "left"))
+
+
+def test_routes_of_profiles_are_routes_of_events(spark):
+    events = spark.createDataFrame([(i, t, s, v, c, st) for i, (t, s, v, c, st) in enumerate(
+        [(1, 1, 3, 7, "parsed"), (1, None, 3, 7, "parsed"), (1, 1, None, None, "parsed"), (1, 1, None, None, "parsed"), (1, 2, 0, 8, "unparsed"), (2, 1, 5, 7, None), (None, 1, 5, 7, "parsed")])],
+        "event_id long, tenant_id int, source_id int, severity_id int, class_uid int, status string")
+    dest = spark.createDataFrame([(1, 10, True, None, 0, None, True), (1, 11, True, [1], 3, [7], False), (1, 11, True, [1], 3, [7], False), (1, None, True, [], None, [8], True), (2, 12, True, None, 5, [7], None),
+                                  (1, 13, False, None, 0, None, True)],
+                                 "tenant_id int, destination_id long, active boolean, source_ids array<int>, min_severity_id int, class_uids array<int>, include_unparsed boolean")
+    got = j.route(events, dest)
+    want = [(0, 10), (0, 11), (0, 11), (1, 10), (2, 10), (3, 10), (4, 10), (4, None), (5, 12)]
+    assert rows(got.select("event_id", "destination_id")) == sorted(want, key=repr) and got.columns == [*events.columns, "destination_id"]
+    each = [line for line in plan(got).splitlines() if "array_contains" in line]
+    assert each and all("event_id" not in line for line in each)  # rules are tested on profiles
