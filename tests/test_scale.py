@@ -43,3 +43,15 @@ def test_routes_of_profiles_are_routes_of_events(spark):
     assert rows(got.select("event_id", "destination_id")) == sorted(want, key=repr) and got.columns == [*events.columns, "destination_id"]
     each = [line for line in plan(got).splitlines() if "array_contains" in line]
     assert each and all("event_id" not in line for line in each)  # rules are tested on profiles
+
+
+def test_ledger_rows_are_not_moved_by_joins_with_events(spark, sf):
+    ledger, events = fixture(spark, sf, "ledger"), fixture(spark, sf, "arrivals")
+    now = F.lit(datetime(2024, 1, 15, 12))
+    kept, after = retention(events, ledger, now)
+    results = ledger.select("event_id", "destination_id", F.lit(True).alias("ok"), F.lit(False).alias("permanent"), F.lit("").alias("reason"), F.col("next_attempt_at").alias("at"))
+    for df in (after, delivery_outcome(ledger, results), j.orphan_deliveries(ledger, events.withColumn("event_id", 2 * F.col("event_id")))):
+        moved = [line for line in plan(df).splitlines() if "Exchange hashpartitioning" in line]
+        assert moved and all("destination_id" not in line for line in moved)
+        tree = plan(df)
+        assert tree.count("REPARTITION_BY_NUM") >= 1
