@@ -55,3 +55,29 @@ def test_ledger_rows_are_not_moved_by_joins_with_events(spark, sf):
         assert moved and all("destination_id" not in line for line in moved)
         tree = plan(df)
         assert tree.count("REPARTITION_BY_NUM") >= 1
+
+
+def test_kth_smallest_beyond_64_bits(spark):
+    ids = [Decimal(i) * 10 ** 20 - 5 * 10 ** 21 + i % 7 for i in range(100)]
+    df = spark.createDataFrame([(i,) for i in ids], "id decimal(37,0)").repartition(3)
+    assert [kth_smallest(df, "id", k) for k in (1, 42, 100, 101)] == [int(sorted(ids)[0]), int(sorted(ids)[41]), int(sorted(ids)[99]), None]
+
+
+def _large_ids(spark, sf, tmp_path, start: int) -> str:
+    spark.read.parquet(f"{sf}/supplier.parquet").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.read.parquet(f"{sf}/events.parquet").withColumn("event_id", F.col("event_id") + start).write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def test_sparse_ids_of_large_tables(spark, sf, tmp_path):
+    start = 6_000_000
+    at = _large_ids(spark, sf, tmp_path, start)
+    n = spark.read.parquet(f"{at}/events.parquet").count()
+    kept = [r[0] for r in QUERIES["str9_trim_sparse"](spark, at).collect()]
+    assert kept == [] if n <= 1000 else len(kept) == n - max(1000, int(n * 0.3))
+    ranks = QUERIES["win7_ranked_sparse"](spark, at).collect()
+    want = fixture(spark, at, "ledger").filter("status = 'pending'").select("destination_id", "event_id").collect()
+    by = {}
+    for d, e in sorted(want):
+        by.setdefault(d, []).append(e)
+    assert sorted((r["destination_id"], int(r["event_id"]), r["rank"]) for r in ranks) == [(d, e ** 3 * 1009 - 7, i) for d, es in sorted(by.items()) for i, e in enumerate(es, 1)]
