@@ -13,6 +13,7 @@ from logloom.functions.emptiness import prune_variant_map
 from logloom.operators import extract as x
 from logloom.operators.filters import search_events
 from logloom.operators.normalize import precheck
+from logloom.session import spread
 
 
 def _json(spark, sf):
@@ -289,7 +290,7 @@ _NESTED = """'{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":{"i":[{"x":' || event_id |
 
 
 def _nested(spark, sf):
-    return table(spark, sf, "events").withColumn("j", F.parse_json(F.expr(_NESTED)))
+    return spread(table(spark, sf, "events")).withColumn("j", F.parse_json(F.expr(_NESTED)))
 
 
 @check("cnv16_flatten_deep", """select event_id, list_value('a.b.c.d.e.f.g.h.i.0.no', 'a.b.c.d.e.f.g.h.i.0.x', 'a.b.c.d.e.f.g.h.i.1.y', 'a.b.c.d.s', 't') as keys,

@@ -100,7 +100,7 @@ def ext10(spark, sf):
     strftime(make_timestamp(epoch_us(ts) // 1000 * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as created, 'u' || user_id as account,
     event_type || ' & more' as kind from events""")
 def ext11(spark, sf):
-    df = x.extract_winxml(lines(spark, sf, "winxml"), RAW, "w")
+    df = x.extract_winxml(spread(lines(spark, sf, "winxml")), RAW, "w")
     s, d = (lambda k: F.try_element_at("w.System", F.lit(k))), (lambda k: F.try_element_at("w.EventData", F.lit(k)))
     return df.select("event_id", s("EventID").alias("code"), s("ProviderName").alias("provider"), s("EventRecordID").alias("record"), s("Computer").alias("computer"),
                      s("TimeCreatedSystemTime").alias("created"), d("TargetUserName").alias("account"), d("Kind").alias("kind"))
@@ -113,7 +113,7 @@ def ext11_whole(spark, sf):
     raw = F.concat(F.lit("<?xml version='1.0'?><!-- <x> --><Event xmlns='http://schemas.microsoft.com/win/2004/08/events/event'><System><Extra>a&amp;b"), e, F.lit("</Extra><Mark of='x>"), u, F.lit("'/><Security UserID=\"S-"), u,
                    F.lit("\"></Security></System><EventData><Data>&#233;"), "event_type", F.lit("</Data><Binary>00FF</Binary></EventData><UserData><p:Outer xmlns:p='u'><p:In>nested "), e,
                    F.lit("<p:Deeper/>tail</p:In><Last><![CDATA[raw <"), u, F.lit(">]]></Last></p:Outer></UserData></Event>"))
-    df = x.extract_winxml(table(spark, sf, "events").withColumn("raw", raw), RAW, "w")
+    df = x.extract_winxml(spread(table(spark, sf, "events")).withColumn("raw", raw), RAW, "w")
     s, d = (lambda k: F.try_element_at("w.System", F.lit(k))), (lambda k: F.try_element_at("w.EventData", F.lit(k)))
     return df.select("event_id", s("Extra").alias("extra"), s("Markof").alias("mark"), s("SecurityUserID").alias("security"), d("Data1").alias("first"), d("Binary").alias("binary"), d("In").alias("deep"), d("Last").alias("cdata"))
 

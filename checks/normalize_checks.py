@@ -58,7 +58,7 @@ def nrm2_apply(spark, sf):
 
 @check("nrm3_unmapped", """select o_orderkey as key, 4 as n, o_orderpriority as prio, o_orderstatus as state, 'h' || (o_custkey % 50) as v0, cast(null as varchar) as dropped from orders""")
 def nrm3(spark, sf):
-    df = x.extract_json(lines(spark, sf, "json"), "raw", "j")
+    df = x.extract_json(spread(lines(spark, sf, "json")), "raw", "j")
     df = df.withColumn("kv", F.create_map(F.lit("state"), F.lit("-"), F.lit("late"), F.lit("y")))
     df = n.collect_unmapped(df, ["j", "kv"], drop=["id", "open.date"])
     at = lambda k, path="$": F.try_variant_get(F.try_element_at("unmapped", F.lit(k)), path, "string")

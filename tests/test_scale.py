@@ -57,6 +57,19 @@ def test_ledger_rows_are_not_moved_by_joins_with_events(spark, sf):
         assert tree.count("REPARTITION_BY_NUM") >= 1
 
 
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    pq.write_table(pa.table({"a": list(range(40000)), "t": [f"text {i * 7919}" for i in range(40000)]}), tmp_path / "one.parquet", row_group_size=1 << 20)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(16 * 1024))
+    try:
+        df = spark.read.parquet(str(tmp_path / "one.parquet"))
+        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        sizes = [r["n"] for r in spread(df).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sum(sizes) == 40000 and max(sizes) < 40000 / spark.sparkContext.defaultParallelism * 2
+
+
 def test_kth_smallest_beyond_64_bits(spark):
     ids = [Decimal(i) * 10 ** 20 - 5 * 10 ** 21 + i % 7 for i in range(100)]
     df = spark.createDataFrame([(i,) for i in ids], "id decimal(37,0)").repartition(3)
