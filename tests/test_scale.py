@@ -94,3 +94,13 @@ def test_sparse_ids_of_large_tables(spark, sf, tmp_path):
     for d, e in sorted(want):
         by.setdefault(d, []).append(e)
     assert sorted((r["destination_id"], int(r["event_id"]), r["rank"]) for r in ranks) == [(d, e ** 3 * 1009 - 7, i) for d, es in sorted(by.items()) for i, e in enumerate(es, 1)]
+
+
+def test_lines_of_several_files_are_numbered_on(spark, sf, monkeypatch):
+    seen = {q: rows(QUERIES[q](spark, sf)) for q in ("src1_numbered_splits", "src4_json_array")}
+    files = []
+    written = render_checks._written_files
+    monkeypatch.setattr(render_checks, "FILE_EVENTS", 300)
+    monkeypatch.setattr(render_checks, "FILE_DOCS", 60)
+    monkeypatch.setattr(render_checks, "_written_files", lambda df, *a: files.append(df.select("file_no").distinct().count()) or written(df, *a))
+    assert seen == {q: rows(QUERIES[q](spark, sf)) for q in seen} and len(files) == 2 and min(files) >= 3
