@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.tables import hash_key, set_aside, stored
@@ -38,6 +38,7 @@ LEVELS = 6
 RECALL = 0.999
 MORE = 1 / SIMILARITY - 1   # chance of a second coordinate
 COLUMNS = 1 << 16    # tokens compared at a time
+FEW_PAIRS = 32       # pairs of a cell that are looked at one by one
 _RNG = np.random.default_rng(88)
 _MUL = _RNG.integers(0, 2**31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 2**32, COORDINATES, dtype=np.uint32)
@@ -122,9 +123,8 @@ def leaves(sets: DataFrame) -> DataFrame:
     for level in range(LEVELS):
         coordinate = F.explode(F.array_distinct(_draws(F.col("parent"))))
         child = front.select("set_id", "signature", "parent", coordinate.alias("c")).select("set_id", F.xxhash64("parent", "c", F.col("signature")[F.col("c")]).alias("node"))
-        child = stored(child, f"path-{level}")
-        sizes = child.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        child = stored(child.join(sizes, "node"), f"path-nodes-{level}")
+        sized = child.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("node")))  # a node's rows pass one task; the window keeps them on disk where they are many
+        child = stored(sized.filter("n > 1"), f"path-nodes-{level}")
         small = child if level == LEVELS - 1 else child.filter(f"n <= {NODE}")
         out = small if out is None else out.unionByName(small)
         large = child.filter(f"n > {NODE}").select("set_id", F.col("node").alias("parent"))
@@ -187,14 +187,32 @@ def likely_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         b = a + step
         ok = (alone[a] | (side[a] != side[b])) & (ids[a] != ids[b])
         a, b = a[ok], b[ok]
-        for s in range(0, len(a), 4096):
-            x, y = a[s:s + 4096], b[s:s + 4096]
-            near = (sig[x] == sig[y]).sum(1) >= LIKELY * COORDINATES
-            x, y = x[near], y[near]
-            earlier = ((nodes[x][:, :, None] == nodes[y][:, None, :]) & (nodes[x] < node[x][:, None])[:, :, None]).any((1, 2)) if len(x) else np.zeros(0, bool)
-            left.append(x[~earlier])
-            right.append(y[~earlier])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        near = (sig[a] == sig[b]).sum(1) >= LIKELY * COORDINATES
+        left.append(a[near])
+        right.append(b[near])
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+    order = np.argsort(a, kind="stable")  # rows of a cell are neighbours, so pairs of a cell are too
+    a, b = a[order], b[order]
+    earlier = np.zeros(len(a), bool)
+    first = np.flatnonzero(np.r_[True, cell[a[1:]] != cell[a[:-1]]]) if len(a) else a
+    for p, q in zip(first, [*first[1:], len(a)]):
+        x, y = a[p:q], b[p:q]
+        if q - p < FEW_PAIRS:
+            earlier[p:q] = ((nodes[x][:, :, None] == nodes[y][:, None, :]) & (nodes[x] < node[x][:, None])[:, :, None]).any((1, 2))
+        else:
+            earlier[p:q] = _share(nodes[x[0]:y.max() + 1], node[x[0]])[x - x[0], y - x[0]]
+    return a[~earlier], b[~earlier]
+
+
+def _share(nodes: np.ndarray, node: int) -> np.ndarray:
+    """Whether two rows of a cell have a node below `node` in common, for all of them, by an incidence matrix of those nodes."""
+    row, at = np.nonzero(nodes < node)
+    name, column, count = np.unique(nodes[row, at], return_inverse=True, return_counts=True)
+    twice = count > 1
+    column, wanted = (np.cumsum(twice) - 1)[column], twice[column]
+    hit = np.zeros((len(nodes), int(twice.sum())), np.float32)
+    hit[row[wanted], column[wanted]] = 1
+    return hit @ hit.T > 0
 
 
 def _mark_likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -458,3 +458,18 @@ def test_pipeline_on_odd_tables(spark, docs, tmp_path):
     assert made.count() > 0 and made.filter("n_tokens <> size(bpe_ids)").count() == 0
     docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_chosen_path_pairs_of_a_full_cell_in_one_product():
+    """All sets of a node are near copies: pairs that met before are left out, however many nodes each set has."""
+    rng = np.random.default_rng(5)
+    n, width = 200, 40
+    nodes = [sorted({500, *rng.choice(1000, width, replace=False).tolist()}) for _ in range(n)]
+    sig = np.tile(rng.integers(0, 1 << 30, chosen_path.COORDINATES, dtype=np.int32), (n, 1))
+    table = pa.table({"cell": pa.array([7] * n, pa.int64()), "side": [0] * n, "alone": [True] * n, "node": pa.array([500] * n, pa.int64()), "set_id": pa.array(range(n), pa.int64()),
+                      "signature": pa.array(sig.tolist(), pa.list_(pa.int32())), "nodes": pa.array(nodes, pa.list_(pa.int64()))})
+    below = [{x for x in own if x < 500} for own in nodes]
+    assert chosen_path._share(np.array([[3, 8], [1, 3], [1, 9]]), 5).tolist() == [[True, True, False], [True, True, True], [False, True, True]]
+    a, b = chosen_path.likely_pairs(table)
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if not below[i] & below[j]}
+    assert want and {*zip(a.tolist(), b.tolist())} == want
