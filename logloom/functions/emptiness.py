@@ -22,9 +22,9 @@ def present_map(col: Column) -> Column:
 
 
 def empty_variant(v: Column) -> Column:
-    """True for a variant null, '', '-', [] and {}. The JSON text is only built for a value that reads as '[]' or '{}'."""
-    text = F.try_variant_get(v, "$", "string")
-    return text.isNull() | text.isin("", "-") | F.when(text.isin("[]", "{}"), F.to_json(v).isin("[]", "{}")).otherwise(False)
+    """True for a variant null, '', '-', [] and {}. The text of a value that is none of these is made once, its JSON text only for a value that reads as '[]' or '{}'."""
+    text = F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))
+    return F.when(text.isin("", "-", "[]", "{}"), text.isin("", "-") | F.to_json(v).isin("[]", "{}")).otherwise(False)
 
 
 def present_variant(col: Column) -> Column:

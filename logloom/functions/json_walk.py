@@ -1,7 +1,7 @@
-"""Nested variants of any depth, walked token by token of their JSON text inside one expression.
+"""Nested variants of any depth, by their JSON text inside one expression.
 
-A variant column has no recursive functions, and an expression nested level by level ends at some level. The tokens of a value are a flat array; an aggregate over it keeps the open objects and lists as a
-stack. JSON text made from a variant is well formed, so no token is unexpected.
+A variant column has no recursive functions, and an expression nested level by level ends at some level. To flatten, the members of a value are a flat array; an aggregate over it keeps the open objects and
+lists as a stack. To prune, the text is swept by one pattern until nothing changes. JSON text made from a variant is well formed and without blanks between tokens, so no token is unexpected.
 """
 
 from __future__ import annotations
@@ -9,76 +9,62 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TOKEN = r'"(?:[^"\\]|\\.)*+"|[{}\[\],:]|[^\s{}\[\],:"]++'
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_PLAIN = rf'(?:{_STRING}|[^\s{{}}\[\],:"]++)'
+_MEMBER = rf'(?:({_STRING}):)?+(\[(?:{_PLAIN}(?:,{_PLAIN})*+)?+\]|[{{}}\[\]]|{_PLAIN})'  # name, and a list of plain values, a bracket or a plain value
 _ENTRIES = "array<struct<key:string,value:string>>"
-_FLAT = f"struct<open:array<struct<list:boolean,key:string,i:int,nested:boolean,first:int>>,name:boolean,out:{_ENTRIES}>"
-_PRUNED = "struct<open:array<struct<list:boolean,key:string,items:array<string>>>,name:boolean>"
-
-
-def _tokens(v: Column) -> Column:
-    return F.regexp_extract_all(F.to_json(v), F.lit(_TOKEN), F.lit(0))
+_FLAT = f"struct<open:array<struct<list:boolean,path:string,i:int>>,out:{_ENTRIES}>"
 
 
 def _text(token: Column) -> Column:
     """Text of a scalar token; NULL for null."""
-    return F.when(token.startswith('"'), F.try_variant_get(F.try_parse_json(token), "$", "string")).when(token != "null", token)
+    escaped = F.try_variant_get(F.try_parse_json(token), "$", "string")
+    return F.when(token.startswith('"'), F.when(token.contains("\\"), escaped).otherwise(F.substring(token, F.lit(2), F.length(token) - 2))).when(token != "null", token)
 
 
-def _top(stack: Column) -> Column:
-    return F.get(stack, F.size(stack) - 1)
+def flat_entries(v: Column) -> Column:
+    """Array of (key, value) of the leaves below a nested variant; keys begin with a dot. A list of plain values is one leaf, joined by ', '; other lists count their members.
 
+    A token is a whole member or a closing bracket, a list of plain values included, so there are few steps; an open object or list keeps its path.
+    """
+    text = F.to_json(v)
+    names, bodies = (F.regexp_extract_all(text, F.lit(_MEMBER), F.lit(i)) for i in (1, 2))
 
-def _below(stack: Column) -> Column:
-    return F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
+    def step(s: Column, e: Column) -> Column:
+        t, top = e["body"], F.get(s["open"], F.size(s["open"]) - 1)
+        opens, closes = t.isin("{", "["), t.isin("}", "]")
+        below = F.slice(s["open"], F.lit(1), F.greatest(F.size(s["open"]) - 1, F.lit(0)))
+        path = F.when(F.size(s["open"]) == 0, "").otherwise(F.concat(top["path"], F.lit("."), F.when(top["list"], top["i"].cast("string")).otherwise(_text(e["name"]))))
+        counted = F.when(top["list"], F.concat(below, F.array(F.struct(top["list"].alias("list"), top["path"].alias("path"), (top["i"] + 1).alias("i"))))).otherwise(s["open"])
+        fresh = F.struct((t == "[").alias("list"), path.alias("path"), F.lit(0).alias("i"))
+        joined = F.array_join(F.transform(F.regexp_extract_all(F.substring(t, F.lit(2), F.length(t) - 2), F.lit(_PLAIN), F.lit(0)), _text), ", ")
+        leaf = F.struct(path.alias("key"), F.when(t.startswith("["), joined).otherwise(_text(t)).alias("value"))
+        return F.struct(F.when(closes, below).when(opens, F.concat(counted, F.array(fresh))).otherwise(counted).alias("open"),
+                        F.when(opens | closes | (t == "[]"), s["out"]).otherwise(F.concat(s["out"], F.array(leaf))).alias("out"))
 
+    members = F.transform(F.arrays_zip(names.alias("name"), bodies.alias("body")), lambda e: F.struct(e["name"].alias("name"), e["body"].alias("body")))
+    return F.aggregate(members, F.struct(F.array(), F.array()).cast(_FLAT), step, lambda s: s["out"])
 
-def flat_entries(v: Column) -> Column:
-    """Array of (key, value) of the leaves below a nested variant; keys begin with a dot. A list of plain values is one leaf, joined by ', '; other lists count their members."""
-    def step(s: Column, t: Column) -> Column:
-        opens, closes, top = t.isin("{", "["), t.isin("}", "]"), _top(s["open"])
-        frame = lambda base, **new: F.struct(*[new.get(n, base[n]).alias(n) for n in ("list", "key", "i", "nested", "first")])
-        path = lambda stack: F.array_join(F.transform(stack, lambda f: F.concat(F.lit("."), F.when(f["list"], f["i"].cast("string")).otherwise(f["key"]))), "")
-        fresh = F.struct((t == "[").alias("list"), F.lit("").alias("key"), F.lit(0).alias("i"), F.lit(False).alias("nested"), F.size(s["out"]).alias("first"))
-        is_name = s["name"] & t.startswith('"')
-        put = lambda f: F.concat(_below(s["open"]), F.array(f))
-        stack = (F.when(opens, F.concat(F.when(F.size(s["open"]) > 0, put(frame(top, nested=F.lit(True)))).otherwise(s["open"]), F.array(fresh)))
-                 .when(closes, _below(s["open"])).when(is_name, put(frame(top, key=_text(t)))).when((t == ",") & top["list"], put(frame(top, i=top["i"] + 1))).otherwise(s["open"]))
-        own = F.slice(s["out"], top["first"] + 1, F.size(s["out"]))
-        plain = closes & top["list"] & ~top["nested"]
-        joined = F.when(F.size(own) > 0, F.array(F.struct(path(_below(s["open"])).alias("key"), F.array_join(F.transform(own, lambda e: e["value"]), ", ").alias("value")))).otherwise(F.array().cast(_ENTRIES))
-        out = (F.when(plain, F.concat(F.slice(s["out"], F.lit(1), top["first"]), joined))
-               .when(opens | closes | t.isin(",", ":") | is_name, s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(path(s["open"]).alias("key"), _text(t).alias("value"))))))
-        name = F.when(t == "{", True).when((t == ",") & ~top["list"], True).otherwise(False)
-        return F.struct(stack.alias("open"), name.alias("name"), out.alias("out")).cast(_FLAT)
-
-    start = F.struct(F.array(), F.lit(False), F.array()).cast(_FLAT)
-    return F.aggregate(_tokens(v), start, step, lambda s: s["out"])
-
-
-_MAY_BE_EMPTY = r'null|"-?"|\[\]|\{\}'  # JSON text without any of these holds no empty member
+
+_EMPTY = r'(?:null|"-?"|\[\]|\{\})'
+_MAY_BE_EMPTY = _EMPTY  # JSON text without any of these holds no empty member
+_GONE = rf'(?:{_STRING}:)?+{_EMPTY}(?:,(?:{_STRING}:)?+{_EMPTY})*+'  # neighbouring empty members
+# with the comma after them, the one before them, or none; other strings are matched whole and stay, so nothing inside one is taken for a member
+_SWEEP = rf'(?<=[{{\[,]){_GONE},|,{_GONE}(?=[}}\]])|(?<=[{{\[]){_GONE}(?=[}}\]])|({_STRING})'
 
 
 def pruned_inside(v: Column) -> Column:
-    """An object or list without empty members (null, '', '-', and lists and objects that hold nothing else) at any depth, NULL when nothing is left; anything else as it is. Only what may hold one is walked."""
-    text = F.to_json(v)
-    return F.when(text.rlike(r"\A[\[{]") & text.rlike(_MAY_BE_EMPTY), _walked(v)).otherwise(v)
-
-
-def _walked(v: Column) -> Column:
-    def step(s: Column, t: Column) -> Column:
-        top, under = _top(s["open"]), _top(_below(s["open"]))
-        frame = lambda base, key=None, items=None: F.struct(base["list"].alias("list"), (base["key"] if key is None else key).alias("key"), (base["items"] if items is None else items).alias("items"))
-        fresh = F.struct((t == "[").alias("list"), F.lit("").alias("key"), F.array().cast("array<string>").alias("items"))
-        is_name = s["name"] & t.startswith('"')
-        member = lambda f, text: F.concat(f["items"], F.array(F.when(f["list"], text).otherwise(F.concat(f["key"], F.lit(":"), text))))
-        whole = F.when(top["list"], F.concat(F.lit("["), F.array_join(top["items"], ","), F.lit("]"))).otherwise(F.concat(F.lit("{"), F.array_join(top["items"], ","), F.lit("}")))
-        shut = F.when(F.size(top["items"]) == 0, _below(s["open"])).otherwise(F.concat(_below(_below(s["open"])), F.array(frame(under, items=member(under, whole)))))
-        scalar = F.when(t.isin("null", '""', '"-"'), s["open"]).otherwise(F.concat(_below(s["open"]), F.array(frame(top, items=member(top, t)))))
-        stack = (F.when(t.isin("{", "["), F.concat(s["open"], F.array(fresh))).when(t.isin("}", "]"), shut)
-                 .when(is_name, F.concat(_below(s["open"]), F.array(frame(top, key=t)))).when(t.isin(",", ":"), s["open"]).otherwise(scalar))
-        name = F.when(t == "{", True).when((t == ",") & ~top["list"], True).otherwise(False)
-        return F.struct(stack.alias("open"), name.alias("name")).cast(_PRUNED)
-
-    outside = F.struct(F.lit(True), F.lit(""), F.array().cast("array<string>"))  # a list around the whole value
-    start = F.struct(F.array(outside), F.lit(False)).cast(_PRUNED)
-    return F.try_parse_json(F.aggregate(_tokens(v), start, step, lambda s: F.get(F.get(s["open"], F.lit(0))["items"], F.lit(0))))
+    """An object or list without empty members (null, '', '-', and lists and objects that hold nothing else) at any depth, NULL when nothing is left; anything else as it is. Only what may hold one is swept."""
+    kept = lambda t: F.when(t.rlike(r"\A[\[{]") & t.rlike(_MAY_BE_EMPTY), _swept(t)).otherwise(v)
+    return F.get(F.transform(F.array(F.to_json(v)), kept), F.lit(0))  # the text is made once, as the variable of the function
+
+
+def _swept(text: Column) -> Column:
+    """Sweeps take empty members out of the text until nothing changes: one for each level that becomes empty by the one before, and a last one."""
+    def step(s: Column, _: Column) -> Column:
+        swept = F.struct(F.regexp_replace(s["text"], _SWEEP, "$1").alias("text"), F.length(s["text"]).alias("before"))
+        return F.when(F.length(s["text"]) == s["before"], s).otherwise(swept)
+
+    lists_and_objects = F.length(text) - F.length(F.replace(F.replace(text, F.lit("{")), F.lit("[")))
+    start = F.struct(text.alias("text"), F.lit(-1).alias("before"))
+    return F.aggregate(F.sequence(F.lit(0), lists_and_objects), start, step, lambda s: F.when(~s["text"].isin("{}", "[]"), F.try_parse_json(s["text"])))

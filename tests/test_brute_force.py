@@ -6,10 +6,12 @@ import ipaddress
 import json
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from logloom.functions import emptiness
+from logloom.functions.json_walk import flat_entries, pruned_inside
 from logloom.operators import masking, ranking
 from logloom.sources import sinks
 
@@ -193,3 +195,56 @@ def test_only_values_that_may_hold_empties_are_walked(spark):
     got = {r.id: json.loads(r.j) for r in df.select("id", F.to_json(F.transform_values(members, lambda _, v: F.to_json(v))).alias("j")).collect()}
     got = {i: {k: json.loads(v) for k, v in m.items()} for i, m in got.items()}
     assert got == {0: {"a": {"c": 1}}, 1: {"a": {"b": 'x"', "c": [1.5, {"d": True}]}}, 2: {"a": ["null", {"b": "[]"}], "c": "{}", "d": "[x"}, 3: {}, 4: {}, 5: {"a": {"": 1}}}
+
+
+def _nested_value(rnd, depth):
+    texts = ["", "-", "a", 'q"u', "b\\s", "x,null,y", "[]", "{}", '{"a":null,', "[null,", ":", "\n"]
+    kind = rnd.random()
+    if depth and kind < 0.3:
+        return {rnd.choice(texts + ["k1", "k2"]): _nested_value(rnd, depth - 1) for _ in range(rnd.randint(0, 4))}
+    if depth and kind < 0.55:
+        return [_nested_value(rnd, depth - 1) for _ in range(rnd.randint(0, 4))]
+    return rnd.choice([None, True, 1, -25, *texts])
+
+
+def _without_empty(value):
+    if isinstance(value, dict):
+        value = {k: w for k, x in value.items() if (w := _without_empty(x)) is not None}
+    elif isinstance(value, list):
+        value = [w for x in value if (w := _without_empty(x)) is not None]
+    return None if value in ("", "-", [], {}) or value is None else value
+
+
+def _leaves(value, key=""):
+    plain = lambda x: None if x is None else str(x).lower() if isinstance(x, bool) else str(x)
+    if isinstance(value, dict):
+        return [e for k, x in value.items() for e in _leaves(x, f"{key}.{k}")]
+    if isinstance(value, list) and any(isinstance(x, dict | list) for x in value):
+        return [e for i, x in enumerate(value) for e in _leaves(x, f"{key}.{i}")]
+    if isinstance(value, list):
+        return [(key, ", ".join(t for x in value if (t := plain(x)) is not None))] if value else []
+    return [(key, plain(value))]
+
+
+def test_nested_values_pruned_and_flattened(spark):
+    """Texts that look like parts of JSON stay texts, and what becomes empty from the inside goes at any depth."""
+    rnd = random.Random(11)
+    values = [_nested_value(rnd, rnd.randint(1, 6)) for _ in range(400)]
+    deep = None
+    for _ in range(60):
+        deep = {"a": [deep]}
+    values += [deep, [1, deep], "x,null," * 20000, {"t": "\n,null," * 20000, "e": [None]}]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(values)], "i int, t string").withColumn("v", F.parse_json("t"))
+    got = {r["i"]: r for r in df.select("i", F.to_json(pruned_inside(F.col("v"))).alias("kept"), flat_entries(F.col("v")).alias("flat")).collect()}
+    for i, x in enumerate(values):
+        want = _without_empty(x) if isinstance(x, dict | list) else x
+        kept = got[i]["kept"]
+        assert (None if kept is None else json.loads(kept)) == want, x
+        assert Counter((e["key"], e["value"]) for e in got[i]["flat"]) == Counter(_leaves(x)), x
+
+
+def test_nested_values_take_few_steps(spark):
+    """One step a member, and pruning goes by sweeps of the text: no step for every token."""
+    plan = lambda c: spark.range(1).select(c.alias("x"))._jdf.queryExecution().analyzed().toString()
+    v = F.parse_json(F.lit('{"a":null}'))
+    assert "regexp_replace" in plan(pruned_inside(v)) and "regexp_extract_all" not in plan(pruned_inside(v))
