@@ -7,12 +7,13 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from checks import QUERIES, render_checks
+from checks import QUERIES, base, render_checks
 from checks.base import fixture
 from logloom.operators import joins as j
 from logloom.operators.ledger import delivery_outcome, retention
 from logloom.operators.ranking import kth_smallest
 from logloom.session import spread
+from logloom.sources import sinks
 
 
 def plan(df) -> str:
@@ -57,6 +58,30 @@ def test_ledger_rows_are_not_moved_by_joins_with_events(spark, sf):
         assert tree.count("REPARTITION_BY_NUM") >= 1
 
 
+def test_ledger_by_destination_holds_the_rows_of_the_ledger(spark, sf, monkeypatch):
+    monkeypatch.setattr(base, "SHARD_ROWS", 1000)
+    ledger = fixture(spark, sf, "ledger")
+    got = base.ledger_by_destination(spark, sf)
+    assert rows(got.drop("shard")) == rows(ledger) and got.select("shard").distinct().count() > 1
+    assert got.groupBy("destination_id").agg(F.count_distinct("shard").alias("n")).filter("n > 1").count() == 0
+
+
+def test_rows_that_lie_by_destination_are_not_moved_by_ranks_and_packing(spark, sf):
+    for name in ("win7_ranked", "win7_pack_batches"):
+        tree = plan(QUERIES[name](spark, sf))
+        moved = [line for line in tree.splitlines() if "Exchange hashpartitioning" in line]
+        assert moved and all("destination_id" not in line for line in moved)
+
+
+def test_a_round_of_several_batches_is_sent_batch_by_batch(spark, tmp_path):
+    due = spark.range(2600).select((F.col("id") % 2).alias("shard"), F.col("id").alias("event_id"), (F.col("id") % 2).alias("destination_id"), F.concat(F.lit("l"), "id").alias("value"))
+    with_shard = sinks.deliver(due, sinks.file_writer(str(tmp_path / "a")), by=["shard"])
+    assert rows(with_shard) == rows(sinks.deliver(due.drop("shard"), sinks.file_writer(str(tmp_path / "b")))) and with_shard.count() == 2600
+    names = sorted(str(f.relative_to(tmp_path / "a")) for f in (tmp_path / "a").rglob("*.txt"))
+    assert names == sorted(str(f.relative_to(tmp_path / "b")) for f in (tmp_path / "b").rglob("*.txt"))
+    assert names == sorted(f"destination_id={d}/{1000 * i + d}-{min(1000 * i + 998, 2598) + d}-{n}.txt" for d in (0, 1) for i, n in enumerate((500, 500, 300)))
+
+
 def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
     pq.write_table(pa.table({"a": list(range(40000)), "t": [f"text {i * 7919}" for i in range(40000)]}), tmp_path / "one.parquet", row_group_size=1 << 20)
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
