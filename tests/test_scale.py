@@ -11,7 +11,7 @@ from checks import QUERIES, base, render_checks
 from checks.base import fixture
 from logloom.operators import joins as j
 from logloom.operators.ledger import delivery_outcome, retention
-from logloom.operators.ranking import kth_smallest
+from logloom.operators.ranking import kth_smallest, pack_batches
 from logloom.session import spread
 from logloom.sources import sinks
 
@@ -129,3 +129,63 @@ def test_lines_of_several_files_are_numbered_on(spark, sf, monkeypatch):
     monkeypatch.setattr(render_checks, "FILE_DOCS", 60)
     monkeypatch.setattr(render_checks, "_written_files", lambda df, *a: files.append(df.select("file_no").distinct().count()) or written(df, *a))
     assert seen == {q: rows(QUERIES[q](spark, sf)) for q in seen} and len(files) == 2 and min(files) >= 3
+
+
+def test_deliveries_are_moved_once_by_destination(spark, tmp_path, monkeypatch):
+    spark.range(9000).select(F.col("id").alias("event_id"), (F.col("id") % 3).alias("destination_id"), F.concat(F.lit("l"), "id").alias("value")).write.parquet(str(tmp_path / "due"))
+    due = spark.read.parquet(str(tmp_path / "due"))
+
+    def writer(destination, batch):
+        if destination == 2:
+            raise sinks.Rejected("down")
+        if any(int(line[1:]) % 997 == 0 for line in batch):
+            raise sinks.Rejected("refused", permanent=True)
+    tree = plan(sinks.due_batches(due))
+    moved = [line for line in tree.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) == 3 and all("hashpartitioning(destination_id" in line and "REPARTITION_BY_NUM" in line for line in moved) and "ShuffledHashJoin" in tree
+    together = rows(sinks.deliver(due, writer))
+    assert together == sorted(((i, i % 3, i % 3 < 2 and i % 997 > 0, i % 3 < 2 and i % 997 == 0, "down" if i % 3 == 2 else "" if i % 997 else "refused") for i in range(9000)), key=repr)
+    assert sinks.destination_shards(due, 2999) is None and sinks.destination_shards(due.limit(0)) is None
+    monkeypatch.setattr(sinks, "SHARD_ROWS", 2999)  # a destination with more is cut by ranges of ids
+    tree = plan(sinks.due_batches(due))
+    assert "SortMergeJoin" in tree and "REPARTITION_BY_NUM" not in tree and rows(sinks.deliver(due, writer)) == together
+
+
+def test_rounds_within_the_byte_limit_are_cut_by_number(spark):
+    sizes = {0: [5] * 7, 1: [5, 90, 5, 5, 200, 5, 5], 2: [1]}
+    due = spark.createDataFrame([(d, 10 * i, 0, s) for d, each in sizes.items() for i, s in enumerate(each)], "destination_id long, event_id long, round long, bytes int")
+    for n, most in ((3, 10 ** 6), (3, 147), (3, 60), (1, 10 ** 6), (100, 146)):
+        want = []
+        for d, each in sizes.items():
+            batch, count, total = -1, n, 0
+            for i, s in enumerate(each):
+                if count >= n or total + s + 16 > most:
+                    batch, count, total = batch + 1, 0, 0
+                count, total = count + 1, total + s + 16
+                want.append((d, 0, 10 * i, batch))
+        assert rows(pack_batches(due, n, most)) == sorted(want, key=repr)
+    assert "CASE WHEN ((__n" in plan(pack_batches(due, 3, 60))
+
+
+def test_ledger_pipeline_deals_lines_out_and_drops_lines_that_ended(spark, tmp_path, monkeypatch):
+    from logloom.plans.formats_in import CEF
+    from logloom.streaming import pipeline
+    lines = spark.createDataFrame([(i, datetime(2024, 1, 1), 1, 1, f"CEF:0|Acme|Sensor|1.0|{i}|login|5|rt=1700000000000 msg=m{i}") for i in range(40)],
+                                  "event_id long, received_at timestamp, tenant_id long, source_id long, raw string").coalesce(1)
+    sources = spark.createDataFrame([(1, "keep")], "source_id long, unparsed_policy string")
+    destinations = spark.createDataFrame([(d, 1, True, None, 0, None, False, "raw") for d in (1, 2)],
+                                         "destination_id long, tenant_id long, active boolean, source_ids array<int>, min_severity_id int, class_uids array<int>, include_unparsed boolean, format string")
+
+    def writer(destination, batch):
+        if destination == 2:
+            raise sinks.Rejected("down")
+    for most in (sinks.SHARD_ROWS, 1):
+        monkeypatch.setattr(sinks, "SHARD_ROWS", most)
+        monkeypatch.setattr(pipeline, "removed", lambda *a: None)
+        folder = str(tmp_path / f"p{most}")
+        pipe = pipeline.LedgerPipeline(folder, [CEF], sources, destinations, writer, clock=lambda i: F.timestamp_seconds(F.lit(1_700_000_000 + 3600 * i)))
+        assert pipe._dealt(lines).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        pipe.step(lines, 0)
+        got = spark.read.parquet(f"{folder}/after").select("event_id", "destination_id", "status", F.col("value").isNull().alias("gone"))
+        assert rows(got) == sorted(((i, d, *(("sent", True) if d == 1 else ("pending", False))) for i in range(40) for d in (1, 2)), key=repr)
+        assert rows(spark.read.parquet(f"{folder}/open/batch_id=0").select("event_id", "value")) == rows(lines.select("event_id", F.col("raw").alias("value")))
