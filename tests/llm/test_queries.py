@@ -247,3 +247,32 @@ def test_empty_tables(spark, folder, tmp_path, name):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     made = queries.QUERIES[name](spark, str(tmp_path))
     assert made.count() == (1 if name == "op1_chat_windows" else 0) and len(made.columns) >= 3
+
+
+def test_op2_learns_from_all_documents(spark, monkeypatch):
+    """The number of each different example over all documents, and the same trees and limits wherever the examples lie."""
+    rng = random.Random(12)
+    words = lambda n: " ".join(rng.choice(["order", "call", "mail", "host", "id", "paid", "was", "12 345 67"]) for _ in range(n))
+    mail = lambda: f"{rng.choice('abcdef') * rng.randrange(1, 9)}@{rng.choice('ghi') * rng.randrange(2, 7)}.com"
+    texts = [f"{words(4)} {mail()} {words(3)} +1 {rng.randrange(200, 999)} 555 {rng.randrange(1000, 9999)} {words(3)} 10.{rng.randrange(300)}.3.{rng.randrange(256)}" for _ in range(4000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:500], None, ""])], "doc_id bigint, text string").repartition(5)
+    want = Counter((tuple(map(int, x)), hit) for t in [*texts, *texts[:500]] for x, hit in pii_boost.examples(t))
+    got = Counter()
+    for r in pii_boost.counted_examples(docs).collect():
+        got[tuple(r["x"]), r["hit"]] += r["n"]
+    assert sum(want.values()) > 20_000 and got == want
+    model, limits = pii_boost.train(docs)
+    monkeypatch.setattr(pii_boost, "HELD", 0)
+    monkeypatch.setattr(pii_boost, "ROUNDS", 2)
+    apart, _ = pii_boost.train(docs.repartition(3))
+    assert len(model.trees) == 40 and min(limits.values()) < np.inf
+    for (tree, leaf), (tree2, leaf2) in zip(model.trees, apart.trees):
+        assert np.array_equal(leaf, leaf2) and all(np.array_equal(a, b) for x, y in zip(tree, tree2) for a, b in zip(x, y))
+
+
+def test_op2_edges_are_quantiles(spark):
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        values = np.unique(rng.integers(0, 40, rng.integers(1, 20))).astype(float)
+        n = rng.integers(1, 9, len(values))
+        assert np.allclose(pii_boost.quantile_edges(values, n), np.unique(np.quantile(np.repeat(values, n), np.linspace(0, 1, pii_boost.BINS)[1:-1])))
