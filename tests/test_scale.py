@@ -3,6 +3,7 @@
 from datetime import datetime
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from checks import QUERIES, base, render_checks
 from checks.base import fixture
 from logloom.operators import joins as j
 from logloom.operators.ledger import delivery_outcome, retention
-from logloom.operators.ranking import kth_smallest, pack_batches
+from logloom.operators.ranking import batch_starts, kth_smallest, pack_batches, ranked
 from logloom.session import spread
 from logloom.sources import sinks
 
@@ -189,3 +190,37 @@ def test_ledger_pipeline_deals_lines_out_and_drops_lines_that_ended(spark, tmp_p
         got = spark.read.parquet(f"{folder}/after").select("event_id", "destination_id", "status", F.col("value").isNull().alias("gone"))
         assert rows(got) == sorted(((i, d, *(("sent", True) if d == 1 else ("pending", False))) for i in range(40) for d in (1, 2)), key=repr)
         assert rows(spark.read.parquet(f"{folder}/open/batch_id=0").select("event_id", "value")) == rows(lines.select("event_id", F.col("raw").alias("value")))
+
+
+def test_rows_that_lie_by_destination_are_ranked_in_one_sort(spark, sf):
+    for name in ("win7_ranked", "win7_ranked_sparse"):
+        tree = plan(QUERIES[name](spark, sf))
+        assert tree.count("Window [") == 1 and tree.count("+- Sort [") == 1 and "MergeJoin" not in tree
+    df = spark.createDataFrame([(1, 5), (1, 900), (1, 70), (2, 3), (2, None), (None, 4)], "destination_id long, event_id long")
+    assert rows(ranked(df, ["destination_id"], "event_id", width=60, by=["destination_id"])) == rows(ranked(df, ["destination_id"], "event_id", width=60)) == [(1, 5, 1), (1, 70, 2), (1, 900, 3), (2, 3, 2)]
+
+
+def test_deliveries_that_lie_by_destination_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def line(i):
+        seen.add(1)
+        return f"l{i}"
+    due = spark.range(5000).repartition(4).select((F.col("id") % 2).alias("shard"), F.col("id").alias("event_id"), (F.col("id") % 2).alias("destination_id"), line("id").alias("value"))
+
+    def writer(destination, batch):
+        if len(batch) > 500 or batch != sorted(batch, key=lambda x: int(x[1:])):
+            raise sinks.Rejected("not a batch", permanent=True)
+    sent = sinks.deliver(due, writer, by=["shard"])
+    assert sent.filter("ok").agg(F.count("*"), F.count_distinct("event_id")).first()[:] == (5000, 5000) and seen.value == 5000
+
+
+def test_batches_of_a_round_at_hand_are_those_of_the_operator(spark):
+    rng = np.random.default_rng(4)
+    sizes = {d: rng.integers(0, 60, rng.integers(1, 40)).tolist() for d in range(30)}
+    due = spark.createDataFrame([(d, i, 0, s) for d, each in sizes.items() for i, s in enumerate(each)], "destination_id long, event_id long, round long, bytes int")
+    for n, most in ((3, 10 ** 6), (7, 200), (100, 90)):
+        got = [(d, 0, i, sum(a <= i for a in batch_starts(np.array(each), n, most)) - 1) for d, each in sizes.items() for i in range(len(each))]
+        assert sorted(got, key=repr) == rows(pack_batches(due, n, most))
+    assert batch_starts([1, None, 2], 2, 30) == [0, 2] and batch_starts(np.array([], int), 2, 30) == []
